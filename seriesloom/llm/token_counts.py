@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
 from .textops import small_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -56,6 +57,7 @@ def length_histogram(lengths: DataFrame, *, length: str = "n_tokens", block: int
     task reads them all.
     """
     hist = lengths.where(F.col(length).isNotNull()).groupBy(F.col(length).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = written(hist, "histogram")  # encoding is the costly part and runs once
     hist = hist.withColumn("b", F.floor(F.col("n_tokens") / block).cast("long")).withColumn("t", F.col("n_tokens") * F.col("n_docs"))
     per = hist.groupBy("b").agg(F.sum("n_docs").alias("bd"), F.sum("t").alias("bt"))
     per = per.withColumn("s", F.floor(F.col("b") / block).cast("long"))
