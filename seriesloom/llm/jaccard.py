@@ -260,7 +260,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
                     out.append((lead, doc, both, union))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, ["a", "b", "n_both", "n_union"])
 
-    return sets.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member", "doc").mapInArrow(run, "a long, b long, n_both long, n_union long")
+    return sets.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member", "doc").mapInArrow(run, "a long, b long, n_both long, n_union long").dropDuplicates(["a", "b"])
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -343,7 +343,7 @@ def tree_pairs(bits: np.ndarray, size: np.ndarray, comp: np.ndarray, left: np.nd
 
 def _tree_candidates(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) from the signature trees of groups. members: gram, doc, size, comp."""
-    signed = _sets_of(members.select("doc").distinct(), docs, n, ["doc"], signature=True)
+    signed = _sets_of(members.select("doc").distinct(), docs, n, ["doc"], signature=True).dropDuplicates(["doc"])
     per = members.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = members.join(per, "gram").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -394,7 +394,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", id_col: str = "do
     levels = spark.sparkContext.broadcast(_levels(digests).tobytes())
     sets = digests.where("block is null").select("id", "size", "h1", "h2")
     classes = written(sets.where("size > 0").groupBy("h1", "h2", "size").agg(F.min("id").alias("rep")), "classes")
-    rep_of = written(sets.join(classes, ["h1", "h2", "size"]).select("id", "rep", "size"), "reps")
+    rep_of = written(sets.join(classes, ["h1", "h2", "size"]).select("id", "rep", "size").distinct(), "reps")
     routed = written(_route(_prefixes(docs, n, percent, levels), percent), "routed")
 
     def as_reps(pairs: DataFrame) -> DataFrame:
