@@ -209,3 +209,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
             out = found if last is None else out.unionByName(found)
             last = part[-1][0]
     return out.withColumnsRenamed({"id": id_col, "item": item_id})
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows, with all their columns, that hold no item. Few documents hold one, so their ids are what is joined."""
+    found = contaminated(docs, benchmark, text=text, id_col=id_col, **options).select(id_col).distinct()
+    return docs.join(found, id_col, "left_anti").select(*docs.columns)

@@ -12,7 +12,6 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,6 @@ from .textops import slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_local_tail = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _dotted = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -326,3 +324,24 @@ def personal_data(docs: DataFrame, model: Model, *, text: str = "text", id_col:
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string").withColumnRenamed("id", id_col)
+
+
+def masked(docs: DataFrame, model: Model, *, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The rows, with all their columns, their text without personal data and `length`, if it is a column, made anew."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+    n = docs.columns.index(length) if length in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = []
+            for t in b.column(at).to_pylist():
+                spans = find(t, model)[1] if t else ()
+                new.append(mask(t, spans) if spans else t)
+            cols = list(b.columns)
+            cols[at] = pa.array(new, b.column(at).type)
+            if n is not None:
+                cols[n] = pa.array([None if t is None else len(t) for t in new], b.column(n).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, pieces, pii, preference, quality, token_counts, toxicity
+from . import decontaminate, jaccard, licenses, pieces, pii, preference, quality, suffix_dedup, token_counts, toxicity
 from .tables import table
 
 
@@ -37,6 +37,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_pairs(preference.pair_by_parity(table(spark, sf_dir, "conversations")))
 
@@ -49,5 +53,5 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.document_lengths(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_sentencepiece, op4_pii, op5_quality, op6_licenses, op8_chat_preference, op9_jaccard, op10_token_lengths)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_sentencepiece, op4_pii, op5_quality, op6_licenses, op7_suffix_dedup, op8_chat_preference, op9_jaccard, op10_token_lengths)}
 ORACLE_SQL = {"op8_chat_preference": preference.SQL}

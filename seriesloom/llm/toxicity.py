@@ -217,3 +217,22 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", id_col: str = "d
     kind = dict(docs.dtypes)[id_col]
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return out.mapInArrow(run, f"id {kind}, score double, n_hits long").withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", limit: float = LIMIT) -> DataFrame:
+    """The rows, with all their columns, whose score is below the limit. Rows stay where they are: no shuffle."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Matcher(model.entries, model.exceptions)
+        for b in batches:
+            keep = []
+            for t in b.column(at).to_pylist():
+                f = fold(t or "")
+                total, _ = m.weigh(f)
+                z = sum(a * c for a, c in zip(_features(total, len(f.split()) if total else 1), model.scale, strict=True))
+                keep.append(1 / (1 + exp(-max(-30.0, min(30.0, z)))) < limit)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
