@@ -25,6 +25,8 @@ from .textops import mix, segments, slices, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer chunks go through the lattice one by one.
 LONGEST = 48
+#: Scores are whole multiples of this, so that sums are exact and equal paths have equal scores.
+GRAIN = 1 / 65536
 _B = np.uint64(0x9E3779B97F4A7C15)
 _NO = np.float64(-1e18)
 
@@ -33,12 +35,13 @@ def k_best(n: int, arcs_into: dict[int, list[tuple[int, float, tuple]]], forward
     """The k best paths 0..n, best first, as (score, arc labels), by backward A*.
 
     arcs_into[node]: (from node, score, label). forward[node] is the exact best score of 0..node, so the first k times
-    that node 0 is taken from the agenda are the k best paths. Equal scores come in the order they were found.
+    that node 0 is taken from the agenda are the k best paths. Among equal scores what is nearest to node 0 goes first,
+    so that many equal paths are not all begun before one is complete; scores are to be exact sums (see GRAIN).
     """
-    agenda: list[tuple[float, int, int, float, tuple | None]] = [(-forward[n], 0, n, 0.0, None)]
+    agenda: list[tuple[float, int, int, float, tuple | None]] = [(-forward[n], n, 0, 0.0, None)]
     out, made = [], 0
     while agenda and len(out) < k:
-        f, _, node, g, path = heapq.heappop(agenda)
+        _, node, _, g, path = heapq.heappop(agenda)
         if node == 0:
             labels = []
             while path:
@@ -49,7 +52,7 @@ def k_best(n: int, arcs_into: dict[int, list[tuple[int, float, tuple]]], forward
         for frm, score, label in arcs_into.get(node, ()):
             if forward[frm] > -inf:
                 made += 1
-                heapq.heappush(agenda, (-(g + score + forward[frm]), made, frm, g + score, (label, path)))
+                heapq.heappush(agenda, (-(g + score + forward[frm]), frm, made, g + score, (label, path)))
     return out
 
 
@@ -79,6 +82,7 @@ class Lattice:
         solo = [c for c in map(chr, range(1, 128)) if c not in joined and c != " "]  # in no longer piece: a chunk of its own
         inner = "".join(map(re.escape, solo))
         self.chunk = re.compile(f"[{inner}]| *[^ {inner}]+| +" if inner else " *[^ ]+| +", re.S)
+        self.long: list[tuple[str, int]] = []  # remembered for one batch only
         self.memo: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
 
     @staticmethod
@@ -113,20 +117,21 @@ class Lattice:
         if found is None:
             into, forward = self.arcs(chunk)
             found = [(v, [i for a in labels for i in a]) for v, labels in k_best(len(chunk), into, forward, k)]
-            if len(chunk) <= LONGEST:
-                if len(self.memo) > 50_000:
-                    self.memo.clear()
-                self.memo[chunk, k] = found
+            if len(self.memo) > 50_000:
+                self.memo.clear()
+            self.memo[chunk, k] = found
+            if len(chunk) > LONGEST:
+                self.long.append((chunk, k))
         return found
 
-    def best_two(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def best_two(self, chunks: list[str], k: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For many chunks at once: best score, gap to the second best (inf if there is none), ids, offsets of the ids."""
         n = len(chunks)
         best, gap = np.zeros(n), np.full(n, np.inf)
         pieces: list = [None] * n
         size = np.array([len(c) for c in chunks])
         for i in np.flatnonzero(size > LONGEST).tolist():
-            two = self.alternatives(chunks[i], 2)
+            two = self.alternatives(chunks[i], max(2, k))
             best[i], gap[i] = two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf
             pieces[i] = np.array(two[0][1], np.int32)
         flat_ids: list[np.ndarray] = []
@@ -209,6 +214,9 @@ class Lattice:
 
     def encode_batch(self, texts: list[str], k: int) -> list[tuple[np.ndarray, list[tuple[float, list[tuple[int, list[int]]]]], np.ndarray]]:
         """Per text: ids of the best path; the k best as (score, changed chunks with their ids); offsets of the chunks' ids."""
+        for key in self.long:
+            self.memo.pop(key, None)
+        self.long.clear()
         code: dict[str, int] = {}
         codes, owner = [], [0]
         for t in texts:
@@ -220,7 +228,7 @@ class Lattice:
                     codes.append(i)
             owner.append(len(codes))
         chunks = list(code)
-        best, gap, flat, offs = self.best_two(chunks)
+        best, gap, flat, offs = self.best_two(chunks, k)
         codes, owner = np.array(codes, np.int64), np.array(owner)
         count = np.diff(offs)
         out = []
@@ -236,10 +244,10 @@ class Lattice:
             pick = pick[np.isfinite(g[pick])]
             arcs: dict[int, list] = {}
             for node, at in enumerate(pick.tolist(), 1):
-                alt = self.alternatives(chunks[own[at]], k)
+                alt = self.alternatives(chunks[own[at]], max(2, k))
                 arcs[node] = [(node - 1, v - alt[0][0], (at, i)) for i, (v, _) in enumerate(alt)]
             ways = k_best(len(pick), arcs, [0.0] * (len(pick) + 1), k)
-            out.append((ids, [(total + d, [(at, self.alternatives(chunks[own[at]], k)[i][1]) for at, i in labels if i]) for d, labels in ways], np.concatenate([[0], np.cumsum(n)])))
+            out.append((ids, [(total + d, [(at, self.alternatives(chunks[own[at]], max(2, k))[i][1]) for at, i in labels if i]) for d, labels in ways], np.concatenate([[0], np.cumsum(n)])))
         return out
 
     @staticmethod
@@ -256,7 +264,7 @@ _loaded: dict[str, Lattice] = {}
 
 def load(path: str = MODEL) -> Lattice:
     """The lattice vocabulary of a public model file. Its scores are ranks: a piece of rank r gets the log-probability of
-    a Zipf distribution over the pieces, and a byte piece ten less than the rarest."""
+    a Zipf distribution over the pieces, rounded to GRAIN, and a byte piece ten less than the rarest."""
     if path not in _loaded:
         import sentencepiece
 
@@ -266,7 +274,7 @@ def load(path: str = MODEL) -> Lattice:
         ranked = sorted(own, key=lambda i: (-sp.get_score(i), i))
         whole = log(sum(1 / (r + 1) for r in range(len(ranked))))
         pieces = {i: sp.id_to_piece(i).replace("▁", " ") for i in own}
-        score = {pieces[i]: -log(r + 1) - whole for r, i in enumerate(ranked)}
+        score = {pieces[i]: round((-log(r + 1) - whole) / GRAIN) * GRAIN for r, i in enumerate(ranked)}
         byte_ids = [0] * 256
         for i in range(size):
             if sp.is_byte(i):

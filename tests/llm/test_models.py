@@ -209,7 +209,7 @@ def repeats(seed=4):
     return rows
 
 
-@pytest.mark.parametrize("part", [1000, 4])
+@pytest.mark.parametrize("part", [1000, 30])
 def test_suffix_dedup(spark, monkeypatch, part):
     monkeypatch.setattr(suffix_dedup, "PART", part)
     rows = repeats() + [x for x in ODD if len(x[1] or "") < 1000]
