@@ -21,7 +21,7 @@ from . import models
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-TYPES = ["click", "purchase", "refund", "signup", "view"]
+TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def query(sql: str | None = None):
@@ -48,7 +48,7 @@ def masked(spark: SparkSession, d: str) -> DataFrame:
 
 def daily(spark: SparkSession, d: str, agg: str = "avg") -> DataFrame:
     """Events by type and day; t counts days from the first."""
-    e = S.table(spark, d, "events").select("event_type", F.floor(F.unix_timestamp(F.col("ts").cast("string")) / 86400).cast("long").alias("day"), "value")
+    e = S.table(spark, d, "events").select("event_type", F.unix_date(F.to_date("ts")).cast("long").alias("day"), "value")
     day = e.groupBy("event_type", "day").agg({"avg": F.avg("value"), "sum": F.sum("value"), "count": F.count("value").cast("double")}[agg].alias("value"))
     first = e.agg(F.min("day").alias("d0"))
     return day.crossJoin(F.broadcast(first)).select(F.col("event_type").alias("series_key"), (F.col("day") - F.col("d0")).cast("long").alias("t"), "value")

@@ -198,6 +198,7 @@ class Segmented:
 
     rows: int
     models: list[Forecaster]
+    starts: list[int]
 
     @classmethod
     def fit(cls, series: DataFrame, target: str, points: int, *, rows: int, k: int, rect: int, least: int = 0, gamma: float = 0.5) -> Segmented:
@@ -213,13 +214,14 @@ class Segmented:
             m = min(size, points - a) // rows
             part = series.where((F.col("series_key") == target) & (F.col("t") >= a) & (F.col("t") < a + rows * m))
             out.append(fit_svd(part, target, n=rows, m=m, k=k, check=False))
-        return cls(rows, out)
+        return cls(rows, out, starts)
 
     def denoised(self) -> DataFrame:
-        out, at = None, 0
-        for model in self.models:
-            part = model.denoised().withColumn("t", (F.col("t") + at).cast("long"))
-            at += model.n * model.m
+        """Where sub-models overlap, the later one's values."""
+        out = None
+        for i, (model, at) in enumerate(zip(self.models, self.starts, strict=True)):
+            stop = self.starts[i + 1] - at if i + 1 < len(self.starts) else None
+            part = model.denoised(stop=stop).withColumn("t", (F.col("t") + at).cast("long"))
             out = part if out is None else out.unionByName(part)
         return out
 
