@@ -12,10 +12,14 @@ How the work is dealt out, none of it growing with the square of a group:
    (n-gram, document, size) meet by n-gram and are read as a sorted stream, never held as a group.
 3. In each group members are compared with a leader first. Verified links give components: a group of thousands of near
    copies becomes one component by a linear number of comparisons.
+   Two more rounds with other leaders join what the first leader is too far from.
 4. Groups that still hold several components go through signature trees: leaves are documents' bitmaps, inner nodes
    OR-combined bitmaps with size ranges; the dual traversal drops node pairs whose largest possible overlap is too small
    or which lie in one component. Groups are cut into blocks and block pairs, so that a task's part is bounded.
 5. What the trees leave is verified on the sets themselves and joins the links.
+
+A signature has about four bits for each n-gram, so that long documents prune as well as short ones; for a pair of different
+widths the wider one is folded. Leaders' pairs pass the same bound before any text is shipped.
 """
 
 from __future__ import annotations
@@ -31,12 +35,17 @@ from .tables import written
 from .textops import mix, slices, small_batches, windows_hash, word_hashes
 
 #: Cells of the order sketch: the most that is sent to the driver and broadcast is this many bytes.
-CELLS = 1 << 20
-#: Bits of a signature.
+CELLS = 1 << 22
+#: Bits of the signature of a set of up to a quarter as many n-grams; larger sets have the next power of two.
 BITS = 2048
+#: Rounds of other leaders before the trees.
+ROUNDS = 2
 #: Fan-out of the trees, and the most members of a block.
 FANOUT, BLOCK = 16, 2048
-SALTS = 16
+#: Members that are verified beside one copy of their leader.
+MEMBERS = 64
+#: Bits of the filter that keeps documents without candidates from being shipped.
+FILTER = 1 << 23
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -59,29 +68,38 @@ def _cells(grams: np.ndarray) -> np.ndarray:
 
 
 def _digests(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (id, size, h1, h2) and rows of sketch blocks (block, counts)."""
+    """Rows of documents (id, size, h1, h2, bits) and rows of sketch blocks (block, bits)."""
     span = 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
-        names = ["id", "size", "h1", "h2", "block", "counts"]
+        names = ["id", "size", "h1", "h2", "block", "bits"]
+        held: list[np.ndarray] = []
+
+        def count() -> None:
+            if held:
+                counts[:] += np.bincount(_cells(np.concatenate(held)), minlength=CELLS)
+                held.clear()
+
         for batch in batches:
             for b in slices(batch, "text"):
                 sets = shingle_sets(b.column(1), n)
-                if any(len(s) for s in sets):
-                    counts += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS)
+                held += sets
+                if sum(map(len, held)) > 1 << 21:
+                    count()
                 size = np.array([len(s) for s in sets], np.int64)
                 h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 h2 = np.array([mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                k = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                bits = [_signature(s).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.nulls(b.num_rows, pa.int32()), pa.array(bits, pa.binary())], names)
+        count()
         for i in range(CELLS // span):
             part = counts[i * span : (i + 1) * span]
             if part.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i], pa.int32()), pa.array([part.astype(np.int32).tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i], pa.int32()), pa.array([np.minimum(part, 65535).astype(np.uint16).tobytes()], pa.binary())], names)
 
-    return docs.mapInArrow(run, "id long, size long, h1 long, h2 long, block int, counts binary")
+    return docs.mapInArrow(run, "id long, size long, h1 long, h2 long, block int, bits binary")
 
 
 def _levels(digests: DataFrame) -> np.ndarray:
@@ -91,7 +109,7 @@ def _levels(digests: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for i, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64)
+                part = np.frombuffer(raw.as_buffer(), np.uint16).astype(np.int64)
                 sums[i] = sums[i] + part if i in sums else part
         if sums:
             level = [np.floor(np.log2(np.maximum(sums[i], 1))).astype(np.uint8).tobytes() for i in sums]
@@ -99,7 +117,7 @@ def _levels(digests: DataFrame) -> np.ndarray:
 
     out = np.zeros(CELLS, np.uint8)
     span = 1 << 14
-    rows = digests.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, level binary").collect()
+    rows = digests.where("block is not null").select("block", "bits").repartition("block").mapInArrow(add, "block int, level binary").collect()
     for r in rows:  # CELLS bytes at most
         out[r.block * span : (r.block + 1) * span] = np.frombuffer(r.level, np.uint8)
     return out
@@ -205,62 +223,125 @@ def _route(prefixes: DataFrame, percent: int) -> DataFrame:
     return prefixes.repartition("gram").sortWithinPartitions("gram", "size", "id").mapInArrow(run, "gram long, a long, b long")
 
 
-def _sets_of(rows: DataFrame, docs: DataFrame, n: int, keep: list[str], signature: bool = False) -> DataFrame:
-    """rows (with column `doc`) with each document's set, or its signature, as bytes in `bits`."""
-    joined = rows.join(docs, rows["doc"] == docs["id"]).select(*keep, "text")
-    kinds = dict(joined.dtypes)
+def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents without most of those whose id is not among ids, by a Bloom filter of FILTER bits; joins do the rest."""
+    span = 1 << 14
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text"):
-                sets = shingle_sets(b.column(len(keep)), n)
-                if signature:
-                    out = [_signature(s).tobytes() for s in sets]
-                else:
-                    out = [s.tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(out, pa.binary())], [*keep, "bits"])
+    def blocks(bits: np.ndarray) -> pa.RecordBatch:
+        parts = [(i, bits[i * span : (i + 1) * span]) for i in range(len(bits) // span)]
+        parts = [(i, x.tobytes()) for i, x in parts if x.any()]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["block", "bits"])
 
-    return joined.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", bits binary")
+    def places(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        return (h & np.uint64(FILTER - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(FILTER - 1)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER, bool)
+        for b in batches:
+            for at in places(b):
+                bits[at] = True
+        yield blocks(np.packbits(bits))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER // 8, np.uint8)
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bits[i * span : (i + 1) * span] |= np.frombuffer(raw, np.uint8)
+        yield blocks(bits)
+
+    schema = "block int, bits binary"
+    whole = np.zeros(FILTER // 8, np.uint8)
+    for r in ids.mapInArrow(mark, schema).repartition("block").mapInArrow(join, schema).collect():  # FILTER bits at most
+        whole[r.block * span : (r.block + 1) * span] |= np.frombuffer(r.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            one, two = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 for at in places(b))
+            yield b.filter(pa.array((one & two).astype(bool)))
+
+    return docs.where(F.col("id").isNotNull()).mapInArrow(keep, docs.schema)
 
 
 def _signature(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    """A bitmap of BITS times the power of two that the size needs; a set's n-gram has the bit of its low bits."""
+    width = BITS << max(0, int(len(s) * 4 - 1).bit_length() - BITS.bit_length() + 1) if len(s) else BITS
+    bits = np.zeros(width, np.uint8)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits)
 
 
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bitmaps, of fewer bytes: n-grams keep the bit of their lower bits."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def _possible(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether the signatures allow sets of n and m n-grams to reach the threshold."""
+    w = min(len(x), len(y))
+    x, y = _folded(x[None], w)[0], _folded(y[None], w)[0]
+    both = int(np.bitwise_count(x & y).sum(dtype=np.int64))
+    most = both + min(n - int(np.bitwise_count(x).sum(dtype=np.int64)), m - int(np.bitwise_count(y).sum(dtype=np.int64)))
+    return min(most, n, m) * (100 + percent) >= percent * (n + m)
+
+
+def _plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and signatures allow. signed: doc, size, bits."""
+    side = lambda c: signed.select(F.col("doc").alias(c), F.col("size").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where((100 * F.least("n_a", "n_b")) >= percent * F.greatest("n_a", "n_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint8) for v in t.column(i)] for i in (4, 5))
+            keep = [_possible(*v, percent) for v in zip(x, y, t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) with the exact sizes of intersection and union, where the similarity is reached.
 
-    Members travel to their leader a in salted parts, and a leader's set once to each part; a part is read as a stream.
+    Members travel to their leader a in parts of about MEMBERS, and a leader's text once to each part; texts are shipped
+    rather than sets, as they are smaller. A part is read as a stream.
     """
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    salted = written(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt")), "pairs")
     members = salted.select(F.col("b").alias("doc"), F.col("a").alias("lead"), "salt", F.lit(1).alias("member"))
     leads = salted.select("a", "salt").distinct().select(F.col("a").alias("doc"), F.col("a").alias("lead"), "salt", F.lit(0).alias("member"))
-    sets = _sets_of(members.unionByName(leads), docs, n, ["lead", "salt", "member", "doc"])
+    rows = members.unionByName(leads)
+    texts = _needed(docs, salted.select("a").unionByName(salted.select(F.col("b").alias("a")))).withColumnRenamed("id", "doc")
+    rows = rows.join(texts, "doc").select("lead", "salt", "member", "doc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own = None, None
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            cols = [batch.column(i).to_pylist() for i in (0, 2, 3)]
-            for key, member, doc, raw in zip(*cols, batch.column(4), strict=True):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                if not member:
-                    lead, own = key, s.copy()
-                    continue
-                assert key == lead
-                small, big = (s, own) if len(s) <= len(own) else (own, s)
-                if not len(small):
-                    continue
-                at = np.searchsorted(big, small)
-                both = int((big[np.minimum(at, len(big) - 1)] == small).sum())
-                union = len(s) + len(own) - both
-                if 100 * both >= percent * union:
-                    out.append((lead, doc, both, union))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, ["a", "b", "n_both", "n_union"])
+            for b in slices(batch, "text"):
+                out: list[tuple[int, int, int, int]] = []
+                cols = [b.column(i).to_pylist() for i in (0, 2, 3)]
+                for key, member, doc, s in zip(*cols, shingle_sets(b.column(4), n), strict=True):
+                    if not member:
+                        lead, own = key, s
+                        continue
+                    assert key == lead
+                    small, big = (s, own) if len(s) <= len(own) else (own, s)
+                    if not len(small):
+                        continue
+                    at = np.searchsorted(big, small)
+                    both = int((big[np.minimum(at, len(big) - 1)] == small).sum())
+                    union = len(s) + len(own) - both
+                    if 100 * both >= percent * union:
+                        out.append((lead, doc, both, union))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "n_both", "n_union"])
 
-    return sets.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member", "doc").mapInArrow(run, "a long, b long, n_both long, n_union long").dropDuplicates(["a", "b"])
+    dealt = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member", "doc")
+    return dealt.mapInArrow(run, "a long, b long, n_both long, n_union long").dropDuplicates(["a", "b"])
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -341,21 +422,32 @@ def tree_pairs(bits: np.ndarray, size: np.ndarray, comp: np.ndarray, left: np.nd
     return one[0]["member"][i], two[0]["member"][j]
 
 
-def _tree_candidates(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _tree_candidates(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) from the signature trees of groups. members: gram, doc, size, comp."""
-    signed = _sets_of(members.select("doc").distinct(), docs, n, ["doc"], signature=True).dropDuplicates(["doc"])
     per = members.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = members.join(per, "gram").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "size", "comp")
-    rows = rows.join(signed, "doc").select("gram", "i", "j", "own", "doc", "size", "comp", "bits")
+    rows = rows.join(signed.select("doc", "bits"), "doc").select("gram", "i", "j", "own", "doc", "size", "comp", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> pa.RecordBatch:
             own, doc, size, comp = (t.column(c).to_numpy() for c in ("own", "doc", "size", "comp"))
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(len(doc), BITS // 8)
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            a, b = tree_pairs(bits, size.astype(np.int64), comp, np.flatnonzero(own == i), np.flatnonzero(own == j), percent)
+            raw = [np.frombuffer(v.as_buffer(), np.uint8) for v in t.column("bits").combine_chunks()]
+            width = np.array([len(v) for v in raw])
+            ab: list[tuple[np.ndarray, np.ndarray]] = []
+            for w in np.unique(width).tolist():  # sizes within the threshold have equal or neighbouring widths
+                same, next_up = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+                every = np.concatenate([same, next_up])
+                bits = np.concatenate([np.stack([raw[q] for q in same]), *([_folded(np.stack([raw[q] for q in next_up]), w)] if len(next_up) else [])])
+                low = np.arange(len(every)) < len(same)
+                left, right = own[every] == i, own[every] == j
+                for x, y in ((left & low, right & low), (left & low, right & ~low), (left & ~low, right & low)):
+                    if x.any() and y.any():
+                        p, q = tree_pairs(bits, size[every].astype(np.int64), comp[every], np.flatnonzero(x), np.flatnonzero(y), percent)
+                        ab.append((every[p], every[q]))
+            a, b = (np.concatenate(v) for v in zip(*ab, strict=True)) if ab else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             a, b = doc[a], doc[b]
             keep = a < b if i == j else a != b
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
@@ -393,8 +485,10 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", id_col: str = "do
     digests = written(_digests(docs, n), "digests")
     levels = spark.sparkContext.broadcast(_levels(digests).tobytes())
     sets = digests.where("block is null").select("id", "size", "h1", "h2")
+    signed = digests.where("block is null and size > 0").select(F.col("id").alias("doc"), "size", "bits")
     classes = written(sets.where("size > 0").groupBy("h1", "h2", "size").agg(F.min("id").alias("rep")), "classes")
     rep_of = written(sets.join(classes, ["h1", "h2", "size"]).select("id", "rep", "size").distinct(), "reps")
+    signed = written(signed.join(classes.select(F.col("rep").alias("doc")), "doc").dropDuplicates(["doc"]), "signed")
     routed = written(_route(_prefixes(docs, n, percent, levels), percent), "routed")
 
     def as_reps(pairs: DataFrame) -> DataFrame:
@@ -403,22 +497,45 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", id_col: str = "do
         both = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").where("ra <> rb")
         return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
-    stars = written(as_reps(routed.where("gram is null")), "stars")
-    links = written(verified(stars, docs, n, percent), "links")
+    tried = written(as_reps(routed.where("gram is null")), "stars")
+    links = written(verified(written(_plausible(tried, signed, percent), "plausible"), docs, n, percent), "links")
     comp = components(links)
-    members = routed.where("gram is not null").select("gram", F.col("a").alias("id")).join(rep_of, "id").select("gram", F.col("rep").alias("doc"), "size").distinct()
-    members = members.join(comp, F.col("doc") == F.col("node"), "left").select("gram", "doc", "size", F.coalesce("component", "doc").alias("comp"))
-    members = written(members, "members")
-    mixed = members.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1 and m > 2").select("gram")
-    mixed = written(members.join(mixed, "gram"), "mixed")
-    if not mixed.isEmpty():
-        more = _tree_candidates(mixed, docs, n, percent).distinct().join(stars, ["a", "b"], "left_anti")
+    groups = routed.where("gram is not null").select("gram", F.col("a").alias("id")).join(rep_of, "id").select("gram", F.col("rep").alias("doc"), "size").distinct()
+    groups = written(groups, "members")
+
+    def mixed() -> DataFrame:
+        """The groups of several components, and each member's component."""
+        members = groups.join(comp, F.col("doc") == F.col("node"), "left").select("gram", "doc", "size", F.coalesce("component", "doc").alias("comp"))
+        several = members.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1 and m > 2").select("gram")
+        return written(members.join(several, "gram"), "mixed")
+
+    for turn in range(ROUNDS + 1):
+        groups = mixed()
+        if groups.isEmpty():
+            break
+        if turn < ROUNDS:  # another leader a group: of the least hash, which is the same one in groups that share it
+            lead = groups.groupBy("gram").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("lead"), F.col("comp").alias("lead_comp"))).alias("l")).select("gram", "l.lead", "l.lead_comp")
+            more = groups.join(lead, "gram").where("comp <> lead_comp").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
+            more = _plausible(more.join(tried, ["a", "b"], "left_anti"), signed, percent)
+        else:
+            more = _tree_candidates(groups, signed, percent).distinct().join(tried, ["a", "b"], "left_anti")
         more = written(more, "candidates")
-        if not more.isEmpty():
-            links = written(links.unionByName(verified(more, docs, n, percent)), "links")
-            comp = components(links)
+        groups = groups.drop("comp")
+        if more.isEmpty():
+            continue
+        tried = written(tried.unionByName(more), "tried")
+        links = written(links.unionByName(verified(more, docs, n, percent)), "links")
+        comp = components(links)
     ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     comp = written(comp.join(ends, F.col("node") == F.col("a"), "left").select("node", "component", "n_links"), "components")
     out = sets.join(rep_of.select(F.col("id").alias("i"), "rep"), F.col("id") == F.col("i"), "left").join(comp, F.col("rep") == F.col("node"), "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows, with all their columns, of the smallest id of each component, once each; rows without an id all stay."""
+    found = jaccard_components(docs.where(F.col(id_col).isNotNull()), id_col=id_col, **options)
+    first = written(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "kept")
+    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
