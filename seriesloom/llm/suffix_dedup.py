@@ -32,7 +32,7 @@ from .textops import column_bytes, mix, prefix_hash, slices, small_batches, span
 
 LENGTH, GRAM = 400, 100
 #: The most contexts of one anchor that a task compares; larger groups are split first.
-PART = 1000
+PART = 2000
 #: Contexts whose columns are built together.
 TOGETHER = 4000
 END = 256
@@ -141,30 +141,30 @@ def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
-    """wanted (id, pos, gram, single) with the context's symbols."""
-    by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("pos", "gram", "single")).alias("at"))
+    """wanted (id, pos, gram, c) with the context's symbols; rank grows with its count c, then with the text it has."""
+    by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("pos", "gram", "c")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 1 << 18):
-                ids, pos, gram, single, full, out = [], [], [], [], [], []
+                ids, pos, gram, single, rank, out = [], [], [], [], [], []
                 for i, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     data = np.frombuffer(t.encode(), np.uint8)
                     for w in at:
                         ids.append(i)
                         pos.append(w["pos"])
                         gram.append(w["gram"])
-                        single.append(w["single"])
-                        full.append(min(length - k, w["pos"]) + min(length - k, len(data) - k - w["pos"]))
+                        single.append(w["c"] == 1)
+                        rank.append(2 * length * w["c"] + min(length - k, w["pos"]) + min(length - k, len(data) - k - w["pos"]))
                         out.append(_context(data, w["pos"], length, k))
                         if len(out) == 500:
-                            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(single, pa.bool_()), pa.array(full, pa.int32()), pa.array(out, pa.binary())], ["gram", "id", "pos", "single", "full", "symbols"])
-                            ids, pos, gram, single, full, out = [], [], [], [], [], []
+                            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(single, pa.bool_()), pa.array(rank, pa.int64()), pa.array(out, pa.binary())], ["gram", "id", "pos", "single", "rank", "symbols"])
+                            ids, pos, gram, single, rank, out = [], [], [], [], [], []
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(single, pa.bool_()), pa.array(full, pa.int32()), pa.array(out, pa.binary())], ["gram", "id", "pos", "single", "full", "symbols"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(single, pa.bool_()), pa.array(rank, pa.int64()), pa.array(out, pa.binary())], ["gram", "id", "pos", "single", "rank", "symbols"])
 
     joined = docs.join(by_doc, "id").select("id", "text", "at")
-    return joined.mapInArrow(run, "gram long, id long, pos long, single boolean, full int, symbols binary")
+    return joined.mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, symbols binary")
 
 
 def _solve(parts: DataFrame, length: int, k: int) -> DataFrame:
@@ -211,20 +211,21 @@ def _solve(parts: DataFrame, length: int, k: int) -> DataFrame:
 def _split(big: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
     """Compares the contexts of large groups with their leader: (spans found, the next groups).
 
-    The leader is a context with the most text, as none can leave it where its own text ends. It gets the union of what the others share with it; each other context the part it shares, and a place in
+    The leader is the most frequent context, as the others leave it where they are odd themselves, at many places; among
+    equals it has the most text, as none can leave it where its own text ends. It gets the union of what the others share with it; each other context the part it shares, and a place in
     the groups of those that leave the leader on the left, or on the right only, at the same column by the same symbol.
     """
     side = length - k
-    lead = big.groupBy("gram").agg(F.min(F.struct(-F.col("full"), "id", "pos", "symbols", "lo", "hi")).alias("lead"))
+    lead = big.groupBy("gram").agg(F.min(F.struct(-F.col("rank"), "id", "pos", "symbols", "lo", "hi")).alias("lead"))
     lead = written(lead.select("gram", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("id", "pos", "symbols", "lo", "hi"))), "leaders")
     both = big.join(lead, "gram").where("id <> lead_id or pos <> lead_pos")
-    cols = ["gram", "id", "pos", "single", "full", "symbols", "lo", "hi", "lead_id", "lead_pos", "lead_symbols", "lead_lo", "lead_hi"]
+    cols = ["gram", "id", "pos", "single", "rank", "symbols", "lo", "hi", "lead_id", "lead_pos", "lead_symbols", "lead_lo", "lead_hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "id", "pos", "single", "full", "symbols", "lo", "hi", "a", "b", "lead_id", "lead_a", "lead_b"]
+        names = ["gram", "id", "pos", "single", "rank", "symbols", "lo", "hi", "a", "b", "lead_id", "lead_a", "lead_b"]
         for batch in batches:
             out: list[tuple] = []
-            for gram, i, pos, single, full, sym, lo, hi, li, lp, lsym, llo, lhi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for gram, i, pos, single, rank, sym, lo, hi, li, lp, lsym, llo, lhi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = np.frombuffer(sym, np.uint16), np.frombuffer(lsym, np.uint16)
                 differ = (x != y) | (x == END)
                 if differ[side : side + k].any():
@@ -242,16 +243,16 @@ def _split(big: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
                 key = lambda tag, at: int(mix(np.array([gram & (1 << 64) - 1], np.uint64) ^ mix(np.array([(tag << 40) + (at << 16) + int(x[at])], np.uint64)))[0])  # noqa: B023, E731
                 signed = lambda v: v - (1 << 64) if v >> 63 else v
                 if first > 0 and x[first - 1] != END and lo <= min(first - 1, hi):
-                    out.append((signed(key(1, first - 1)), i, pos, single, full, sym, lo, min(first - 1, hi), None, None, None, None, None))
+                    out.append((signed(key(1, first - 1)), i, pos, single, rank, sym, lo, min(first - 1, hi), None, None, None, None, None))
                 if after < len(x) and x[after] != END and max(first, z + 1, lo) <= hi:
-                    out.append((signed(key(2, after)), i, pos, single, full, sym, max(first, z + 1, lo), hi, None, None, None, None, None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), *[pa.int64()] * 5)
+                    out.append((signed(key(2, after)), i, pos, single, rank, sym, max(first, z + 1, lo), hi, None, None, None, None, None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), *[pa.int64()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 13, kinds, strict=True)], names)
 
-    done = written(both.select(*cols).mapInArrow(run, "gram long, id long, pos long, single boolean, full int, symbols binary, lo int, hi int, a long, b long, lead_id long, lead_a long, lead_b long"), "split")
+    done = written(both.select(*cols).mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, symbols binary, lo int, hi int, a long, b long, lead_id long, lead_a long, lead_b long"), "split")
     leaders = big.where("single").select("gram", F.col("id").alias("lead_id"), F.col("pos").alias("lead_pos")).join(lead.select("gram", "lead_id", "lead_pos"), ["gram", "lead_id", "lead_pos"]).select("lead_id").distinct()
     spans = done.where("a is not null").select("id", "a", "b").unionByName(done.where("lead_a is not null").join(leaders, "lead_id").select(F.col("lead_id").alias("id"), F.col("lead_a").alias("a"), F.col("lead_b").alias("b")).distinct())
-    return spans, done.where("gram is not null").select("gram", "id", "pos", "single", "full", "symbols", "lo", "hi")
+    return spans, done.where("gram is not null").select("gram", "id", "pos", "single", "rank", "symbols", "lo", "hi")
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, k: int = GRAM) -> DataFrame:
@@ -268,7 +269,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, k: int = GRAM) -> D
     same = written(kinds.where("c > 1").select("gram", "context"), "same")
     start, stop = F.greatest(F.lit(0), F.col("pos") - side), F.least(F.col("pos"), F.col("n") - length)
     spans.append(found.join(same, ["gram", "context"]).where(start <= stop).select("id", start.cast("long").alias("a"), (stop + length).cast("long").alias("b")))
-    wanted = kinds.join(per.where("kinds > 1 and least = 1"), "gram").select("gram", F.col("at.id").alias("id"), F.col("at.pos").alias("pos"), (F.col("c") == 1).alias("single"))
+    wanted = kinds.join(per.where("kinds > 1 and least = 1"), "gram").select("gram", F.col("at.id").alias("id"), F.col("at.pos").alias("pos"), "c")
     groups = _cut(docs, wanted, length, k).withColumns({"lo": F.lit(0), "hi": F.lit(side)})
     rows = written(groups, "groups")
     while True:
