@@ -89,6 +89,12 @@ def truncated(cols: DataFrame, side: int, k: int, p: float = 1.0) -> tuple[np.nd
     return s, u, project(cols, u @ u.T / p)
 
 
+def pseudo_inverse(cols: DataFrame, side: int, k: int, p: float = 1.0, rcond: float = 1e-7) -> DataFrame:
+    """(c, y): rows of p V diag(1 / s) U', the pseudo-inverse of the rank-k part scaled by 1 / p."""
+    s, u = eigen(gram(cols, side), k)
+    return project(cols, p * (u * inverse_squares(s, rcond)) @ u.T)
+
+
 def forecast_weights(g: np.ndarray, rows: list[int], target: int, k: int, p: float, rcond: float = 1e-7) -> np.ndarray:
     """Weights of the regressor rows for the target row, from the Gram matrix alone.
 

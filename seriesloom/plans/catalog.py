@@ -389,6 +389,14 @@ def svd_singular_values(spark, d):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(s)], "k long, s double").select("k", r6("s", 4).alias("s"))
 
 
+@query(f"WITH {_TWO} SELECT c, round(1e6 * 0.8 * (g11 * x0 - g01 * x1) / (g00 * g11 - g01 * g01), 4) + 0.0 AS y0, round(1e6 * 0.8 * (g00 * x1 - g01 * x0) / (g00 * g11 - g01 * g01), 4) + 0.0 AS y1 FROM a, g")
+def pseudo_inverse(spark, d):
+    """Of full rank, in millionths."""
+    cells = page.page_matrix(events(spark, d), 2).select(F.col("r").alias("row"), "c", "value")
+    out = factor.pseudo_inverse(factor.columns(cells, 2), 2, 2, 0.8)
+    return out.select("c", r6(F.col("y")[0] * 1e6, 4).alias("y0"), r6(F.col("y")[1] * 1e6, 4).alias("y1"))
+
+
 @query(f"WITH {_TWO}, b AS (SELECT u0 * (u0 * x0 + u1 * x1) / 0.8 AS b, x1 AS l FROM a, u) SELECT CAST(0 AS INTEGER) AS lag_row, round(0.8 * sum(b * l) / sum(b * b), 6) + 0.0 AS w FROM b")
 def svd_weights(spark, d):
     return _two(spark, d, p=0.8).weight_table().select("lag_row", r6("w").alias("w"))
