@@ -12,7 +12,7 @@ How the work is dealt out, none of it growing with the square of a group:
    (n-gram, document, size) meet by n-gram and are read as a sorted stream, never held as a group.
 3. In each group members are compared with a leader first. Verified links give components: a group of thousands of near
    copies becomes one component by a linear number of comparisons.
-   Two more rounds with other leaders join what the first leader is too far from.
+   Two more rounds with other leaders join what the first is too far from.
 4. Groups that still hold several components go through signature trees: leaves are documents' bitmaps, inner nodes
    OR-combined bitmaps with size ranges; the dual traversal drops node pairs whose largest possible overlap is too small
    or which lie in one component. Groups are cut into blocks and block pairs, so that a task's part is bounded.
@@ -38,8 +38,8 @@ from .textops import mix, slices, small_batches, windows_hash, word_hashes
 CELLS = 1 << 22
 #: Bits of the signature of a set of up to a quarter as many n-grams; larger sets have the next power of two.
 BITS = 2048
-#: Rounds of other leaders before the trees.
-ROUNDS = 2
+#: Rounds of other leaders before the trees, and leaders a group in each.
+ROUNDS, LEADERS = 2, 8
 #: Fan-out of the trees, and the most members of a block.
 FANOUT, BLOCK = 16, 2048
 #: Members that are verified beside one copy of their leader.
@@ -513,8 +513,9 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", id_col: str = "do
         groups = mixed()
         if groups.isEmpty():
             break
-        if turn < ROUNDS:  # another leader a group: of the least hash, which is the same one in groups that share it
-            lead = groups.groupBy("gram").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("lead"), F.col("comp").alias("lead_comp"))).alias("l")).select("gram", "l.lead", "l.lead_comp")
+        if turn < ROUNDS:  # other leaders: of the least hashes, which are the same ones in groups that share them
+            first = lambda q: F.min(F.struct(F.xxhash64("doc", F.lit(turn * LEADERS + q)).alias("h"), F.col("doc").alias("lead"), F.col("comp").alias("lead_comp")))  # noqa: B023, E731
+            lead = groups.groupBy("gram").agg(F.array(*[first(q) for q in range(LEADERS)]).alias("l")).select("gram", F.explode("l").alias("l")).select("gram", "l.lead", "l.lead_comp")
             more = groups.join(lead, "gram").where("comp <> lead_comp").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
             more = _plausible(more.join(tried, ["a", "b"], "left_anti"), signed, percent)
         else:
