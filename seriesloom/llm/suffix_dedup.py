@@ -34,7 +34,9 @@ LENGTH, GRAM = 400, 100
 #: The most contexts of one anchor that a task compares; larger groups are split first.
 PART = 2000
 #: Contexts whose columns are built together.
-TOGETHER = 4000
+TOGETHER = 2000
+#: Bytes of text whose hashes are made at a time: some fifteen numbers of eight bytes for each.
+SLICE = 1 << 19
 END = 256
 
 
@@ -107,7 +109,7 @@ def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
         names = ["id", "n", "h1", "h2", "pos", "gram", "context"]
         seen: set[tuple] = set()
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 data, off = column_bytes(b.column(1))
                 h = prefix_hash(data)
                 h2 = prefix_hash(data ^ np.uint8(0x5A))
@@ -302,7 +304,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 out = []
                 for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     raw = t.encode()
