@@ -371,6 +371,10 @@ l AS (SELECT *, (g00 + g11) / 2 + sqrt(power((g00 - g11) / 2, 2) + g01 * g01) AS
 u AS (SELECT *, g01 / sqrt(g01 * g01 + power(lam - g00, 2)) AS u0, (lam - g00) / sqrt(g01 * g01 + power(lam - g00, 2)) AS u1 FROM l)"""
 
 
+def _length(series: DataFrame) -> int:
+    return series.agg(F.max("t")).first()[0] + 1
+
+
 def _two(spark, d, **options):
     e = events(spark, d)
     m = e.agg(F.max("t")).first()[0] // 2 + 1
@@ -495,19 +499,22 @@ def svd_multi_series(spark, d):
 
 @query()
 def svd_page_50(spark, d):
-    m = models.fit_svd(masked(spark, d), "x", n=20, m=50, k=5, p=0.7)
-    return m.denoised()
+    """All whole columns of 20 points that the series has."""
+    e = masked(spark, d)
+    return models.fit_svd(e, "x", n=20, m=_length(e) // 20, k=5, p=0.7).denoised()
 
 
 @query()
 def als_forecaster(spark, d):
-    m = models.fit_als(fill.hide_values(daily(spark, d), 0.8, lambda t: C.lcg(t + 7)), "purchase", ["click"], n=2, m=12, k=2, iterations=4, check=False)
-    return m.denoised()
+    """All whole columns of two days that the series have."""
+    e = fill.hide_values(daily(spark, d), 0.8, lambda t: C.lcg(t + 7))
+    return models.fit_als(e, "purchase", ["click"], n=2, m=_length(e) // 2, k=2, iterations=4, check=False).denoised()
 
 
 @query()
 def segmented_forecaster(spark, d):
-    return models.Segmented.fit(events(spark, d), "x", 1000, rows=10, k=2, rect=4).denoised()
+    e = events(spark, d)
+    return models.Segmented.fit(e, "x", _length(e), rows=10, k=2, rect=4).denoised()
 
 
 @query()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,6 +190,42 @@ class MultiMetricControl:
         return out
 
 
+def _stretches(series: DataFrame, target: str, cut: list[tuple[int, int]]) -> DataFrame:
+    """(b, x): the points of each stretch (start, length) in order of t. Only the last stretch may overlap the one before."""
+    size, last = cut[0][1], len(cut) - 1
+    own = F.floor(F.col("t") / size).cast("long")
+    regular = last + 1 if cut[last][0] == last * size else last
+    at = F.array(F.when(own < regular, own), F.when((F.lit(regular) == last) & (F.col("t") >= cut[last][0]), F.lit(last).cast("long")))
+    used = series.where((F.col("series_key") == target) & (F.col("t") >= 0) & (F.col("t") < cut[last][0] + cut[last][1]))
+    dealt = used.withColumn("b", F.explode(F.filter(at, lambda v: v.isNotNull())))
+    points = F.transform(F.array_sort(F.collect_list(F.struct("t", F.coalesce("value", F.lit(float("nan"))).alias("v")))), lambda v: v["v"])
+    return dealt.groupBy("b").agg(points.alias("x"))
+
+
+def _segments(stretches: DataFrame, cut: list[tuple[int, int]], rows: int, k: int) -> DataFrame:
+    """(b, w, s, u, clean): each stretch's fit as `fit_svd` makes it, where its points are; one pass for all stretches."""
+    used = page.regressor_rows(rows, 1, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.array(x)
+                if len(x) != cut[b][1]:
+                    raise ValueError(f"stretch {b} has {len(x)} points; {cut[b][1]} are needed")
+                hole = np.isnan(x)
+                x[hole] = (np.nanmin(x) + np.nanmax(x)) / 2 if not hole.all() else np.nan
+                a = x.reshape(-1, rows).T
+                g = a @ a.T
+                s, u = factor.eigen(g, k)
+                out.append((b, factor.forecast_weights(g, used, rows - 1, k, 1.0), s, u.ravel(), (u @ (u.T @ a)).T.ravel()))
+            if out:
+                b, *rest = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), *(pa.array([list(v) for v in c], pa.list_(pa.float64())) for c in rest)], ["b", "w", "s", "u", "clean"])
+
+    return stretches.mapInArrow(run, "b long, w array<double>, s array<double>, u array<double>, clean array<double>")
+
+
 @dataclass(frozen=True)
 class Segmented:
     """Sub-models over consecutive stretches of one series; forecasts are averages of the last few sub-models'.
@@ -199,6 +237,7 @@ class Segmented:
     rows: int
     models: list[Forecaster]
     starts: list[int]
+    cells: DataFrame = field(repr=False)
 
     @classmethod
     def fit(cls, series: DataFrame, target: str, points: int, *, rows: int, k: int, rect: int, least: int = 0, gamma: float = 0.5) -> Segmented:
@@ -209,21 +248,24 @@ class Segmented:
         rest = points - (starts[-1] + size)
         if rest >= gamma * size and points > size:
             starts.append(points - size)
+        cut = [(a, min(size, points - a) // rows * rows) for a in starts]
+        fitted = _segments(_stretches(series, target, cut), cut, rows, k).persist()
+        rows_used = page.regressor_rows(rows, 1, True)
+        cells = fitted.select("b", F.posexplode("clean").alias("q", "value")).select("b", F.pmod("q", F.lit(rows)).cast("long").alias("row"), F.floor(F.col("q") / rows).cast("long").alias("c"), "value")
         out = []
-        for a in starts:
-            m = min(size, points - a) // rows
-            part = series.where((F.col("series_key") == target) & (F.col("t") >= a) & (F.col("t") < a + rows * m))
-            out.append(fit_svd(part, target, n=rows, m=m, k=k, check=False))
-        return cls(rows, out, starts)
+        for r in fitted.select("b", "w", "s", "u").orderBy("b").toLocalIterator():
+            s = np.array(r.s)
+            out.append(Forecaster([target], rows, cut[r.b][1] // rows, k, 1.0, True, rows_used, np.array(r.w), s, np.array(r.u).reshape(rows, len(s)), cells.where(F.col("b") == r.b).drop("b"), rows - 1))
+        return cls(rows, out, starts, cells)
 
     def denoised(self) -> DataFrame:
         """Where sub-models overlap, the later one's values."""
-        out = None
-        for i, (model, at) in enumerate(zip(self.models, self.starts, strict=True)):
-            stop = self.starts[i + 1] - at if i + 1 < len(self.starts) else None
-            part = model.denoised(stop=stop).withColumn("t", (F.col("t") + at).cast("long"))
-            out = part if out is None else out.unionByName(part)
-        return out
+        spark = self.cells.sparkSession
+        stops = [*self.starts[1:], None]
+        at = spark.createDataFrame(list(zip(range(len(self.starts)), self.starts, stops, strict=True)), "b long, start long, stop long")
+        t = (F.col("start") + F.col("c") * self.rows + F.col("row")).cast("long")
+        out = self.cells.join(F.broadcast(at), "b").withColumn("t", t).where(F.col("stop").isNull() | (F.col("t") < F.col("stop")))
+        return out.select(F.lit(self.models[0].keys[0]).alias("series_key"), "t", "value")
 
     def predict(self, past: list[float], last: int = 1) -> float:
         return float(np.mean([m.predict({}, past) for m in self.models[-last:]]))
