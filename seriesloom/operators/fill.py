@@ -26,6 +26,13 @@ def midrange_fill(series: DataFrame, default: float | None = None) -> DataFrame:
     return _one_row(series, mid).withColumn("value", F.coalesce("value", "mid")).drop("mid")
 
 
+def batch_fill(series: DataFrame, size: int, default: float = 0.0) -> DataFrame:
+    """Missing values become the middle of the range of their own batch of `size` points; without any there, default."""
+    s = series.withColumn("b", F.floor(F.col("t") / size).cast("long"))
+    mid = s.groupBy("series_key", "b").agg(F.coalesce((F.min("value") + F.max("value")) / 2, F.lit(default)).alias("mid"))
+    return s.join(mid, ["series_key", "b"]).withColumn("value", F.coalesce("value", "mid")).drop("b", "mid")
+
+
 def interpolate(series: DataFrame, block: int = BLOCK) -> DataFrame:
     """Missing values on the line between their neighbours by t; before the first and after the last the nearest value.
 

@@ -141,6 +141,12 @@ def batch_fill(spark, d):
     return fill.midrange_fill(masked(spark, d).where("t < 200"), 0.0).select("t", r6("value").alias("value"))
 
 
+@query(f"WITH {MASK} SELECT t, round(coalesce(x, (min(x) OVER b + max(x) OVER b) / 2, 0), 6) + 0.0 AS value FROM mk WINDOW b AS (PARTITION BY t // 200)")
+def batch_fill_all(spark, d):
+    """Every batch of 200 points by its own range."""
+    return fill.batch_fill(masked(spark, d), 200).select("t", r6("value").alias("value"))
+
+
 @query(f"""WITH {MASK}, w AS (SELECT t, x,
   last_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER a AS pt, last_value(x IGNORE NULLS) OVER a AS px,
   first_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER b AS nt, first_value(x IGNORE NULLS) OVER b AS nx
@@ -491,6 +497,37 @@ def rank_k_update(spark, d):
     return spark.createDataFrame([(float(state.s[0]),)], "s double").select(r6("s", 5).alias("s"))
 
 
+_N, _HEAD = "(SELECT (max(event_id) + 1) // 2 * 2 FROM events)", "(SELECT (max(event_id) + 1) * 7 // 20 * 2 FROM events)"
+
+
+def _initial(spark, d, n, k):
+    """The whole columns of all events, and the state after the first 70 % of them, by a Gram matrix on the executors."""
+    e = events(spark, d)
+    total = _length(e)
+    cut, stop = total * 7 // (10 * n) * n, total // n * n
+    head = page.page_matrix(fill.midrange_fill(e.where(F.col("t") < cut)), n).select(F.col("r").alias("row"), "c", "value")
+    return e.where(F.col("t") < stop), cut, updates.start_gram(factor.gram(factor.columns(head, n), n), cut, k)
+
+
+@query(f"WITH {_TWO.replace('FROM events', f'FROM events WHERE event_id < {_HEAD}')}, n AS (SELECT event_id // 2 AS c, max(value) FILTER (event_id % 2 = 0) AS y0, max(value) FILTER (event_id % 2 = 1) AS y1 FROM events WHERE event_id >= {_HEAD} AND event_id < {_N} GROUP BY 1) SELECT c * 2 + q AS t, round(CASE q WHEN 0 THEN u0 ELSE u1 END * (u0 * y0 + u1 * y1), 6) + 0.0 AS value FROM n, u, (SELECT unnest([0, 1]) AS q)")
+def fold_in_all(spark, d):
+    """The last 30 % of the columns against the vectors of the first 70 %, which folding-in leaves as they are: one pass."""
+    e, cut, state = _initial(spark, d, 2, 1)
+    new = page.page_matrix(e.where(F.col("t") >= cut), 2).select(F.col("r").alias("row"), "c", "value")
+    out = factor.project(factor.columns(new, 2), state.u @ state.u.T).select("c", F.posexplode("y").alias("r", "value"))
+    return out.select((F.col("c") * 2 + F.col("r")).cast("long").alias("t"), r6("value").alias("value"))
+
+
+@query()
+def rank_k_update_all(spark, d):
+    """The singular value after each of the last 30 % of the columns in turn, kept to rank one."""
+    e, cut, state = _initial(spark, d, 2, 1)
+    later = factor.columns(page.page_matrix(e.where(F.col("t") >= cut), 2).select(F.col("r").alias("row"), "c", "value"), 2)
+    for r in later.orderBy("c").toLocalIterator():
+        state, _ = updates.update(state, np.array(r.x), "UP")
+    return spark.createDataFrame([(state.points, float(state.s[0]))], "points long, s double").select("points", r6("s", 5).alias("s"))
+
+
 @query()
 def svd_multi_series(spark, d):
     m = models.fit_svd(daily(spark, d), "purchase", ["click", "view", "signup"], n=5, m=6, k=3, check=False)
@@ -517,16 +554,32 @@ def segmented_forecaster(spark, d):
     return models.Segmented.fit(e, "x", _length(e), rows=10, k=2, rect=4).denoised()
 
 
+#: Points of a file of the stream, and of a write of its results.
+_FILE, _FLUSH = 1 << 20, 1 << 16
+
+
 @query()
 def stream_updates(spark, d):
-    """New points arrive as files; each whole column updates the model."""
+    """The last 30 % of the points arrive as files; each whole column updates the model of the first 70 %."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     at = f"{base}/{uuid.uuid4().hex}"
-    e = events(spark, d).where("t < 700")
-    head = np.array([r.value for r in e.where("t < 600").orderBy("t").collect()])
-    states, rows = {"x": updates.start(head, 10, 3)}, []
-    e.where("t >= 600").repartitionByRange(2, "t").write.parquet(f"{at}/in")
-    q = updates.run_updates(updates.series_stream(spark, f"{at}/in", 10), states, lambda k, t, s, x: rows.extend((k, t + i, float(v)) for i, v in enumerate(x)), f"{at}/log", "UP")
+    e, cut, state = _initial(spark, d, 10, 3)
+    stop = _length(e)
+    for a in range(cut, stop, _FILE):  # one after the other: the stream takes files by their age
+        e.where((F.col("t") >= a) & (F.col("t") < min(a + _FILE, stop))).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    schema, rows = "series_key string, t long, value double", []
+
+    def flush() -> None:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{at}/out")
+        rows.clear()
+
+    def sink(k, t, s, x) -> None:
+        rows.extend((k, t + i, float(v)) for i, v in enumerate(x))
+        if len(rows) >= _FLUSH:
+            flush()
+
+    q = updates.run_updates(updates.series_stream(spark, f"{at}/in", 1), {"x": state}, sink, f"{at}/log", "UP")
     q.processAllAvailable()
     q.stop()
-    return spark.createDataFrame(rows, "series_key string, t long, value double")
+    flush()
+    return spark.read.schema(schema).parquet(f"{at}/out")

@@ -64,3 +64,51 @@ def test_als_forecaster_covers_all_days(spark, longer):
     assert {(r.series_key, r.t) for r in rows} == {(k, t) for k in ("click", "purchase") for t in range(40)}
     day = {k: np.array([x[d * 80 : (d + 1) * 80][i::5].mean() for d in range(1, 41)]) for i, k in enumerate(catalog.TYPES)}
     assert all(abs(r.value - day[r.series_key][r.t]) < 8 for r in rows)
+
+
+def test_start_from_a_gram_matrix():
+    r = np.random.RandomState(3)
+    a = r.randn(6, 50)
+    x, y = catalog.updates.start(a.T.ravel(), 6, 3), catalog.updates.start_gram(a @ a.T, 300, 3)
+    assert np.allclose(x.s, y.s) and np.allclose(x.u @ x.u.T, y.u @ y.u.T) and np.allclose(x.weights(), y.weights()) and y.points == 300
+
+
+def test_updates_take_all_later_events(spark, longer):
+    at, x = longer
+    a = x.reshape(-1, 2).T
+    cut = 3280 * 7 // 20
+    u = np.linalg.svd(a[:, :cut], full_matrices=False)[0][:, :1]
+    got = {r.t: r.value for r in catalog.QUERIES["fold_in_all"](spark, at).collect()}
+    assert sorted(got) == list(range(2 * cut, 3280)) and np.allclose([got[t] for t in sorted(got)], (u @ u.T @ a[:, cut:]).T.ravel(), atol=1e-5)
+    s = np.linalg.svd(a[:, :cut], full_matrices=False)[1][:1]
+    for c in range(cut, a.shape[1]):
+        u, s, _ = np.linalg.svd(np.hstack([u * s, a[:, c : c + 1]]), full_matrices=False)
+        u, s = u[:, :1], s[:1]
+    (r,) = catalog.QUERIES["rank_k_update_all"](spark, at).collect()
+    assert r.points == 3280 and np.isclose(r.s, s[0], atol=1e-4)
+
+
+def test_stream_takes_all_later_events(spark, longer, monkeypatch):
+    at, x = longer
+    monkeypatch.setattr(catalog, "_FILE", 400)
+    monkeypatch.setattr(catalog, "_FLUSH", 200)
+    got = {r.t: r.value for r in catalog.QUERIES["stream_updates"](spark, at).collect()}
+    a, c, want = x.reshape(-1, 10).T, 3280 * 7 // 100, []
+    u, s, _ = np.linalg.svd(a[:, :c], full_matrices=False)
+    u, s = u[:, :3], s[:3]
+    ends = [min(c + k, 328) for k in range(40, 140, 40)]
+    while c < 328:
+        step = min(9, next(q for q in ends if q > c) - c)
+        u, s, _ = np.linalg.svd(np.hstack([u * s, a[:, c : c + step]]), full_matrices=False)
+        u, s = u[:, :3], s[:3]
+        want += (u @ u.T @ a[:, c : c + step]).T.ravel().tolist()
+        c += step
+    assert sorted(got) == list(range(2290, 3280)) and np.allclose([got[t] for t in sorted(got)], want)
+
+
+def test_every_batch_is_filled(spark, longer):
+    at, x = longer
+    got = {r.t: r.value for r in catalog.QUERIES["batch_fill_all"](spark, at).collect()}
+    seen = np.where(lcg(np.arange(3280)) <= 0.7, x, np.nan)
+    want = np.concatenate([np.where(np.isnan(b), (np.nanmin(b) + np.nanmax(b)) / 2, b) for b in np.split(seen, range(200, 3280, 200))])
+    assert sorted(got) == list(range(3280)) and np.allclose([got[t] for t in range(3280)], want, atol=1e-6)
