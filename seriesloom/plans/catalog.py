@@ -54,8 +54,9 @@ def daily(spark: SparkSession, d: str, agg: str = "avg") -> DataFrame:
     return day.crossJoin(F.broadcast(first)).select(F.col("event_type").alias("series_key"), (F.col("day") - F.col("d0")).cast("long").alias("t"), "value")
 
 
-def embedding(spark: SparkSession, d: str, dims: int = 5) -> DataFrame:
-    e = S.table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, dims)).alias("j", "v"))
+def embedding(spark: SparkSession, d: str, dims: int | None = 5) -> DataFrame:
+    """The vectors' first values as a matrix, or all values without dims."""
+    e = S.table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, dims) if dims else F.col("embedding")).alias("j", "v"))
     return e.select(F.col("vec_id").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
 
 
@@ -68,6 +69,9 @@ LCG = "((({0}) * 1103515245 + 12345) % 2147483648) / 2147483648.0"
 EV = "ev AS (SELECT event_id AS t, value AS x FROM events)"
 MASK = f"{EV}, mk AS (SELECT t, x AS truth, CASE WHEN {LCG.format('t')} <= 0.7 THEN x END AS x FROM ev)"
 EMB = "em AS (SELECT vec_id AS i, CAST(u.k - 1 AS BIGINT) AS j, CAST(embedding[u.k] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 6)) AS k) u)"
+#: Vectors have 64 values.
+WIDTH = 64
+EMB_ALL = EMB.replace("range(1, 6)", f"range(1, {WIDTH + 1})")
 LAB = "lb AS (SELECT vec_id AS i, CAST(label AS BIGINT) AS j, 1.0::DOUBLE AS v FROM embeddings)"
 DAY = "dd AS (SELECT event_type AS k, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, {0} AS x FROM events GROUP BY 1, 2), dy AS (SELECT k, day - (SELECT min(day) FROM dd) AS t, x FROM dd)"
 
@@ -355,6 +359,70 @@ def matrix_write_read_copy(spark, d):
     return S.read_matrix(spark, at, "b")
 
 
+# The same over all vectors and all their values.
+
+
+@query(f"WITH {EMB_ALL} SELECT i, j, round(v * 2, 6) + 0.0 AS v FROM em")
+def mat_add_all(spark, d):
+    m = embedding(spark, d, None)
+    return matrix.add(m, m).select("i", "j", r6("v").alias("v"))
+
+
+@query(f"WITH {EMB_ALL}, {LAB} SELECT coalesce(em.i, lb.i) AS i, coalesce(em.j, lb.j) AS j, round(coalesce(em.v, 0) - coalesce(lb.v, 0), 6) + 0.0 AS v FROM em FULL JOIN lb ON em.i = lb.i AND em.j = lb.j")
+def mat_subtract_all(spark, d):
+    return matrix.subtract(embedding(spark, d, None), labels_by_vector(spark, d)).select("i", "j", r6("v").alias("v"))
+
+
+@query(f"WITH {EMB_ALL} SELECT j AS i, i AS j, v FROM em")
+def mat_transpose_all(spark, d):
+    return matrix.transpose(embedding(spark, d, None))
+
+
+@query(f"WITH {EMB_ALL} SELECT a.i, b.i AS j, round(0.5 * sum(a.v * b.v), 6) + 0.0 AS v FROM em a JOIN em b ON a.j = b.j GROUP BY 1, 2")
+def mat_dot_all(spark, d):
+    m = embedding(spark, d, None)
+    return matrix.dot(m, matrix.transpose(m), 0.5).select("i", "j", r6("v").alias("v"))
+
+
+@query(f"WITH {EMB_ALL}, {LAB} SELECT em.j AS i, lb.j, round(sum(em.v * lb.v), 5) + 0.0 AS v FROM em JOIN lb ON em.i = lb.i GROUP BY 1, 2")
+def mat_dot_at_all(spark, d):
+    return matrix.dot(embedding(spark, d, None), labels_by_vector(spark, d), a_transpose=True).select("i", "j", r6("v", 5).alias("v"))
+
+
+@query(f"WITH {EMB_ALL} SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM em a JOIN em b ON a.j = b.j GROUP BY 1, 2")
+def mat_dot_bt_all(spark, d):
+    m = embedding(spark, d, None)
+    return matrix.dot(m, m, b_transpose=True).select("i", "j", r6("v").alias("v"))
+
+
+@query(f"WITH {EMB_ALL}, g AS (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM em a JOIN em b ON a.i = b.i GROUP BY 1, 2) SELECT g.i, em.i AS j, round(sum(g.v * em.v), 4) + 0.0 AS v FROM g JOIN em ON g.j = em.j GROUP BY 1, 2")
+def mat_dot_atbt_all(spark, d):
+    m = embedding(spark, d, None)
+    g = matrix.dot(m, m, a_transpose=True)
+    return matrix.dot(g, m, a_transpose=True, b_transpose=True).select("i", "j", r6("v", 4).alias("v"))
+
+
+@query(f"WITH {EMB_ALL} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 5) + 0.0 AS g FROM em a JOIN em b ON a.i = b.i GROUP BY 1, 2")
+def gram_rows_all(spark, d):
+    cells = embedding(spark, d, None).select(F.col("j").alias("row"), F.col("i").alias("c"), F.col("v").alias("value"))
+    return factor.gram_rows(cells).select("i", "j", r6("g", 5).alias("g"))
+
+
+@query(f"WITH {EMB_ALL} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 5) + 0.0 AS g FROM em a JOIN em b ON a.i = b.i GROUP BY 1, 2")
+def gram_blocks_all(spark, d):
+    cells = embedding(spark, d, None).select(F.col("j").alias("row"), F.col("i").alias("c"), F.col("v").alias("value"))
+    g = factor.gram(factor.columns(cells, WIDTH), WIDTH)
+    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(WIDTH) for j in range(WIDTH)], "i long, j long, g double").select("i", "j", r6("g", 5).alias("g"))
+
+
+@query(f"WITH {EMB_ALL} SELECT i, j, v FROM em")
+def matrix_write_read_copy_all(spark, d):
+    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+    S.write_matrix(embedding(spark, d, None), at, "a")
+    S.copy_matrix(spark, at, "a", at, "b")
+    return S.read_matrix(spark, at, "b")
+
+
 @query("SELECT CAST(20 AS BIGINT) AS i, CAST(600 AS BIGINT) AS cells, true AS centred")
 def random_matrix(spark, d):
     m = S.random_matrix(spark, 20, 30, 5.0, 2.0, seed=7, segments=4)

@@ -112,3 +112,20 @@ def test_every_batch_is_filled(spark, longer):
     seen = np.where(lcg(np.arange(3280)) <= 0.7, x, np.nan)
     want = np.concatenate([np.where(np.isnan(b), (np.nanmin(b) + np.nanmax(b)) / 2, b) for b in np.split(seen, range(200, 3280, 200))])
     assert sorted(got) == list(range(3280)) and np.allclose([got[t] for t in range(3280)], want, atol=1e-6)
+
+
+def test_products_take_all_vectors_and_values(spark, tmp_path):
+    a = np.random.RandomState(8).randn(70, 64).astype(np.float32)
+    label = np.arange(70) % 7
+    spark.createDataFrame([(i, x.tolist(), int(label[i])) for i, x in enumerate(a)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    a = a.astype(float)
+    lab = np.zeros((70, 64))
+    lab[np.arange(70), label] = 1
+    g = a.T @ a
+    want = {"mat_add": 2 * a, "mat_subtract": a - lab, "mat_transpose": a.T, "mat_dot": a @ a.T / 2, "mat_dot_at": a.T @ lab[:, :7], "mat_dot_bt": a @ a.T, "mat_dot_atbt": g @ a.T, "gram_rows": g, "gram_blocks": g, "matrix_write_read_copy": a}
+    for name, m in want.items():
+        rows = catalog.QUERIES[f"{name}_all"](spark, str(tmp_path)).collect()
+        got = np.full(m.shape, np.nan)
+        for i, j, v in rows:
+            got[i, j] = v
+        assert len(rows) == m.size and np.allclose(got, m, atol=1e-4), name
