@@ -17,6 +17,8 @@ How the work is dealt out, none of it growing with the square of a group:
    OR-combined bitmaps with size ranges; the dual traversal drops node pairs whose largest possible overlap is too small
    or which lie in one component. Groups are cut into blocks and block pairs, so that a task's part is bounded.
 5. What the trees leave is verified on the sets themselves and joins the links.
+6. Steps 3 and 4 decide what components need, not every pair in one. The number of links is counted in the end, on the
+   sets of all pairs of a component, in blocks; a link never leaves its component.
 
 A signature has about four bits for each n-gram, so that long documents prune as well as short ones; for a pair of different
 widths the wider one is folded. Leaders' pairs pass the same bound before any text is shipped.
@@ -44,6 +46,8 @@ ROUNDS, LEADERS = 2, 8
 FANOUT, BLOCK = 16, 2048
 #: Members that are verified beside one copy of their leader.
 MEMBERS = 64
+#: The most members and n-grams of a block in which links are counted, and n-grams whose places are held as a dense table at a time.
+LINK_BLOCK, LINK_GRAMS, DENSE = 1024, 1 << 20, 4096
 #: Bits of the filter that keeps documents without candidates from being shipped.
 FILTER = 1 << 23
 
@@ -471,17 +475,88 @@ def _tree_candidates(members: DataFrame, signed: DataFrame, percent: int) -> Dat
     return rows.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 75) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) per document.
+def _links(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, n_links): the members of each component that a member links with. members: node, component, size.
 
-    Words are what stands between ASCII white space, with A-Z lower-cased. n_links counts the verified links of the
-    document's class to other sets, as far as they had to be decided: pairs inside a known component are left out.
-    Null and empty texts have no n-gram, link with nothing and are their own component. Repeated rows of one id are
-    one document each row; ids must be whole numbers. An empty table gives no rows. Extra columns are ignored.
+    A link never leaves a component, so all pairs of one are decided on the sets themselves: by pairs of blocks, to which
+    texts are shipped, and from which one number a member and pair of blocks comes back. Two members have one link.
+    """
+    per = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LINK_BLOCK), F.ceil(F.sum("size") / LINK_GRAMS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"))
+    per = per.withColumn("blocks", F.least("blocks", F.col("m").cast("int")))
+    rows = members.join(per, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = written(rows.select("node", "component", "own", "blocks", "m"), "link-members")
+    pairs, rows = rows.where("m = 2").select("node", F.lit(1).cast("long").alias("k")), rows.where("m > 2")
+    texts = _needed(docs, rows.select(F.col("node").alias("a"))).withColumnRenamed("id", "node")
+    rows = rows.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def solve() -> pa.RecordBatch:
+            left, right = sides
+            x = [s for _, s in left]
+            a, b = link_counts(x, None if now[1] == now[2] else [s for _, s in right], percent)
+            ids = [v for v, _ in left] + ([] if b is None else [v for v, _ in right])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a if b is None else np.concatenate([a, b]), pa.int64())], ["node", "k"])
+
+        for batch in batches:
+            for b in slices(batch, "text"):
+                cols = [b.column(i).to_pylist() for i in range(5)]
+                for c, i, j, own, node, s in zip(*cols, shingle_sets(b.column(5), n), strict=True):
+                    if (c, i, j) != now:
+                        if now is not None:
+                            yield solve()
+                        now, sides = (c, i, j), ([], [])
+                    side = sides[own != i]
+                    if not side or side[-1][0] != node:  # repeated rows of one id count once
+                        side.append((node, s))
+        if now is not None:
+            yield solve()
+
+    dealt = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "node")
+    return dealt.mapInArrow(run, "node long, k long").unionByName(pairs).groupBy("node").agg(F.sum("k").alias("n_links"))
+
+
+def link_counts(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """How many sets of the other side each set links with; without right, how many others of its own side.
+
+    Sizes of intersections are products of 0/1 tables of the n-grams that can be common, DENSE n-grams at a time.
     """
+    both = left if right is None else left + right
+    if not left or not both[len(left) :] and right is not None:
+        return np.zeros(len(left), np.int64), None if right is None else np.zeros(len(right), np.int64)
+    size = np.array([len(s) for s in both], np.int64)
+    grams, row = np.concatenate(both), np.repeat(np.arange(len(both)), size)
+    order = np.argsort(grams, kind="stable")
+    grams, row = grams[order], row[order]
+    place = np.cumsum(np.append(0, (grams[1:] != grams[:-1]).astype(np.int64))) if len(grams) else grams.astype(np.int64)
+    times = np.bincount(place)
+    if right is None:
+        shared = times > 1
+    else:
+        first = np.bincount(place, row < len(left))
+        shared = (first > 0) & (first < times)
+    keep = shared[place]
+    place, row = (np.cumsum(shared) - 1)[place[keep]], row[keep]
+    n, width = len(left), int(shared.sum())
+    common = np.zeros((n, n if right is None else len(right)), np.float32)  # whole numbers below 2^24 are exact
+    edge = np.searchsorted(place, np.arange(0, width + DENSE, DENSE))
+    for k, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        table = np.zeros((len(both), min(DENSE, width - k * DENSE)), np.float32)
+        table[row[a:z], place[a:z] - k * DENSE] = 1
+        common += table[:n] @ (table if right is None else table[n:]).T
+    link = common * np.float64(100 + percent) >= percent * (size[:n, None] + (size if right is None else size[n:])[None]).astype(np.float64)
+    link &= common > 0
+    if right is None:
+        np.fill_diagonal(link, False)
+        return link.sum(1), None
+    return link.sum(1), link.sum(0)
+
+
+def _joined(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, size) of every row, the representative of each id (id, rep, size), and (node, component) of linked representatives."""
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     digests = written(_digests(docs, n), "digests")
     levels = spark.sparkContext.broadcast(_levels(digests).tobytes())
     sets = digests.where("block is null").select("id", "size", "h1", "h2")
@@ -527,16 +602,32 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", id_col: str = "do
         tried = written(tried.unionByName(more), "tried")
         links = written(links.unionByName(verified(more, docs, n, percent)), "links")
         comp = components(links)
-    ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    comp = written(comp.join(ends, F.col("node") == F.col("a"), "left").select("node", "component", "n_links"), "components")
-    out = sets.join(rep_of.select(F.col("id").alias("i"), "rep"), F.col("id") == F.col("i"), "left").join(comp, F.col("rep") == F.col("node"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sets, rep_of, comp
+
+
+def jaccard_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 75, count_links: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id, n_links) per document.
 
+    Words are what stands between ASCII white space, with A-Z lower-cased. n_links counts all other sets that the
+    document's set links with, also inside a component; equal sets are one. Without count_links the column is left out.
+    Null and empty texts have no n-gram, link with nothing and are their own component. Repeated rows of one id are
+    one document each row; ids must be whole numbers. An empty table gives no rows. Extra columns are ignored.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    sets, rep_of, comp = _joined(docs, n, percent)
+    if count_links:
+        members = comp.join(rep_of.select("rep", "size").distinct(), F.col("node") == F.col("rep")).select("node", "component", "size")
+        comp = comp.join(_links(members, docs, n, percent), "node", "left")
+    comp = written(comp, "components")
+    out = sets.join(rep_of.select(F.col("id").alias("i"), "rep"), F.col("id") == F.col("i"), "left").join(comp, F.col("rep") == F.col("node"), "left")
+    links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), *links)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows, with all their columns, of the smallest id of each component, once each; rows without an id all stay."""
-    found = jaccard_components(docs.where(F.col(id_col).isNotNull()), id_col=id_col, **options)
+    found = jaccard_components(docs.where(F.col(id_col).isNotNull()), id_col=id_col, count_links=False, **options)
     first = written(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "kept")
     kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -99,3 +99,25 @@ def test_trees_lose_no_pair():
     got = set(zip(a.tolist(), b.tolist(), strict=True))
     want = {(i, j) for i in range(150) for j in range(150, 300) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (size[i] + size[j] - n)}
     assert want <= got and len(got) < 150 * 150 / 2
+
+
+def links(rows):
+    """The number of other sets that each document's set links with."""
+    of = {i: frozenset(shingles(t)) for i, t in rows}
+    every = {s for s in of.values() if s}
+    count = {s: sum(s != x and 100 * len(s & x) >= 75 * len(s | x) for x in every) for s in every}
+    return {i: count.get(s, 0) for i, s in of.items()}
+
+
+def test_all_links_are_counted(spark, monkeypatch):
+    word = [f"w{k}" for k in range(200)]
+    clique = [(i, " ".join([*word, f"end{i}"])) for i in range(40)]
+    rows = clique + near_copies(7) + ODD
+    want = links(rows)
+    assert all(want[i] == 39 for i, _ in clique)
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert got == want
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", 6)
+    monkeypatch.setattr(jaccard, "DENSE", 64)
+    df = frame(spark, rows).repartition(5)
+    assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(df).collect()} == want
