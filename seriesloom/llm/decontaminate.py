@@ -58,7 +58,8 @@ class Index:
     radius: int
 
     def __post_init__(self) -> None:
-        self.grams = np.array(sorted(self.weight), np.uint64)
+        self.grams = np.array(sorted({g for bag in self.bags for g in bag}), np.uint64)
+        self.weighted = np.array(sorted(self.weight), np.uint64)
         self.gram_weight = np.array([whole(self.weight[g]) for g in sorted(self.weight)], np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -80,8 +81,8 @@ class Index:
         return at[self.grams[pos] == grams[at]] if len(self.grams) else at[:0]
 
     def weights(self, grams: np.ndarray) -> np.ndarray:
-        pos = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        return np.where(self.grams[pos] == grams, self.gram_weight[pos], whole(self.rare))
+        pos = np.minimum(np.searchsorted(self.weighted, grams), len(self.weighted) - 1)
+        return np.where(self.weighted[pos] == grams, self.gram_weight[pos], whole(self.rare))
 
     def near(self, prints: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """For each fingerprint the items within the radius, with their distances."""
@@ -105,22 +106,53 @@ class Index:
         return both / (sum(k * self.weight.get(g, self.rare) for g, k in own.items()) + self.totals[item] - both)
 
 
-def build(items: list[tuple[int, str | None]], n: int, radius: int) -> list[Index]:
-    """Indexes by n-gram length: n, or an item's own number of words if it has fewer. Items without words match nothing."""
+def item_grams(items: list[tuple[int, str | None]], n: int) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """(item, n-grams) by n-gram length: n, or an item's own number of words if it has fewer. Items without words are left out."""
     words, wo = word_hashes(pa.array([t or "" for _, t in items], pa.string()), NOT_ALNUM)
     by: dict[int, list[tuple[int, np.ndarray]]] = {}
     for (i, _), a, b in zip(items, wo[:-1], wo[1:], strict=True):
         if b > a:
             k = min(n, int(b - a))
             by.setdefault(k, []).append((i, windows_hash(words[a:b], k)))
+    return by
+
+
+def frequencies(items: DataFrame, n: int) -> dict[int, tuple[int, dict[int, int]]]:
+    """By n-gram length: the number of items (i, t), and how many items have an n-gram, for those that several have.
+
+    An n-gram that one item has weighs as much as one that none has, so only what items share comes to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, own in item_grams([(0, t) for t in b.column(0).to_pylist()], n).items():
+                grams = np.concatenate([np.unique(g) for _, g in own]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * (len(grams) + 1), pa.int32()), pa.array([*grams.tolist(), None], pa.int64()), pa.array([1] * len(grams) + [len(own)], pa.int64())], ["k", "gram", "c"])
+
+    rows = items.select("t").mapInArrow(run, "k int, gram long, c long").groupBy("k", "gram").agg(F.sum("c").alias("c"))
+    out: dict[int, tuple[int, dict[int, int]]] = {}
+    for r in rows.where("gram is null or c > 1").orderBy(F.col("gram").asc_nulls_first()).toLocalIterator():
+        if r.gram is None:
+            out[r.k] = (r.c, {})
+        else:
+            out[r.k][1][r.gram & (1 << 64) - 1] = r.c
+    return out
+
+
+def build(items: list[tuple[int, str | None]], n: int, radius: int, every: dict[int, tuple[int, dict[int, int]]] | None = None) -> list[Index]:
+    """Indexes by n-gram length. every: `frequencies` of the whole benchmark, where items are a block of it."""
     out = []
-    for k, own in sorted(by.items()):
+    for k, own in sorted(item_grams(items, n).items()):
         df = Counter(g for _, grams in own for g in set(grams.tolist()))
-        weight = {g: 1 + log(len(own) / c) for g, c in df.items()}
+        total = len(own)
+        if every is not None:
+            total, shared = every[k]
+            df = dict.fromkeys(df, 1) | shared
+        weight = {g: 1 + log(total / c) for g, c in df.items()}
         bags = [dict(Counter(grams.tolist())) for _, grams in own]
         totals = np.array([sum(c * weight[g] for g, c in bag.items()) for bag in bags])
         prints = np.array([pack((signs(grams) * np.array([whole(weight[g]) for g in grams.tolist()])[:, None]).sum(0)[None])[0] for _, grams in own], np.uint64)
-        out.append(Index(k, [i for i, _ in own], bags, np.array([len(g) for _, g in own]), totals, prints, weight, 1 + log(len(own)), radius))
+        out.append(Index(k, [i for i, _ in own], bags, np.array([len(g) for _, g in own]), totals, prints, weight, 1 + log(total), radius))
     return out
 
 
@@ -198,14 +230,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
         return run
 
     kinds = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-    last, full = None, True
+    last, full, every = None, True, None
     while full:  # one block, unless the benchmark is larger than what is broadcast
         part = [(r.i, r.t) for r in (items if last is None else items.where(F.col("i") > F.lit(last))).orderBy("i", "t").limit(BLOCK_ITEMS).collect()]
         full = len(part) == BLOCK_ITEMS
         if full:  # texts of the last id stay together, in the next block
             part = [x for x in part if x[0] < part[-1][0]] or part
+        if full and every is None:  # weights are of the whole benchmark in every block
+            every = frequencies(items, n)
         if part:
-            found = rows.mapInArrow(scan(spark.sparkContext.broadcast(build(part, n, radius))), schema)
+            found = rows.mapInArrow(scan(spark.sparkContext.broadcast(build(part, n, radius, every))), schema)
             out = found if last is None else out.unionByName(found)
             last = part[-1][0]
     return out.withColumnsRenamed({"id": id_col, "item": item_id})

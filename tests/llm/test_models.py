@@ -120,6 +120,20 @@ def test_item_blocks(spark, monkeypatch):
     assert planted <= got
 
 
+def test_item_blocks_change_no_result(spark, monkeypatch):
+    items, rows, _ = leaks()
+    r = random.Random(4)
+    shared = prose(12, r)
+    items += [(100 + i, f"{shared} {prose(8, r)}") for i in range(12)]
+    rows += [(5000 + i, f"{prose(20, r)} {shared} {' '.join(items[42 + i % 12][1].split()[12:])} {prose(9, r)}") for i in range(24)]
+    rows += [(6000 + i, f"{prose(9, r)} {shared} {' '.join(items[42 + i % 12][1].split()[12 : 15 + i % 5])} {prose(9, r)}") for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: {tuple(x) for x in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    whole = found()
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
+    assert found() == whole
+
+
 def test_multi_index_misses_no_print_within_the_radius():
     items, _, _ = leaks()
     (x,) = [x for x in decontaminate.build(items, 5, 6) if x.n == 5]
