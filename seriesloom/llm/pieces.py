@@ -292,17 +292,33 @@ def spelled(ids: np.ndarray, offs: np.ndarray, changes: list[tuple[int, list[int
     return out + ids[done:].tolist()
 
 
+def digests(ids: np.ndarray, offs: np.ndarray, ways: list[tuple[float, list]]) -> list[str]:
+    """SHA-256 of the comma-joined ids of each path; what a path shares with the best one, ids, is copied as bytes."""
+    best, out = ",".join(map(str, ids.tolist())).encode() + b"," * bool(len(ids)), []
+    width = np.full(len(ids), 2)
+    for limit in (10, 100, 1000, 10_000, 100_000, 1_000_000):
+        width += ids >= limit
+    at_byte = np.concatenate([[0], np.cumsum(width)])
+    for _, changes in ways:
+        path, done = [], 0
+        for at, alt in sorted(changes):
+            path += [best[done : at_byte[offs[at]]], *(b"%d," % v for v in alt)]
+            done = int(at_byte[offs[at + 1]])
+        out.append(sha256(b"".join([*path, best[done:]])[:-1]).hexdigest())
+    return out
+
+
 def encode(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", n_best: int = 4, model: str = MODEL, all_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids, round_trip, scores, n_tokens_best, ids_sha256, nbest_ids) per row.
+    """(id, n_tokens, ids, round_trip, scores, n_tokens_best, ids_sha256, nbest_sha256, nbest_ids) per row.
 
     ids is the best segmentation; scores and n_tokens_best list the n_best ones, best first, fewer if there are no more;
-    nbest_ids has their ids if all_ids, else is null. ids_sha256 digests the ids as comma-joined decimals. round_trip:
-    decoding ids gives the text. Null and empty texts have no ids, one empty segmentation of score 0, and come back as
+    nbest_ids has their ids if all_ids, else is null. ids_sha256 digests the ids as comma-joined decimals,
+    nbest_sha256 those of each of the n_best segmentations. round_trip: decoding ids gives the text. Null and empty texts have no ids, one empty segmentation of score 0, and come back as
     empty. Characters without a piece become bytes. Repeated rows give repeated results; extra columns are ignored; an
     empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    names = ["id", "n_tokens", "ids", "round_trip", "scores", "n_tokens_best", "ids_sha256", "nbest_ids"]
+    names = ["id", "n_tokens", "ids", "round_trip", "scores", "n_tokens_best", "ids_sha256", "nbest_sha256", "nbest_ids"]
     ints, more = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +326,7 @@ def encode(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", n_bes
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
                 texts = b.column(1).to_pylist()
-                n, flat, trip, scores, sizes, digest, every = [], [], [], [], [], [], []
+                n, flat, trip, scores, sizes, digest, paths, every = [], [], [], [], [], [], [], []
                 for t, (ids, ways, offs) in zip(texts, lattice.encode_batch(texts, n_best), strict=True):
                     own = ids.tolist()
                     n.append(len(own))
@@ -318,14 +334,15 @@ def encode(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", n_bes
                     trip.append(lattice.decode(own) == t)
                     scores.append([v for v, _ in ways])
                     sizes.append([len(own) + sum(len(alt) - int(offs[at + 1] - offs[at]) for at, alt in c) for _, c in ways])
-                    digest.append(sha256(",".join(map(str, own)).encode()).hexdigest())
+                    paths.append(digests(ids, offs, ways))
+                    digest.append(paths[-1][0])
                     every.append([spelled(ids, offs, c) for _, c in ways] if all_ids else None)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(flat)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), ids, pa.array(trip), pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, ints), pa.array(digest), pa.array(every, more)], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), ids, pa.array(trip), pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, ints), pa.array(digest), pa.array(paths, pa.list_(pa.string())), pa.array(every, more)], names)
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    schema = f"id {kind}, n_tokens long, ids array<int>, round_trip boolean, scores array<double>, n_tokens_best array<int>, ids_sha256 string, nbest_ids array<array<int>>"
+    schema = f"id {kind}, n_tokens long, ids array<int>, round_trip boolean, scores array<double>, n_tokens_best array<int>, ids_sha256 string, nbest_sha256 array<string>, nbest_ids array<array<int>>"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

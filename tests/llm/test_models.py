@@ -173,6 +173,14 @@ def test_n_best_against_enumeration(text):
     assert all(lattice.decode(list(p)) == text for p in paths)
 
 
+def test_every_segmentation_is_digested(spark):
+    rows = documents(40) + ODD[:6]
+    query = {r.doc_id: r for r in pieces.encode(frame(spark, rows)).drop("ids", "nbest_ids").collect()}
+    for r in pieces.encode(frame(spark, rows), all_ids=True).collect():
+        assert list(query[r.doc_id].nbest_sha256) == [sha256(",".join(map(str, x)).encode()).hexdigest() for x in r.nbest_ids]
+        assert len(set(query[r.doc_id].nbest_sha256)) == len(r.nbest_ids)
+
+
 def test_encode_decode(spark):
     rows = documents(60) + ODD
     enc = pieces.encode(frame(spark, rows), all_ids=True)
