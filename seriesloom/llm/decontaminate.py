@@ -188,6 +188,43 @@ def matches(index: Index, grams: np.ndarray, hit: np.ndarray, least: float) -> l
     return [(index.items[i], start, m, d, sim) for i, (sim, start, m, d) in sorted(best.items())]
 
 
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, n: int, radius: int) -> Iterator:
+    """Broadcast indexes of the benchmark: one block, unless it is larger than what is broadcast."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null").distinct()
+    last, full, every = None, True, None
+    while full:
+        part = [(r.i, r.t) for r in (items if last is None else items.where(F.col("i") > F.lit(last))).orderBy("i", "t").limit(BLOCK_ITEMS).collect()]
+        full = len(part) == BLOCK_ITEMS
+        if full:  # texts of the last id stay together, in the next block
+            part = [x for x in part if x[0] < part[-1][0]] or part
+        if full and every is None:  # weights are of the whole benchmark in every block
+            every = frequencies(items, n)
+        if part:
+            yield spark.sparkContext.broadcast(build(part, n, radius, every))
+            last = part[-1][0]
+
+
+def _found(own: list[Index], texts: pa.Array, least: float) -> list[tuple]:
+    """(row, item, first word, words, distance, similarity) of each text's best window for each item it holds."""
+    words, wo = word_hashes(texts, NOT_ALNUM)
+    found = []
+    for x in own:
+        grams = windows_hash(words, x.n)
+        hit = x.hits(grams)
+        if not len(hit):
+            continue
+        row = np.searchsorted(wo, hit, "right") - 1
+        ok = hit + x.n <= wo[row + 1]
+        hit, row = hit[ok], row[ok]
+        edge = np.flatnonzero(np.diff(row, prepend=-1))
+        for a, z in zip(edge, np.append(edge[1:], len(row)), strict=True):
+            k = int(row[a])
+            for item, start, m, d, sim in matches(x, grams[wo[k] : wo[k + 1] - x.n + 1], hit[a:z] - wo[k], least):
+                found.append((k, item, start, m + x.n - 1, d, sim))
+    return found
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", item_id: str = "item_id", item_text: str = "text", n: int = 5, least: float = 0.75, radius: int = RADIUS) -> DataFrame:
     """(id, item, start_word, n_words, distance, similarity): the best window of each document for each item it holds.
 
@@ -200,29 +237,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_id]
     schema = f"id {kind}, item {item_kind}, start_word long, n_words long, distance int, similarity double"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null").distinct()
     out = spark.createDataFrame([], schema)
 
     def scan(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = index.value
             for batch in batches:
                 for b in slices(batch, "text"):
-                    words, wo = word_hashes(b.column(1), NOT_ALNUM)
-                    found = []
-                    for x in own:
-                        grams = windows_hash(words, x.n)
-                        hit = x.hits(grams)
-                        if not len(hit):
-                            continue
-                        row = np.searchsorted(wo, hit, "right") - 1
-                        ok = hit + x.n <= wo[row + 1]
-                        hit, row = hit[ok], row[ok]
-                        edge = np.flatnonzero(np.diff(row, prepend=-1))
-                        for a, z in zip(edge, np.append(edge[1:], len(row)), strict=True):
-                            k = int(row[a])
-                            for item, start, m, d, sim in matches(x, grams[wo[k] : wo[k + 1] - x.n + 1], hit[a:z] - wo[k], least):
-                                found.append((k, item, start, m + x.n - 1, d, sim))
+                    found = _found(index.value, b.column(1), least)
                     if found:
                         k, *rest = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k)), *(pa.array(v, t) for v, t in zip(rest, (kinds, pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True))], ["id", "item", "start_word", "n_words", "distance", "similarity"])
@@ -230,22 +251,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
         return run
 
     kinds = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-    last, full, every = None, True, None
-    while full:  # one block, unless the benchmark is larger than what is broadcast
-        part = [(r.i, r.t) for r in (items if last is None else items.where(F.col("i") > F.lit(last))).orderBy("i", "t").limit(BLOCK_ITEMS).collect()]
-        full = len(part) == BLOCK_ITEMS
-        if full:  # texts of the last id stay together, in the next block
-            part = [x for x in part if x[0] < part[-1][0]] or part
-        if full and every is None:  # weights are of the whole benchmark in every block
-            every = frequencies(items, n)
-        if part:
-            found = rows.mapInArrow(scan(spark.sparkContext.broadcast(build(part, n, radius, every))), schema)
-            out = found if last is None else out.unionByName(found)
-            last = part[-1][0]
+    for index in _blocks(benchmark, item_id, item_text, n, radius):
+        out = out.unionByName(rows.mapInArrow(scan(index), schema))
     return out.withColumnsRenamed({"id": id_col, "item": item_id})
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows, with all their columns, that hold no item. Few documents hold one, so their ids are what is joined."""
-    found = contaminated(docs, benchmark, text=text, id_col=id_col, **options).select(id_col).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, least: float = 0.75, radius: int = RADIUS) -> DataFrame:
+    """The rows, with all their columns, that hold no item, each decided by itself: ids do not matter, and nothing is shuffled."""
+    small_batches(docs.sparkSession)
+
+    def scan(index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in slices(batch, text):
+                    texts = pa.array([t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()], pa.string())
+                    keep = np.ones(b.num_rows, bool)
+                    keep[[x[0] for x in _found(index.value, texts, least)]] = False
+                    yield b.filter(pa.array(keep))
+
+        return run
+
+    for index in _blocks(benchmark, item_id, item_text, n, radius):
+        docs = docs.mapInArrow(scan(index), docs.schema)
+    return docs

@@ -120,6 +120,14 @@ def test_item_blocks(spark, monkeypatch):
     assert planted <= got
 
 
+def test_rows_without_id_are_decontaminated(spark):
+    items, rows, planted = leaks()
+    bad = {i for i, _ in planted}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    some = [(None, t) for i, t in rows if i in bad][:5] + [(None, "a b c d e f g"), (None, None), (7, None)]
+    assert sorted(r.text or "" for r in decontaminate.keep_clean(frame(spark, some), bench).collect()) == ["", "", "a b c d e f g"]
+
+
 def test_item_blocks_change_no_result(spark, monkeypatch):
     items, rows, _ = leaks()
     r = random.Random(4)
