@@ -3,25 +3,26 @@
 Two documents link when |A & B| / |A | B| of their n-gram sets reaches a threshold. All links between different sets are
 decided exactly; the result is one row per document with the smallest document reachable over links.
 
-How the work is dealt out, none of it growing with the square of a group:
+Nodes are different sets, known by a 64-bit hash of their n-grams: ids play no part before the result, so rows without id,
+ids of any kind and one id on several texts are all in order. How the work is dealt out:
 
-1. One pass gives every set's size and 128-bit identity; equal sets form a class and go on as one representative. The
-   same pass counts n-grams in a sketch of fixed size, from which only an order is read: n-grams that look frequent
-   come last. Any order gives the same result; this one keeps passages shared by very many documents out of the prefixes.
+1. One pass gives every set's node, size and signature, and counts n-grams in a sketch of fixed size, from which only an
+   order is read: n-grams that look frequent come last. Any order gives the same result; this one keeps passages shared by
+   very many documents out of the prefixes.
 2. Prefix routing: sets of similarity t share one of their first |x| - ceil(t |x|) + 1 n-grams of that order. Rows
-   (n-gram, document, size) meet by n-gram and are read as a sorted stream, never held as a group.
-3. In each group members are compared with a leader first. Verified links give components: a group of thousands of near
-   copies becomes one component by a linear number of comparisons.
-   Two more rounds with other leaders join what the first is too far from.
-4. Groups that still hold several components go through signature trees: leaves are documents' bitmaps, inner nodes
-   OR-combined bitmaps with size ranges; the dual traversal drops node pairs whose largest possible overlap is too small
-   or which lie in one component. Groups are cut into blocks and block pairs, so that a task's part is bounded.
-5. What the trees leave is verified on the sets themselves and joins the links.
-6. Steps 3 and 4 decide what components need, not every pair in one. The number of links is counted in the end, on the
-   sets of all pairs of a component, in blocks; a link never leaves its component.
-
-A signature has about four bits for each n-gram, so that long documents prune as well as short ones; for a pair of different
-widths the wider one is folded. Leaders' pairs pass the same bound before any text is shipped.
+   (n-gram, node, size) meet by n-gram and are read as a sorted stream, never held as a group. Small groups of the same
+   nodes are one group.
+3. Each group's members are compared with its smallest by signature. What a signature allows ties nodes together, so a
+   group of thousands of near copies becomes one piece by a linear number of comparisons.
+4. Groups of several pieces go through signature trees: leaves are nodes' bitmaps, inner nodes OR-combined bitmaps with size
+   ranges; the dual traversal drops node pairs whose largest possible overlap is too small or which lie in one piece. Large
+   groups are cut into blocks by piece and size, and only blocks that can hold a link meet.
+5. No link leaves a piece of what the trees allow, so texts are only shipped for pieces of two nodes and more. With counts,
+   all pairs of a piece are decided on the sets themselves, in blocks that sizes allow. Without counts, the pairs that tie
+   the piece together are verified, and only what they leave apart is compared in blocks.
+
+A signature has 1.5 to 3 bits for each n-gram, and 256 at least, so that long documents prune as well as short ones; for a
+pair of different widths the wider one is folded.
 """
 
 from __future__ import annotations
@@ -30,26 +31,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import Shelf
 from .textops import mix, slices, small_batches, windows_hash, word_hashes
 
-#: Cells of the order sketch: the most that is sent to the driver and broadcast is this many bytes.
+#: Cells of the order sketch: the most that is sent to the driver and broadcast is twice as many bytes.
 CELLS = 1 << 22
-#: Bits of the signature of a set of up to a quarter as many n-grams; larger sets have the next power of two.
-BITS = 2048
-#: Rounds of other leaders before the trees, and leaders a group in each.
-ROUNDS, LEADERS = 2, 8
+#: The fewest bits of a signature; sets of more than two thirds as many n-grams have the next power of two.
+BITS = 256
 #: Fan-out of the trees, and the most members of a block.
 FANOUT, BLOCK = 16, 2048
 #: Members that are verified beside one copy of their leader.
 MEMBERS = 64
-#: The most members and n-grams of a block in which links are counted, and n-grams whose places are held as a dense table at a time.
+#: The most members and n-grams of a block whose pairs are decided, and n-grams whose places are held as a dense table at a time.
 LINK_BLOCK, LINK_GRAMS, DENSE = 1024, 1 << 20, 4096
-#: Bits of the filter that keeps documents without candidates from being shipped.
-FILTER = 1 << 23
+#: Most bits of the filter that keeps documents without candidates from being shipped; 16 for each wanted text, up to these.
+FILTER = 1 << 27
+#: Members of one component in a group that are taken out of it.
+PIECE = 8
+#: Rows of small groups that are compared at a time.
+POOL = 1 << 14
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -62,6 +66,11 @@ def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
+def node_of(s: np.ndarray) -> int:
+    """A set's node: 64 bits of its n-grams and their number."""
+    return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+
+
 def prefix_size(n: np.ndarray | int, percent: int):
     """|x| - ceil(t |x|) + 1."""
     return n - (n * percent + 99) // 100 + 1
@@ -71,14 +80,27 @@ def _cells(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
 
 
-def _digests(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (id, size, h1, h2, bits) and rows of sketch blocks (block, bits)."""
+def _signature(s: np.ndarray) -> np.ndarray:
+    """A bitmap of BITS times the power of two that the size needs; a set's n-gram has the bit of its low bits."""
+    width = BITS
+    while 2 * width < 3 * len(s):
+        width *= 2
+    bits = np.zeros(width, np.uint8)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits)
+
+
+def _digests(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of documents (id, t1, t2, node, size, bits; bits once a task and node) and rows of sketch blocks (block, bits)."""
     span = 1 << 14
+    kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
-        names = ["id", "size", "h1", "h2", "block", "bits"]
+        names = ["id", "t1", "t2", "node", "size", "bits", "block"]
         held: list[np.ndarray] = []
+        seen: set[int] = set()
+        id_type = None
 
         def count() -> None:
             if held:
@@ -86,28 +108,33 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
                 held.clear()
 
         for batch in batches:
+            id_type = batch.column(0).type
             for b in slices(batch, "text"):
-                sets = shingle_sets(b.column(1), n)
+                sets = shingle_sets(b.column(3), n)
                 held += sets
                 if sum(map(len, held)) > 1 << 21:
                     count()
-                size = np.array([len(s) for s in sets], np.int64)
-                h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                h2 = np.array([mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                bits = [_signature(s).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.nulls(b.num_rows, pa.int32()), pa.array(bits, pa.binary())], names)
+                nodes = [node_of(s) for s in sets]
+                bits: list[bytes | None] = []
+                for v, s in zip(nodes, sets, strict=True):
+                    bits.append(None if v in seen else _signature(s).tobytes())
+                    seen.add(v)
+                if len(seen) > 200_000:
+                    seen.clear()
+                size = pa.array([len(s) for s in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(nodes, pa.int64()), size, pa.array(bits, pa.binary()), pa.nulls(b.num_rows, pa.int32())], names)
         count()
         for i in range(CELLS // span):
             part = counts[i * span : (i + 1) * span]
             if part.any():
-                none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i], pa.int32()), pa.array([np.minimum(part, 65535).astype(np.uint16).tobytes()], pa.binary())], names)
+                none = [pa.nulls(1, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([np.minimum(part, 65535).astype(np.uint16).tobytes()], pa.binary()), pa.array([i], pa.int32())], names)
 
-    return docs.mapInArrow(run, "id long, size long, h1 long, h2 long, block int, bits binary")
+    return rows.select("id", "t1", "t2", "text").mapInArrow(run, f"id {kind}, t1 long, t2 long, node long, size int, bits binary, block int")
 
 
 def _levels(digests: DataFrame) -> np.ndarray:
-    """The sketch's sums as powers of two, one byte a cell."""
+    """The sketch's sums on a scale of 1,500 steps for each doubling."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -116,58 +143,59 @@ def _levels(digests: DataFrame) -> np.ndarray:
                 part = np.frombuffer(raw.as_buffer(), np.uint16).astype(np.int64)
                 sums[i] = sums[i] + part if i in sums else part
         if sums:
-            level = [np.floor(np.log2(np.maximum(sums[i], 1))).astype(np.uint8).tobytes() for i in sums]
+            level = [np.minimum(np.log2(np.maximum(sums[i], 1)) * 1500, 65535).astype(np.uint16).tobytes() for i in sums]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["block", "level"])
 
-    out = np.zeros(CELLS, np.uint8)
+    out = np.zeros(CELLS, np.uint16)
     span = 1 << 14
     rows = digests.where("block is not null").select("block", "bits").repartition("block").mapInArrow(add, "block int, level binary").collect()
-    for r in rows:  # CELLS bytes at most
-        out[r.block * span : (r.block + 1) * span] = np.frombuffer(r.level, np.uint8)
+    for r in rows:  # 2 * CELLS bytes at most
+        out[r.block * span : (r.block + 1) * span] = np.frombuffer(r.level, np.uint16)
     return out
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
-    """(gram, id, size) for each set's prefix. Equal sets met in one task are routed once."""
+def _prefixes(rows: DataFrame, n: int, percent: int, levels) -> DataFrame:
+    """(gram, node, size) for each set's prefix. Equal sets met in one task are routed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = np.frombuffer(levels.value, np.uint8), set()
+        level, seen = np.frombuffer(levels.value, np.uint16), set()
         for batch in batches:
             for b in slices(batch, "text"):
-                grams, ids, sizes = [], [], []
-                for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), n), strict=True):
+                grams, nodes, sizes = [], [], []
+                for s in shingle_sets(b.column(0), n):
                     if not len(s):
                         continue
-                    same = (len(s), int(mix(s).sum(dtype=np.uint64)), int(s[0]))
-                    if same in seen:
+                    node = node_of(s)
+                    if node in seen:
                         continue
                     if len(seen) > 200_000:
                         seen.clear()
-                    seen.add(same)
+                    seen.add(node)
                     p = prefix_size(len(s), percent)
-                    order = (level[_cells(s)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                    order = (level[_cells(s)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
                     grams.append(s[np.argpartition(order, p - 1)[:p]] if p < len(s) else s)
-                    ids.append(i)
+                    nodes.append(node)
                     sizes.append(len(s))
-                if ids:
+                if nodes:
                     reps = [len(g) for g in grams]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), reps)), pa.array(np.repeat(np.array(sizes, np.int32), reps))], ["gram", "id", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), reps)), pa.array(np.repeat(np.array(sizes, np.int32), reps))], ["gram", "node", "size"])
 
-    return docs.mapInArrow(run, "gram long, id long, size int")
+    return rows.select("text").mapInArrow(run, "gram long, node long, size int")
 
 
 class _Groups:
-    """Reads rows sorted by (gram, size, id): star edges to a leader, and the rows of groups of three or more.
+    """Reads rows sorted by (gram, size, node): star edges to a leader, and the members of groups of three or more.
 
-    Only the group at the end of a batch is carried on, as its first two rows and its leader: a group's size does not
-    matter. A leader is replaced by the first member that is too large for it.
+    Of a group only its first FANOUT members and its leader are held: a group's size does not matter. A leader is replaced
+    by the first member that is too large for it. Groups of up to FANOUT members are named after their members.
     """
 
     def __init__(self, percent: int):
-        self.percent, self.key = percent, None
+        self.percent, self.key, self.n = percent, None, 0
         self.edges: list[tuple[int, int]] = []
-        self.kept: list[tuple[int, int]] = []
+        self.kept: list[tuple[int, int, int]] = []
         self.known: set[tuple[int, int]] = set()
+        self.groups: set[int] = set()
 
     def edge(self, a: int, b: int) -> None:
         e = (a, b) if a < b else (b, a)
@@ -177,20 +205,35 @@ class _Groups:
             self.known.add(e)
             self.edges.append(e)
 
+    def close(self) -> None:
+        """The end of a group."""
+        if 2 < self.n <= FANOUT:
+            name = hash(tuple(self.held))
+            if name not in self.groups:
+                if len(self.groups) > 500_000:
+                    self.groups.clear()
+                self.groups.add(name)
+                self.kept += [(name, x, size) for size, x in self.held]
+        self.n = 0
+
     def feed(self, key: int, size: int, node: int) -> None:
-        if key != self.key:
-            self.key, self.n, self.held, self.lead = key, 1, [node], (size, node)
+        if key != self.key or not self.n:
+            self.close()
+            self.key, self.n, self.held, self.lead, self.last = key, 1, [(size, node)], (size, node), node
             return
+        if node == self.last:
+            return
+        self.last = node
         self.n += 1
         if self.lead[0] * 100 < self.percent * size:
             self.lead = (size, node)
-        elif node != self.lead[1]:
+        else:
             self.edge(self.lead[1], node)
-        if self.n >= 3:
-            self.kept += [(key, x) for x in [*self.held, node]]
-            self.held = []
+        if self.n <= FANOUT:
+            self.held.append((size, node))
         else:
-            self.held.append(node)
+            self.kept += [(key, x, s) for s, x in [*self.held, (size, node)]]
+            self.held = []
 
     def batch(self, k: np.ndarray, n: np.ndarray, v: np.ndarray) -> None:
         new = np.ones(len(k), bool)
@@ -208,73 +251,32 @@ class _Groups:
 
 
 def _route(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Rows (gram, a, b): star edges have a null gram, members of larger groups a null b."""
+    """Star edges (a, b) and members (gram, a, size) of larger groups, whose b is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = _Groups(percent)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            g.batch(*(b.column(i).to_numpy() for i in (0, 2, 1)))
-            if g.edges or g.kept:
-                e, m = len(g.edges), len(g.kept)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([None] * e + [x[0] for x in g.kept], pa.int64()), pa.array([x[0] for x in g.edges] + [x[1] for x in g.kept], pa.int64()), pa.array([x[1] for x in g.edges] + [None] * m, pa.int64())],
-                    ["gram", "a", "b"],
-                )
-                g.edges, g.kept = [], []
-
-    return prefixes.repartition("gram").sortWithinPartitions("gram", "size", "id").mapInArrow(run, "gram long, a long, b long")
-
 
-def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents without most of those whose id is not among ids, by a Bloom filter of FILTER bits; joins do the rest."""
-    span = 1 << 14
-
-    def blocks(bits: np.ndarray) -> pa.RecordBatch:
-        parts = [(i, bits[i * span : (i + 1) * span]) for i in range(len(bits) // span)]
-        parts = [(i, x.tobytes()) for i, x in parts if x.any()]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["block", "bits"])
+        def out() -> pa.RecordBatch:
+            e, m = len(g.edges), len(g.kept)
+            b = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([None] * e + [x[0] for x in g.kept], pa.int64()), pa.array([x[0] for x in g.edges] + [x[1] for x in g.kept], pa.int64()),
+                    pa.array([x[1] for x in g.edges] + [None] * m, pa.int64()), pa.array([None] * e + [x[2] for x in g.kept], pa.int32()),
+                ],
+                ["gram", "a", "b", "size"],
+            )
+            g.edges, g.kept = [], []
+            return b
 
-    def places(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        h = mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        return (h & np.uint64(FILTER - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(FILTER - 1)).astype(np.int64)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER, bool)
         for b in batches:
-            for at in places(b):
-                bits[at] = True
-        yield blocks(np.packbits(bits))
+            if b.num_rows:
+                g.batch(*(b.column(i).to_numpy() for i in (0, 2, 1)))
+                if len(g.edges) + len(g.kept) > 10_000:
+                    yield out()
+        g.close()
+        yield out()
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER // 8, np.uint8)
-        for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                bits[i * span : (i + 1) * span] |= np.frombuffer(raw, np.uint8)
-        yield blocks(bits)
-
-    schema = "block int, bits binary"
-    whole = np.zeros(FILTER // 8, np.uint8)
-    for r in ids.mapInArrow(mark, schema).repartition("block").mapInArrow(join, schema).collect():  # FILTER bits at most
-        whole[r.block * span : (r.block + 1) * span] |= np.frombuffer(r.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(whole.tobytes())
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
-            one, two = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 for at in places(b))
-            yield b.filter(pa.array((one & two).astype(bool)))
-
-    return docs.where(F.col("id").isNotNull()).mapInArrow(keep, docs.schema)
-
-
-def _signature(s: np.ndarray) -> np.ndarray:
-    """A bitmap of BITS times the power of two that the size needs; a set's n-gram has the bit of its low bits."""
-    width = BITS << max(0, int(len(s) * 4 - 1).bit_length() - BITS.bit_length() + 1) if len(s) else BITS
-    bits = np.zeros(width, np.uint8)
-    bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits)
+    return prefixes.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(run, "gram long, a long, b long, size int")
 
 
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -285,42 +287,67 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def _possible(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
-    """Whether the signatures allow sets of n and m n-grams to reach the threshold."""
-    w = min(len(x), len(y))
-    x, y = _folded(x[None], w)[0], _folded(y[None], w)[0]
-    both = int(np.bitwise_count(x & y).sum(dtype=np.int64))
-    most = both + min(n - int(np.bitwise_count(x).sum(dtype=np.int64)), m - int(np.bitwise_count(y).sum(dtype=np.int64)))
-    return min(most, n, m) * (100 + percent) >= percent * (n + m)
+class _Signatures:
+    """Signatures of mixed widths, by row."""
+
+    def __init__(self, column, size: np.ndarray):
+        raw = [np.frombuffer(v.as_buffer(), np.uint8) for v in column]
+        self.size, self.width = size.astype(np.int64), np.array([len(v) for v in raw], np.int64)
+        self.place = np.zeros(len(raw), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.of[w] = np.stack([raw[q] for q in at])
+
+    def rows(self, at: np.ndarray, width: int) -> np.ndarray:
+        """The signatures of rows of one width, folded to another."""
+        return _folded(self.of[int(self.width[at[0]])][self.place[at]], width)
+
+    def possible(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the signatures allow the pairs of rows to reach the threshold: |x & y| * (100 + t) >= t * (|x| + |y|)."""
+        n, m = self.size[i], self.size[j]
+        keep = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n, m) > 0)
+        at = np.flatnonzero(keep)
+        wide = self.width[i[at]] << np.int64(32) | self.width[j[at]]
+        for code in np.unique(wide).tolist():
+            same = at[wide == code]
+            w = min(code >> 32, code & 0xFFFFFFFF)
+            for k in range(0, len(same), 1 << 14):
+                p = same[k : k + (1 << 14)]
+                x, y = self.rows(i[p], w), self.rows(j[p], w)
+                slack = np.minimum(n[p] - np.bitwise_count(x).sum(1, dtype=np.int64), m[p] - np.bitwise_count(y).sum(1, dtype=np.int64))
+                most = np.bitwise_count(x & y).sum(1, dtype=np.int64) + slack
+                keep[p] = most * (100 + percent) >= percent * (n[p] + m[p])
+        return keep
 
 
-def _plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and signatures allow. signed: doc, size, bits."""
-    side = lambda c: signed.select(F.col("doc").alias(c), F.col("size").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and signatures allow."""
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where((100 * F.least("n_a", "n_b")) >= percent * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint8) for v in t.column(i)] for i in (4, 5))
-            keep = [_possible(*v, percent) for v in zip(x, y, t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            m = t.num_rows
+            if m:
+                s = _Signatures([*t.column(4), *t.column(5)], np.concatenate([t.column(2).to_numpy(), t.column(3).to_numpy()]))
+                yield t.select(["a", "b"]).filter(pa.array(s.possible(np.arange(m), np.arange(m, 2 * m), percent)))
 
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with the exact sizes of intersection and union, where the similarity is reached.
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, shelf: Shelf) -> DataFrame:
+    """Pairs (a, b) with the exact sizes of intersection and union, where the similarity is reached. texts: node, text.
 
     Members travel to their leader a in parts of about MEMBERS, and a leader's text once to each part; texts are shipped
     rather than sets, as they are smaller. A part is read as a stream.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
-    salted = written(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt")), "pairs")
-    members = salted.select(F.col("b").alias("doc"), F.col("a").alias("lead"), "salt", F.lit(1).alias("member"))
-    leads = salted.select("a", "salt").distinct().select(F.col("a").alias("doc"), F.col("a").alias("lead"), "salt", F.lit(0).alias("member"))
-    rows = members.unionByName(leads)
-    texts = _needed(docs, salted.select("a").unionByName(salted.select(F.col("b").alias("a")))).withColumnRenamed("id", "doc")
-    rows = rows.join(texts, "doc").select("lead", "salt", "member", "doc", "text")
+    salted = shelf.write(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt")), "pairs")
+    members = salted.select(F.col("b").alias("node"), F.col("a").alias("lead"), "salt", F.lit(1).alias("member"))
+    leads = salted.select("a", "salt").distinct().select(F.col("a").alias("node"), F.col("a").alias("lead"), "salt", F.lit(0).alias("member"))
+    rows = members.unionByName(leads).join(texts, "node").select("lead", "salt", "member", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own = None, None
@@ -328,7 +355,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
             for b in slices(batch, "text"):
                 out: list[tuple[int, int, int, int]] = []
                 cols = [b.column(i).to_pylist() for i in (0, 2, 3)]
-                for key, member, doc, s in zip(*cols, shingle_sets(b.column(4), n), strict=True):
+                for key, member, node, s in zip(*cols, shingle_sets(b.column(4), n), strict=True):
                     if not member:
                         lead, own = key, s
                         continue
@@ -340,45 +367,95 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
                     both = int((big[np.minimum(at, len(big) - 1)] == small).sum())
                     union = len(s) + len(own) - both
                     if 100 * both >= percent * union:
-                        out.append((lead, doc, both, union))
+                        out.append((lead, node, both, union))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "n_both", "n_union"])
 
-    dealt = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member", "doc")
-    return dealt.mapInArrow(run, "a long, b long, n_both long, n_union long").dropDuplicates(["a", "b"])
+    dealt = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member", "node")
+    return dealt.mapInArrow(run, "a long, b long, n_both long, n_union long")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     """(node, component): for each node of the links the smallest node that it reaches.
 
-    Labels fall to the neighbours' minimum and then to their label's label, until nothing changes; each round is a
-    table in the shared folder.
+    In each round a node goes to the smallest of itself and its neighbours, and on to where that goes; the links between
+    the nodes gone to are the next round's, so that rounds shrink. Each round is a table in the shared folder.
     """
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), name)
-    while True:
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        low = written(low, name)
-        up = low.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        nxt = written(low.join(up, F.col("label") == F.col("up"), "left").select("node", "was", F.least("label", F.coalesce("up_label", "label")).alias("label")), name)
-        done = nxt.where("label <> was").isEmpty()
-        labels = nxt.select("node", "label")
-        if done:
-            return labels.select("node", F.col("label").alias("component"))
-
-
-def tree_pairs(bits: np.ndarray, size: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    edges = shelf.write(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges 0")
+    labels = shelf.write(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("component")), "labels 0")
+    turn = 0
+    while not edges.isEmpty():
+        turn += 1
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = shelf.write(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("up")), "low")
+        on = low.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        low = shelf.write(low.join(on, "up").select(F.col("a").alias("was"), "top"), "low")  # every up is a node of the round
+        a, b = (low.select(F.col("was").alias(c), F.col("top").alias(f"top_{c}")) for c in ("a", "b"))
+        near = edges.join(a, "a").join(b, "b").where("top_a <> top_b").select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b")).distinct()
+        edges = shelf.write(near, f"edges {turn}")
+        labels = shelf.write(labels.join(low, F.col("component") == F.col("was"), "left").select("node", F.coalesce("top", "component").alias("component")), f"labels {turn}")
+        shelf.drop("low", f"edges {turn - 1}", f"labels {turn - 1}")
+    shelf.drop(f"edges {turn}")
+    shelf.paths.setdefault("components", []).extend(shelf.paths.pop(f"labels {turn}"))
+    return labels
+
+
+def more_components(known: DataFrame, links: DataFrame, shelf: Shelf) -> DataFrame:
+    """(node, component) of the known links and more of them: only components that the new ones touch are gone through."""
+    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    ends = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    new = components(ends, shelf).select(F.col("node").alias("old"), F.col("component").alias("now"))
+    alone = new.join(known, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("old").alias("component"))
+    out = known.unionByName(alone).join(new, F.col("component") == F.col("old"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    out = shelf.write(out, "all components")
+    shelf.drop("components")
+    shelf.paths.setdefault("components", []).extend(shelf.paths.pop("all components"))
+    return out
+
+
+class _Union:
+    """Pieces that are being joined, by index."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.up[self.up]
+            if (up == self.up).all():
+                return up
+            self.up = up
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Joins the pairs in turn; true for those that joined two pieces."""
+        up, used = self.up, np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            while up[y] != y:
+                up[y] = up[up[y]]
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                used[k] = True
+        return used
+
+
+def tree_pairs(bits: np.ndarray, size: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, pieces: _Union | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (left member, right member) of different components whose similarity the signatures allow.
 
-    bits: a row of packed signature per member. Two trees are built over the left and the right members, sorted by size
-    and signature; nodes hold the OR of their bitmaps, the range of sizes, the most n-grams that share bits in one
-    member, and their component if there is only one. For x under A and y under B at most slack(A) + |bits A & bits B|
-    n-grams are common; a pair of nodes is dropped if that is less than what the smallest sizes would need.
+    bits: a row of packed signature per member. Two trees are built over the left and the right members, sorted by
+    component, size and signature; nodes hold the OR of their bitmaps, the range of sizes, the most n-grams that share bits
+    in one member, and their component if there is only one. For x under A and y under B at most slack(A) + |bits A & bits
+    B| n-grams are common; a pair of nodes is dropped if that is less than what the smallest sizes would need. With pieces
+    (indexed by component) only pairs that join two pieces are returned, and join them.
     """
+    several = np.bincount(np.searchsorted(ranked := np.unique(comp), comp), minlength=len(ranked)) > 1
+    apart = np.where(several[np.searchsorted(ranked, comp)], comp, ranked[0] if len(ranked) else 0)
 
     def tree(members: np.ndarray) -> list[dict]:
-        order = members[np.lexsort((bits[members].view("S%d" % bits.shape[1]).ravel(), size[members]))]
+        order = members[np.lexsort((bits[members].view("S%d" % bits.shape[1]).ravel(), size[members], apart[members]))]
         b = bits[order]
         level = {"bits": b, "lo": size[order], "hi": size[order], "slack": size[order] - np.bitwise_count(b).sum(1, dtype=np.int64), "c0": comp[order], "c1": comp[order], "member": order}
         levels = [level]
@@ -397,16 +474,24 @@ def tree_pairs(bits: np.ndarray, size: np.ndarray, comp: np.ndarray, left: np.nd
     depth = max(len(one), len(two))
     one, two = ([lv[min(i, len(lv) - 1)] for i in range(depth)] for lv in (one, two))
 
-    def allowed(a: dict, b: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def allowed(a: dict, b: dict, i: np.ndarray, j: np.ndarray, leaves: bool) -> np.ndarray:
         keep = (100 * a["hi"][i] >= percent * b["lo"][j]) & (100 * b["hi"][j] >= percent * a["lo"][i])
         keep &= ~((a["c0"][i] == a["c1"][i]) & (b["c0"][j] == b["c1"][j]) & (a["c0"][i] == b["c0"][j]))
         at = np.flatnonzero(keep)
         for k in range(0, len(at), 1 << 15):
-            x, y = i[at[k : k + (1 << 15)]], j[at[k : k + (1 << 15)]]
+            p = at[k : k + (1 << 15)]
+            if leaves and pieces is not None:
+                root = pieces.roots()
+                apart = root[a["c0"][i[p]]] != root[b["c0"][j[p]]]
+                keep[p[~apart]] = False
+                p = p[apart]
+            x, y = i[p], j[p]
             both = np.bitwise_count(a["bits"][x] & b["bits"][y]).sum(1, dtype=np.int64)
             most = np.minimum(np.minimum(a["slack"][x], b["slack"][y]) + both, np.minimum(a["hi"][x], b["hi"][y]))
             # |x & y| * (100 + t) >= t * (|x| + |y|) is the threshold
-            keep[at[k : k + (1 << 15)]] = most * (100 + percent) >= percent * (a["lo"][x] + b["lo"][y])
+            keep[p] = ok = most * (100 + percent) >= percent * (a["lo"][x] + b["lo"][y])
+            if leaves and pieces is not None:
+                keep[p[ok]] = pieces.join(a["c0"][x[ok]], b["c0"][y[ok]])
         return keep
 
     top_a, top_b = one[-1], two[-1]
@@ -421,111 +506,167 @@ def tree_pairs(bits: np.ndarray, size: np.ndarray, comp: np.ndarray, left: np.nd
                 n = np.minimum(FANOUT, len(tier[d]["lo"]) - at * FANOUT)
                 child = np.repeat(at * FANOUT, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 i, j = (child, np.repeat(j, n)) if side == 0 else (np.repeat(i, n), child)
-        keep = allowed(a, b, i, j)
+        keep = allowed(a, b, i, j, d == 0)
         i, j = i[keep], j[keep]
     return one[0]["member"][i], two[0]["member"][j]
 
 
-def _tree_candidates(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) from the signature trees of groups. members: gram, doc, size, comp."""
-    per = members.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(per, "gram").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "size", "comp")
-    rows = rows.join(signed.select("doc", "bits"), "doc").select("gram", "i", "j", "own", "doc", "size", "comp", "bits")
+def _apart(members: DataFrame) -> DataFrame:
+    """The groups in which trees have to look for links between components: members' columns (gram, node, size, comp).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            own, doc, size, comp = (t.column(c).to_numpy() for c in ("own", "doc", "size", "comp"))
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            raw = [np.frombuffer(v.as_buffer(), np.uint8) for v in t.column("bits").combine_chunks()]
-            width = np.array([len(v) for v in raw])
-            ab: list[tuple[np.ndarray, np.ndarray]] = []
-            for w in np.unique(width).tolist():  # sizes within the threshold have equal or neighbouring widths
-                same, next_up = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
-                every = np.concatenate([same, next_up])
-                bits = np.concatenate([np.stack([raw[q] for q in same]), *([_folded(np.stack([raw[q] for q in next_up]), w)] if len(next_up) else [])])
-                low = np.arange(len(every)) < len(same)
-                left, right = own[every] == i, own[every] == j
-                for x, y in ((left & low, right & low), (left & low, right & ~low), (left & ~low, right & low)):
-                    if x.any() and y.any():
-                        p, q = tree_pairs(bits, size[every].astype(np.int64), comp[every], np.flatnonzero(x), np.flatnonzero(y), percent)
-                        ab.append((every[p], every[q]))
-            a, b = (np.concatenate(v) for v in zip(*ab, strict=True)) if ab else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            a, b = doc[a], doc[b]
-            keep = a < b if i == j else a != b
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            ks = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            at = 0
-            for p in range(1, len(ks) + 1):
-                if p == len(ks) or ks[p] != ks[at]:
-                    if ks[at] != now and held:
-                        yield solve(pa.Table.from_batches(held))
-                        held = []
-                    now = ks[at]
-                    held.append(batch.slice(at, p - at))
-                    at = p
-        if held:
-            yield solve(pa.Table.from_batches(held))
+    Members of one component that stand together in many groups would be read again in each. So a component with PIECE
+    members in a group leaves it, and becomes one group with all that it stood together with anywhere.
+    """
+    per = members.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = per.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("gram")
+    per = per.join(mixed, "gram").withColumn("large", F.col("m") >= PIECE)
+    rows = members.join(per.select("gram", "comp", "large"), ["gram", "comp"])
+    name = F.xxhash64(F.lit("component"), F.col("piece"))
+    own = rows.where("large").select(F.xxhash64(F.lit("component"), F.col("comp")).alias("gram"), "node", "size", "comp").distinct()
+    pieces = per.where("large").select("gram", F.col("comp").alias("piece"))
+    met = rows.join(pieces, "gram").where("comp <> piece and (not large or piece < comp)").select(name.alias("gram"), "node", "size", "comp").distinct()
+    return rows.where("not large").select("gram", "node", "size", "comp").unionByName(own).unionByName(met)
+
+
+def _cut(rows: DataFrame, group: str, most: int, heavy: int) -> DataFrame:
+    """rows (node, size, comp and a group) with a block: runs of one group, in order of component, size and node.
+
+    Rows are dealt by ranges, so a group of any size is spread; a component's own name only matters where it has several
+    members (comp is not the node). A block has `most` rows and sizes of `heavy` together at most, or one row.
+    """
 
-    return rows.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 40
+        now, pos, load = None, 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column(b.schema.get_field_index(group)).to_numpy()
+            size = b.column(b.schema.get_field_index("size")).to_numpy().astype(np.int64)
+            new = np.append(now is None or g[0] != now, g[1:] != g[:-1])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
+            place = np.where(start < 0, pos + np.arange(len(g)), np.arange(len(g)) - start)
+            total = np.cumsum(size)
+            before = total - size
+            weight = np.where(start < 0, load + before, before - before[np.maximum(start, 0)])
+            full = np.append(False, (place[1:] // most != place[:-1] // most) | (weight[1:] // heavy != weight[:-1] // heavy))
+            full[0] = not new[0] and (place[0] % most == 0 or weight[0] // heavy != (weight[0] - last) // heavy)
+            ids = block + np.cumsum(new | full)
+            block, now, pos, load, last = int(ids[-1]), g[-1], int(place[-1]) + 1, int(weight[-1] + size[-1]), int(size[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids)], [*b.schema.names, "block"])
+
+    order = [F.col(group), F.when(F.col("comp") == F.col("node"), F.lit(0)).otherwise(F.col("comp")), F.col("size"), F.col("node")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", block long")
+
+
+def _block_pairs(cut: DataFrame, group: str, percent: int, within: bool) -> DataFrame:
+    """(block, i, j): the pairs of blocks i <= j of a group that sizes allow, once for each of the two blocks.
+
+    Without `within`, pairs of blocks of one and the same component are left out.
+    """
+    blocks = cut.groupBy(group, "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    one = blocks.select(F.col(group).alias("g"), *(F.col(c).alias(f"{c}_i") for c in ("block", "lo", "hi", "c0", "c1")))
+    two = blocks.select(F.col(group).alias("g"), *(F.col(c).alias(f"{c}_j") for c in ("block", "lo", "hi", "c0", "c1")))
+    pairs = one.join(two, "g").where("block_i <= block_j").where((100 * F.col("hi_i") >= percent * F.col("lo_j")) & (100 * F.col("hi_j") >= percent * F.col("lo_i")))
+    if not within:
+        pairs = pairs.where("not (c0_i = c1_i and c0_j = c1_j and c0_i = c0_j)")
+    sides = F.when(F.col("block_i") == F.col("block_j"), F.array("block_i")).otherwise(F.array("block_i", "block_j"))
+    return pairs.select(F.explode(sides).alias("block"), F.col("block_i").alias("i"), F.col("block_j").alias("j"))
 
 
-def _links(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, n_links): the members of each component that a member links with. members: node, component, size.
+def _tree_candidates(cut: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) from the signature trees of groups, as many as it takes to join what signatures allow.
 
-    A link never leaves a component, so all pairs of one are decided on the sets themselves: by pairs of blocks, to which
-    texts are shipped, and from which one number a member and pair of blocks comes back. Two members have one link.
+    cut: gram, node, size, comp, block. A task holds two blocks at a time, or some thousand rows of small groups.
     """
-    per = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LINK_BLOCK), F.ceil(F.sum("size") / LINK_GRAMS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"))
-    per = per.withColumn("blocks", F.least("blocks", F.col("m").cast("int")))
-    rows = members.join(per, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = written(rows.select("node", "component", "own", "blocks", "m"), "link-members")
-    pairs, rows = rows.where("m = 2").select("node", F.lit(1).cast("long").alias("k")), rows.where("m > 2")
-    texts = _needed(docs, rows.select(F.col("node").alias("a"))).withColumnRenamed("id", "node")
-    rows = rows.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
+    rows = cut.join(_block_pairs(cut, "gram", percent, False), "block").select("i", "j", "block", "node", "comp")
+    rows = rows.join(classes.select("node", "size", "bits"), "node").select("i", "j", "block", "node", "size", "comp", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides = None, ([], [])
-
-        def solve() -> pa.RecordBatch:
-            left, right = sides
-            x = [s for _, s in left]
-            a, b = link_counts(x, None if now[1] == now[2] else [s for _, s in right], percent)
-            ids = [v for v, _ in left] + ([] if b is None else [v for v, _ in right])
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a if b is None else np.concatenate([a, b]), pa.int64())], ["node", "k"])
+        pool: list[pa.RecordBatch] = []
+
+        def small() -> pa.RecordBatch:
+            """All pairs of the members of each group in the pool: a group of FANOUT members is one leaf."""
+            t = pa.Table.from_batches(pool)
+            count = np.array([p.num_rows for p in pool])
+            begin = np.cumsum(count) - count
+            node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+            sig = _Signatures(t.column("bits").combine_chunks(), t.column("size").to_numpy())
+            i, j = [], []
+            for m in np.unique(count[count > 1]).tolist():
+                x, y = np.triu_indices(m, 1)
+                at = begin[count == m][:, None]
+                i.append((at + x).ravel())
+                j.append((at + y).ravel())
+            i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (i, j))
+            keep = comp[i] != comp[j]
+            i, j = i[keep], j[keep]
+            keep = sig.possible(i, j, percent)
+            i, j = i[keep], j[keep]
+            names, of = np.unique(comp, return_inverse=True)
+            used = _Union(len(names)).join(of[i], of[j])
+            return pa.RecordBatch.from_arrays([pa.array(node[i[used]]), pa.array(node[j[used]])], ["a", "b"])
+
+        def large(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            node, size, block = (t.column(c).to_numpy() for c in ("node", "size", "block"))
+            left, right = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            names, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
+            sig, pieces = _Signatures(t.column("bits").combine_chunks(), size), _Union(len(names))
+            ab: list[tuple[np.ndarray, np.ndarray]] = []
+            for w in np.unique(sig.width).tolist():  # sizes within the threshold have equal or neighbouring widths
+                every = np.flatnonzero((sig.width == w) | (sig.width == 2 * w))
+                low = sig.width[every] == w
+                bits = np.empty((len(every), w), np.uint8)
+                bits[low] = sig.rows(every[low], w)
+                if not low.all():
+                    bits[~low] = sig.rows(every[~low], w)
+                on, off = block[every] == left, block[every] == right
+                sides = ((on & low, off & low), (on & low, off & ~low)) + (((on & ~low, off & low),) if left != right else ())
+                for x, y in sides:
+                    if x.any() and y.any():
+                        p, q = tree_pairs(bits, size[every].astype(np.int64), comp[every], np.flatnonzero(x), np.flatnonzero(y), percent, pieces)
+                        ab.append((every[p], every[q]))
+            a, b = (np.concatenate(v) for v in zip(*ab, strict=True)) if ab else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+        def close(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = sum(p.num_rows for p in parts)
+            if m > FANOUT or parts[0].column(0)[0] != parts[0].column(1)[0]:
+                yield large(parts)
+            else:
+                pool.append(parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+                if len(pool) * FANOUT > POOL:
+                    yield small()
+                    pool.clear()
 
+        held: list[pa.RecordBatch] = []
+        now = None
         for batch in batches:
-            for b in slices(batch, "text"):
-                cols = [b.column(i).to_pylist() for i in range(5)]
-                for c, i, j, own, node, s in zip(*cols, shingle_sets(b.column(5), n), strict=True):
-                    if (c, i, j) != now:
-                        if now is not None:
-                            yield solve()
-                        now, sides = (c, i, j), ([], [])
-                    side = sides[own != i]
-                    if not side or side[-1][0] != node:  # repeated rows of one id count once
-                        side.append((node, s))
-        if now is not None:
-            yield solve()
+            if not batch.num_rows:
+                continue
+            i, j = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            for p, q in zip(edge.tolist(), [*edge[1:].tolist(), batch.num_rows], strict=True):
+                if (i[p], j[p]) != now and held:
+                    yield from close(held)
+                    held = []
+                now = (i[p], j[p])
+                held.append(batch.slice(p, q - p))
+        if held:
+            yield from close(held)
+        if pool:
+            yield small()
 
-    dealt = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "node")
-    return dealt.mapInArrow(run, "node long, k long").unionByName(pairs).groupBy("node").agg(F.sum("k").alias("n_links"))
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "a long, b long")
 
 
-def link_counts(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """How many sets of the other side each set links with; without right, how many others of its own side.
+def link_table(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Whether the sets of one side link with those of the other; without right, with each other.
 
     Sizes of intersections are products of 0/1 tables of the n-grams that can be common, DENSE n-grams at a time.
     """
     both = left if right is None else left + right
-    if not left or not both[len(left) :] and right is not None:
-        return np.zeros(len(left), np.int64), None if right is None else np.zeros(len(right), np.int64)
     size = np.array([len(s) for s in both], np.int64)
     grams, row = np.concatenate(both), np.repeat(np.arange(len(both)), size)
     order = np.argsort(grams, kind="stable")
@@ -550,84 +691,222 @@ def link_counts(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     link &= common > 0
     if right is None:
         np.fill_diagonal(link, False)
-        return link.sum(1), None
-    return link.sum(1), link.sum(0)
+    return link
 
 
-def _joined(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, size) of every row, the representative of each id (id, rep, size), and (node, component) of linked representatives."""
-    spark = docs.sparkSession
-    digests = written(_digests(docs, n), "digests")
-    levels = spark.sparkContext.broadcast(_levels(digests).tobytes())
-    sets = digests.where("block is null").select("id", "size", "h1", "h2")
-    signed = digests.where("block is null and size > 0").select(F.col("id").alias("doc"), "size", "bits")
-    classes = written(sets.where("size > 0").groupBy("h1", "h2", "size").agg(F.min("id").alias("rep")), "classes")
-    rep_of = written(sets.join(classes, ["h1", "h2", "size"]).select("id", "rep", "size").distinct(), "reps")
-    signed = written(signed.join(classes.select(F.col("rep").alias("doc")), "doc").dropDuplicates(["doc"]), "signed")
-    routed = written(_route(_prefixes(docs, n, percent, levels), percent), "routed")
-
-    def as_reps(pairs: DataFrame) -> DataFrame:
-        x = rep_of.select(F.col("id").alias("a"), F.col("rep").alias("ra"))
-        y = rep_of.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
-        both = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").where("ra <> rb")
-        return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-    tried = written(as_reps(routed.where("gram is null")), "stars")
-    links = written(verified(written(_plausible(tried, signed, percent), "plausible"), docs, n, percent), "links")
-    comp = components(links)
-    groups = routed.where("gram is not null").select("gram", F.col("a").alias("id")).join(rep_of, "id").select("gram", F.col("rep").alias("doc"), "size").distinct()
-    groups = written(groups, "members")
-
-    def mixed() -> DataFrame:
-        """The groups of several components, and each member's component."""
-        members = groups.join(comp, F.col("doc") == F.col("node"), "left").select("gram", "doc", "size", F.coalesce("component", "doc").alias("comp"))
-        several = members.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1 and m > 2").select("gram")
-        return written(members.join(several, "gram"), "mixed")
-
-    for turn in range(ROUNDS + 1):
-        groups = mixed()
-        if groups.isEmpty():
-            break
-        if turn < ROUNDS:  # other leaders: of the least hashes, which are the same ones in groups that share them
-            first = lambda q: F.min(F.struct(F.xxhash64("doc", F.lit(turn * LEADERS + q)).alias("h"), F.col("doc").alias("lead"), F.col("comp").alias("lead_comp")))  # noqa: B023, E731
-            lead = groups.groupBy("gram").agg(F.array(*[first(q) for q in range(LEADERS)]).alias("l")).select("gram", F.explode("l").alias("l")).select("gram", "l.lead", "l.lead_comp")
-            more = groups.join(lead, "gram").where("comp <> lead_comp").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
-            more = _plausible(more.join(tried, ["a", "b"], "left_anti"), signed, percent)
-        else:
-            more = _tree_candidates(groups, signed, percent).distinct().join(tried, ["a", "b"], "left_anti")
-        more = written(more, "candidates")
-        groups = groups.drop("comp")
-        if more.isEmpty():
+def spanning(link: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Row and column pairs that connect all that the table of links connects. same: rows and columns are the same sets."""
+    n, m = link.shape
+    out: list[tuple[int, int]] = []
+    seen_row, seen_col = np.zeros(n, bool), np.zeros(m, bool)
+    for seed in np.flatnonzero(link.any(1)).tolist():
+        if seen_row[seed]:
             continue
-        tried = written(tried.unionByName(more), "tried")
-        links = written(links.unionByName(verified(more, docs, n, percent)), "links")
-        comp = components(links)
-    return sets, rep_of, comp
+        seen_row[seed] = True
+        todo = [(seed, True)]
+        while todo:
+            at, is_row = todo.pop()
+            if is_row or same:
+                new = np.flatnonzero(link[at] & ~(seen_row if same else seen_col))
+                out += [(at, x) for x in new.tolist()]
+            else:
+                new = np.flatnonzero(link[:, at] & ~seen_row)
+                out += [(x, at) for x in new.tolist()]
+            (seen_row if same or not is_row else seen_col)[new] = True
+            todo += [(x, same or not is_row) for x in new.tolist()]
+    return out
+
+
+def _decided(members: DataFrame, texts: DataFrame, n: int, percent: int, count: bool, shelf: Shelf) -> DataFrame:
+    """Exact links of pieces: rows (node, k) of numbers of links to be summed, and rows (a, b) that connect what links connect.
+
+    members: node, size, piece, comp. All pairs of a piece that sizes allow are decided on the sets themselves, by pairs of
+    blocks, to which texts are shipped; without count, pairs within a component (comp) may be left out. The work grows with
+    the square of a piece where counts are wanted, as every pair of near copies is a link of its own.
+    """
+    cut = shelf.write(_cut(members, "piece", LINK_BLOCK, LINK_GRAMS), "link-blocks")
+    rows = cut.join(_block_pairs(cut, "piece", percent, count), "block").join(texts, "node").select("i", "j", "block", "node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def solve() -> pa.RecordBatch:
+            (x, left), (y, right) = (([v for v, _ in s], [g for _, g in s]) for s in sides)
+            same = now[0] == now[1]
+            k: list[tuple[int, int]] = []
+            ab: list[tuple[int, int]] = []
+            if left and (right or same):
+                link = link_table(left, None if same else right, percent)
+                if count:
+                    k = list(zip(x, link.sum(1).tolist(), strict=True)) + ([] if same else list(zip(y, link.sum(0).tolist(), strict=True)))
+                ab = [(x[p], (x if same else y)[q]) for p, q in spanning(link, same)]
+            cols = [[v for v, _ in k] + [None] * len(ab), [c for _, c in k] + [None] * len(ab), [None] * len(k) + [a for a, _ in ab], [None] * len(k) + [b for _, b in ab]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "k", "a", "b"])
+
+        for batch in batches:
+            for b in slices(batch, "text"):
+                cols = [b.column(i).to_pylist() for i in range(4)]
+                for i, j, block, node, s in zip(*cols, shingle_sets(b.column(4), n), strict=True):
+                    if (i, j) != now:
+                        if now is not None:
+                            yield solve()
+                        now, sides = (i, j), ([], [])
+                    sides[block != i].append((node, s))
+        if now is not None:
+            yield solve()
+
+    dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j", "block", "node")
+    return dealt.mapInArrow(run, "node long, k long, a long, b long")
+
+
+def _needed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (t1, t2, text) without most of those that are not wanted (t1), by a Bloom filter; a text once a task."""
+    spark, span = rows.sparkSession, 1 << 14
+    width = span * 8
+    while width < min(FILTER, 16 * wanted.count()):
+        width *= 2
+
+    def blocks(bits: np.ndarray) -> pa.RecordBatch:
+        parts = [(i, bits[i * span : (i + 1) * span]) for i in range(len(bits) // span)]
+        parts = [(i, x.tobytes()) for i, x in parts if x.any()]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["block", "bits"])
+
+    def places(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        return (h & np.uint64(width - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(width, bool)
+        for b in batches:
+            for at in places(b):
+                bits[at] = True
+        yield blocks(np.packbits(bits))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(width // 8, np.uint8)
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bits[i * span : (i + 1) * span] |= np.frombuffer(raw, np.uint8)
+        yield blocks(bits)
+
+    schema = "block int, bits binary"
+    whole = np.zeros(width // 8, np.uint8)
+    for r in wanted.select("t1").coalesce(64).mapInArrow(mark, schema).repartition("block").mapInArrow(join, schema).collect():  # FILTER bits at most
+        whole[r.block * span : (r.block + 1) * span] |= np.frombuffer(r.bits, np.uint8)
+    shared = spark.sparkContext.broadcast(whole.tobytes())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.frombuffer(shared.value, np.uint8), set()
+        for b in batches:
+            one, two = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 for at in places(b))
+            found = np.flatnonzero(one & two)
+            first = []
+            for k, text in zip(found.tolist(), zip(*(b.column(i).take(pa.array(found)).to_pylist() for i in (0, 1)), strict=True), strict=True):
+                if text not in seen:
+                    seen.add(text)
+                    first.append(k)
+            if len(seen) > 200_000:
+                seen.clear()
+            yield b.take(pa.array(first, pa.int64()))
+
+    return rows.select("t1", "t2", "text").mapInArrow(keep, "t1 long, t2 long, text string")
+
+
+def _hashed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(id, t1, t2, text): t1 and t2 are 128 bits of the text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), "text")
+
+
+def _joined(rows: DataFrame, n: int, percent: int, count: bool, shelf: Shelf) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(id, t1, t2, node, size) of every row, (node, component) of linked nodes, and (node, n_links) if counted."""
+    spark = rows.sparkSession
+    digests = shelf.write(_digests(rows, n), "digests")
+    levels = spark.sparkContext.broadcast(_levels(digests).tobytes())
+    sets = digests.where("block is null").select("id", "t1", "t2", "node", "size")
+    classes = digests.where("block is null and size > 0").groupBy("node").agg(F.max("size").alias("size"), F.max("bits").alias("bits"), F.min(F.struct("t1", "t2")).alias("t"))
+    classes = shelf.write(classes, "classes")
+    routed = shelf.write(_route(_prefixes(rows, n, percent, levels), percent), "routed")
+    near = shelf.write(_plausible(routed.where("gram is null").select("a", "b").distinct(), classes, percent), "near")
+    pieces = components(near, shelf)
+    members = routed.where("gram is not null").select("gram", F.col("a").alias("node"), "size").distinct()
+    members = members.join(pieces, "node", "left").select("gram", "node", "size", F.coalesce("component", "node").alias("comp"))
+    members = shelf.write(members, "members")
+    shelf.drop("routed")
+    cut = shelf.write(_cut(shelf.write(_apart(members), "apart"), "gram", BLOCK, 1 << 62), "blocks")
+    shelf.drop("members", "apart")
+    more = shelf.write(_tree_candidates(cut, classes, percent).distinct(), "candidates")
+    shelf.drop("blocks")
+    near = near.unionByName(more)
+    if not more.isEmpty():
+        pieces = more_components(pieces, more, shelf)
+    # no link leaves a piece; from here on only the texts of pieces matter
+    wanted = pieces.join(classes.select("node", "size", "t.t1", "t.t2"), "node").select("node", F.col("component").alias("piece"), "size", "t1", "t2")
+    wanted = shelf.write(wanted, "wanted")
+    shelf.drop("components", "classes")
+    texts = _needed(rows, wanted).join(wanted.select("node", "t1", "t2"), ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+    texts = shelf.write(texts, "texts")
+    members = wanted.select("node", "size", "piece", F.col("node").alias("comp"))
+    if count:
+        found = shelf.write(_decided(members, texts, n, percent, True, shelf), "found")
+        comp = components(found.where("a is not null").select("a", "b"), shelf)
+        linked = shelf.write(found.where("node is not null").groupBy("node").agg(F.sum("k").alias("n_links")), "counts")
+    else:
+        links, linked = shelf.write(verified(near, texts, n, percent, shelf).select("a", "b"), "verified"), None
+        true = components(links, shelf)
+        members = members.drop("comp").join(true, "node", "left").select("node", "size", "piece", F.coalesce("component", "node").alias("comp"))
+        apart = members.groupBy("piece").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("piece")
+        more = shelf.write(_decided(members.join(apart, "piece"), texts, n, percent, False, shelf).select("a", "b"), "found")
+        comp = more_components(true, more, shelf)
+    shelf.drop("near", "candidates", "wanted", "texts", "pairs", "link-blocks", "found", "verified")
+    return sets, comp, linked
 
 
 def jaccard_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 75, count_links: bool = True) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) per document.
+    """(id, n_shingles, component_id, n_links) per row.
 
-    Words are what stands between ASCII white space, with A-Z lower-cased. n_links counts all other sets that the
-    document's set links with, also inside a component; equal sets are one. Without count_links the column is left out.
-    Null and empty texts have no n-gram, link with nothing and are their own component. Repeated rows of one id are
-    one document each row; ids must be whole numbers. An empty table gives no rows. Extra columns are ignored.
+    Words are what stands between ASCII white space, with A-Z lower-cased. component_id is the smallest id of the rows
+    reachable by links, of any type that has an order; null only where no such row has an id. n_links counts all other sets
+    that the row's set links with; equal sets are one. Without count_links the column is left out. Null and empty texts
+    have no n-gram, link with nothing and are their own component. Rows count by their text: repeated rows, rows without id
+    and rows of one id with different texts each give a row. An empty table gives no rows. Extra columns are ignored.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    sets, rep_of, comp = _joined(docs, n, percent)
+    shelf = Shelf(docs.sparkSession, "jaccard")
+    sets, comp, linked = _joined(_hashed(docs, text, id_col), n, percent, count_links, shelf)
+    names = sets.where("size > 0").groupBy("node").agg(F.min("id").alias("least")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = shelf.write(names, "names")
+    least = names.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = names.select("node", "component").join(least, "component").select("node", "component_id")
     if count_links:
-        members = comp.join(rep_of.select("rep", "size").distinct(), F.col("node") == F.col("rep")).select("node", "component", "size")
-        comp = comp.join(_links(members, docs, n, percent), "node", "left")
-    comp = written(comp, "components")
-    out = sets.join(rep_of.select(F.col("id").alias("i"), "rep"), F.col("id") == F.col("i"), "left").join(comp, F.col("rep") == F.col("node"), "left")
+        names = names.join(linked, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    names = shelf.write(names, "result")
+    shelf.drop("names", "components", "counts")
+    some = F.when(F.col("size") > 0, F.col("node"))
+    out = sets.select("id", "size", some.alias("node")).join(names, "node", "left")
     links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), *links)
+    own = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"), *links)
+
 
+def one_of_each(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows, with all their columns, without all but one of each component.
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows, with all their columns, of the smallest id of each component, once each; rows without an id all stay."""
-    found = jaccard_components(docs.where(F.col(id_col).isNotNull()), id_col=id_col, count_links=False, **options)
-    first = written(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "kept")
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    The row with the smallest id stays, rows without id after all others, and of several rows with this id and text one,
+    the smallest by all columns. Rows without words are linked with nothing and all stay. Ids may stand on several texts.
+    """
+    small_batches(docs.sparkSession)
+    shelf = Shelf(docs.sparkSession, "one-of-each")
+    sets, comp, _ = _joined(_hashed(docs, text, id_col), n, percent, False, shelf)
+    rows = sets.where("size > 0").groupBy("id", "t1", "t2").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m")).join(comp, "node", "left")
+    rows = shelf.write(rows.select("id", "t1", "t2", "m", F.coalesce("component", "node").alias("component")), "rows")
+    shelf.drop("components", "digests")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("first"), F.sum("m").alias("of")).where("of > 1").select("component", "first")
+    here = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+    touched = shelf.write(rows.join(first, "component").select(F.col("id").alias("_id"), F.col("t1").alias("_1"), F.col("t2").alias("_2"), (here == F.col("first")).alias("_stays"), "m"), "touched")
+    gone, twice = touched.where("not _stays or m > 1"), touched.where("_stays and m > 1")
+    shelf.drop("rows")
+    text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of) == F.col("_1")) & (F.xxhash64(F.lit(7), text_of) == F.col("_2"))
+    one = docs.join(twice, same).groupBy("_id", "_1", "_2").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return docs.join(gone, same, "left_anti").unionByName(one.select("_row.*"))

@@ -2,30 +2,59 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it, the shuffle files of a write are removed when the write ends, not when the driver's memory happens to be cleaned.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset, as in tests, one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, one in the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="loom-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return at.rstrip("/") if at else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/seriesloom-shared"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    was = spark.conf.get(CLEAN, None)
+    try:
+        spark.conf.set(CLEAN, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if was is None else spark.conf.set(CLEAN, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and a lost executor costs nothing already written."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    gc.collect()  # shuffle files of finished steps go once nothing refers to them; else they stay until the JVM happens to look
-    df.sparkSession.sparkContext._jvm.System.gc()
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+class Shelf:
+    """The intermediate tables of one job: written under names of their own, and removed once what reads them is written.
+
+    What a lazy result still reads must stay; only the caller knows when that has been read.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.paths: dict[str, list[str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.at}/{self.made}-{name}"
+        self.made += 1
+        self.paths.setdefault(name, []).append(path)
+        return _write(df, path)
+
+    def drop(self, *names: str) -> None:
+        """Removes all tables written under these names."""
+        jvm = self.spark.sparkContext._jvm
+        for path in [p for n in names for p in self.paths.pop(n, ())]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

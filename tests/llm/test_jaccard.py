@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from seriesloom.llm import jaccard
 
@@ -121,3 +122,64 @@ def test_all_links_are_counted(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "DENSE", 64)
     df = frame(spark, rows).repartition(5)
     assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(df).collect()} == want
+
+
+def hidden_pair():
+    """Two near copies; each n-gram they share also stands in a smaller text that is far from both."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("klmnopqrst") for _ in range(6))
+    base = [word() for _ in range(120)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-2], word(), word()]))]
+    for k in range(0, 120, 10):
+        part = base[k : k + 14]
+        rows.append((100 + k, " ".join(part + [word() for _ in range(112 - len(part))])))
+    return rows
+
+
+def test_trees_find_what_leaders_do_not(spark, monkeypatch):
+    rows, seen = hidden_pair(), []
+    trees = jaccard._tree_candidates
+    first = np.ones(jaccard.CELLS, np.uint16)  # an order in which the smaller texts lead all groups of the two
+    first[jaccard._cells(jaccard.shingle_sets(pa.array([rows[0][1]]), 5)[0])] = 0
+    monkeypatch.setattr(jaccard, "_levels", lambda digests: first)
+
+    def watched(*args):
+        out = trees(*args).distinct().persist()
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_tree_candidates", watched)
+    got = result(jaccard.jaccard_components(frame(spark, rows)))
+    assert got == brute(rows) and got[2][1] == 1 and seen == [1]
+    monkeypatch.setattr(jaccard, "FANOUT", 2)  # the same through trees of several levels
+    assert result(jaccard.jaccard_components(frame(spark, rows))) == got and seen == [1, 1]
+
+
+def test_ids_do_not_matter(spark):
+    """Rows without id, one id on several texts, repeated rows, and ids that are no numbers."""
+    rows = near_copies(11)[:60]
+    want = brute(rows)
+    odd = [(None, rows[0][1]), (None, "only here and nowhere else at all"), (rows[5][0], rows[40][1]), (rows[5][0], "a text of its own with seven words"), rows[7], rows[7], (None, None), (None, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows + odd)).collect()), key=str)
+    everything = [(k, t) for k, (_, t) in enumerate(rows + odd)]
+    by_row = brute(everything)
+    ids = [i for i, _ in rows + odd]
+    least = {}
+    for k, (_, c) in by_row.items():
+        least[c] = min((x for x in (least.get(c), ids[k]) if x is not None), default=None)
+    assert got == sorted(((ids[k], n, least[c] if n else ids[k]) for k, (n, c) in by_row.items()), key=str)
+    named = spark.createDataFrame([(f"d{i:06d}", t) for i, t in rows], "doc_id string, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(named).collect()} == {f"d{i:06d}": (n, f"d{c:06d}") for i, (n, c) in want.items()}
+
+
+def test_one_of_each(spark):
+    rows = near_copies(13)
+    want = {i for i, (_, c) in brute(rows).items() if i == c}
+    assert {r.doc_id for r in jaccard.one_of_each(frame(spark, rows)).collect()} == want
+    odd = [rows[0], rows[0], (rows[3][0], "one id on a text that is linked with nothing else here"), (None, rows[0][1]), (None, "no id and no copy of it anywhere"), (None, None), (7, ""), (7, "")]
+    got = jaccard.one_of_each(frame(spark, rows + odd))
+    assert got.columns == frame(spark, rows).columns
+    had = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    text = dict(rows)
+    assert had == sorted([(i, text[i]) for i in want] + [odd[2], odd[4], odd[5], odd[6], odd[7]], key=str)
+    assert jaccard.one_of_each(empty(spark)).count() == 0
