@@ -35,6 +35,8 @@ MOST_ENTRIES = 2_000
 EVIDENCE, PRECISION = 15.0, 0.6
 PREFIXES = (4, 5, 6, 7)
 LIMIT = 0.7
+#: The scale where nothing was learned: every text is clean.
+NOTHING = (-20.0, 0.0, 0.0)
 
 _table = {i: chr(i) if chr(i).isalpha() or chr(i).isdigit() else " " for i in range(128)}
 _table |= {i: chr(i + 32) for i in range(65, 91)}
@@ -98,7 +100,8 @@ class Matcher:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1
+    """Whether a document's labels are kept from the fit; a row without id has none and is not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
 def _features(total: float, words: int) -> tuple[float, float, float]:
@@ -115,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str =
     """Lexicon and scale from the training fold: of its labelled documents the `most` with the smallest hash of their id.
 
     Entries are counted where the documents are; entries with evidence, MOST_ENTRIES at most, and two numbers a document
-    come to the driver. Without labelled rows, or if nothing tells toxic from clean, the lexicon is empty.
+    come to the driver. Without labelled rows, or if nothing tells toxic from clean, the lexicon is empty and every text
+    has the same low score.
     """
     small_batches(docs.sparkSession)
     sample = _sample(docs, labels, most, text, id_col, label)
@@ -131,15 +135,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str =
             return b
 
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(fold(t).split())
-                own = {f" {w} " for w in words if 2 < len(w) < 40}
-                for n in PREFIXES:
-                    own.update(f" {w[:n]}" for w in words if len(w) >= n)
-                own.add("")
-                seen[1 if y else 0].update(own)
-            if len(seen[0]) + len(seen[1]) > 300_000:
-                yield out()
+            for b in slices(batch, "text"):
+                for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    words = set(fold(t).split())
+                    own = {f" {w} " for w in words if 2 < len(w) < 40}
+                    for n in PREFIXES:
+                        own.update(f" {w[:n]}" for w in words if len(w) >= n)
+                    own.add("")
+                    seen[1 if y else 0].update(own)
+                if len(seen[0]) + len(seen[1]) > 300_000:
+                    yield out()
         yield out()
 
     counts = sample.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -147,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str =
     whole = counts.where("entry = ''").collect()
     n_toxic, n_clean = (whole[0].toxic, whole[0].clean) if whole else (0, 0)
     if not n_toxic or not n_clean:
-        return Model({}, (-20.0, 0.0, 0.0), exceptions)
+        return Model({}, NOTHING, exceptions)
     rate = n_toxic / (n_toxic + n_clean)
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     best = counts.where("entry <> '' and toxic > 0").withColumn("evidence", F.col("toxic") * F.log(share / rate)).where((F.col("evidence") >= EVIDENCE) & (share >= PRECISION))
@@ -166,16 +171,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str =
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(entries, exceptions)
-        for b in batches:
-            f = [fold(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([m.weigh(t)[0] for t in f], pa.float64()), pa.array([len(t.split()) for t in f], pa.int64())], ["y", "total", "words"])
+        for batch in batches:
+            for b in slices(batch, "text"):
+                f = [fold(t) for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([m.weigh(t)[0] for t in f], pa.float64()), pa.array([len(t.split()) for t in f], pa.int64())], ["y", "total", "words"])
 
+    if not entries:
+        return Model({}, NOTHING, exceptions)
     rows = sorted((r.y, r.total, r.words) for r in sample.mapInArrow(weigh, "y int, total double, words long").collect())
     return Model(entries, fit_scale([_features(t, n) for _, t, n in rows], [1 if y else 0 for y, _, _ in rows]), exceptions)
 
 
 def fit_scale(x: list[tuple[float, float, float]], y: list[int]) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps, shifted so that the cut with the best F1 of the sample is LIMIT."""
+    """Logistic regression by Newton steps, shifted so that the cut with the best F1 of the sample is LIMIT.
+
+    Only cuts above the score of a text without matches count, so that such a text is always clean; NOTHING if none is left.
+    """
     a, t = np.array(x), np.array(y, float)
     w = np.zeros(3)
     for _ in range(30):
@@ -187,8 +198,11 @@ def fit_scale(x: list[tuple[float, float, float]], y: list[int]) -> tuple[float,
     hit = np.cumsum(t[order])
     f1 = 2 * hit / (np.arange(1, len(t) + 1) + t.sum())
     cut = np.append(z[order][1:] < z[order][:-1], True)  # equal scores stay together
+    cut &= (z[order] > w[0] + 1e-9) & (hit > 0)
+    if not cut.any():
+        return NOTHING
     k = int(np.argmax(np.where(cut, f1, -1)))
-    at = (z[order][k] + (z[order][k + 1] if k + 1 < len(z) else z[order][k] - 2)) / 2
+    at = (z[order][k] + max(z[order][k + 1] if k + 1 < len(z) else w[0], w[0])) / 2
     w[0] += log(LIMIT / (1 - LIMIT)) - at
     return tuple(float(v) for v in w)
 
@@ -222,17 +236,17 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", id_col: str = "d
 def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", limit: float = LIMIT) -> DataFrame:
     """The rows, with all their columns, whose score is below the limit. Rows stay where they are: no shuffle."""
     small_batches(docs.sparkSession)
-    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(model.entries, model.exceptions)
-        for b in batches:
-            keep = []
-            for t in b.column(at).to_pylist():
-                f = fold(t or "")
-                total, _ = m.weigh(f)
-                z = sum(a * c for a, c in zip(_features(total, len(f.split()) if total else 1), model.scale, strict=True))
-                keep.append(1 / (1 + exp(-max(-30.0, min(30.0, z)))) < limit)
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for b in slices(batch, text):
+                keep = []
+                for t in b.column(b.schema.get_field_index(text)).to_pylist():
+                    f = fold(t or "")
+                    total, _ = m.weigh(f)
+                    z = sum(a * c for a, c in zip(_features(total, len(f.split()) if total else 1), model.scale, strict=True))
+                    keep.append(1 / (1 + exp(-max(-30.0, min(30.0, z)))) < limit)
+                yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
