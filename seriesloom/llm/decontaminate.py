@@ -1,8 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Every benchmark item has a weighted SimHash of its word 5-grams. Windows of an item's size slide over the documents;
-their fingerprints probe a multi-index (radius + 1 bit blocks: within the radius at least one block is equal, so no
-fingerprint within it is missed), and what is near is verified by the exact weighted similarity of the 5-grams.
+their fingerprints probe a multi-index, and what is near is verified by the exact weighted similarity of the 5-grams.
+The index has blocks of 32 bits, each of two halves: of two fingerprints within the radius some block differs in at most
+radius / blocks bits and one half of it in at most half of these, so that no fingerprint within the radius is missed, and
+only items with such a half and block are compared as a whole.
 
 A window without any 5-gram of an item has similarity 0 to it, so windows are made where at least one stands.
 """
@@ -19,18 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import NOT_ALNUM, mix, slices, small_batches, windows_hash, word_hashes
+from .textops import NOT_ALNUM, mix, segments, slices, small_batches, windows_hash, word_hashes
 
-BITS = 64
-RADIUS = 20
+#: Bits of a fingerprint, and the radius: at similarity 0.75 prints differ in 44 bits on average, with a deviation of 6.
+BITS = 256
+RADIUS = 63
+#: Bits of a block of the multi-index, and of its halves.
+BLOCK, HALF = 32, 16
+#: Windows of a document whose fingerprints are made at a time.
+WINDOWS = 2048
 #: Items that are broadcast at a time; a larger benchmark is gone through in blocks of so many.
 BLOCK_ITEMS = 20_000
-_SHIFT = np.arange(BITS, dtype=np.uint64)
+_SALT = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 
 
 def signs(grams: np.ndarray) -> np.ndarray:
     """+1 or -1 for each n-gram and bit."""
-    return (((mix(grams ^ np.uint64(0x5851F42D4C957F2D))[:, None] >> _SHIFT) & np.uint64(1)).astype(np.int64) * 2 - 1)
+    words = mix(grams[:, None] ^ _SALT)
+    return np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
 
 
 def whole(weight: float) -> int:
@@ -39,8 +47,41 @@ def whole(weight: float) -> int:
 
 
 def pack(sums: np.ndarray) -> np.ndarray:
-    """Fingerprints of rows of bit sums."""
-    return ((sums > 0).astype(np.uint64) << _SHIFT).sum(1, dtype=np.uint64)
+    """Fingerprints of rows of bit sums, as rows of 64-bit words."""
+    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)
+
+
+def within(bits: int, most: int) -> np.ndarray:
+    """All numbers of so many bits with at most `most` bits set."""
+    every = np.arange(1 << bits, dtype=np.uint16 if bits <= 16 else np.uint32)
+    return every[np.bitwise_count(every) <= most]
+
+
+class Halves:
+    """One half of a block of all items: which items differ from a value in at most `most` bits.
+
+    Values that differ so little are looked up, or, where the items have fewer values than that, all their values compared:
+    the items found are the same.
+    """
+
+    def __init__(self, values: np.ndarray, most: int):
+        self.order = np.argsort(values, kind="stable")
+        self.values, start = np.unique(values[self.order], return_index=True)
+        self.start, self.most = np.append(start, len(values)), most
+        self.masks = within(HALF, most)
+
+    def near(self, asked: np.ndarray, look: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the asked value, item) for all that are near."""
+        if look if look is not None else len(self.masks) < len(self.values):
+            w, m = np.divmod(np.arange(len(asked) * len(self.masks)), len(self.masks))
+            value = asked[w] ^ self.masks[m]
+            at = np.minimum(np.searchsorted(self.values, value), len(self.values) - 1)
+            hit = self.values[at] == value
+            w, at = w[hit], at[hit]
+        else:
+            w, at = np.nonzero(np.bitwise_count(asked[:, None] ^ self.values[None]) <= self.most)
+        count = self.start[at + 1] - self.start[at]
+        return np.repeat(w, count), self.order[np.repeat(self.start[at], count) + segments(count)]
 
 
 @dataclass
@@ -67,12 +108,7 @@ class Index:
         for i, bag in enumerate(self.bags):
             for g in bag:
                 self.postings.setdefault(g, []).append(i)
-        cuts = np.linspace(0, BITS, self.radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-        self.by_block = [{} for _ in self.blocks]
-        for (shift, mask), table in zip(self.blocks, self.by_block, strict=True):
-            for i, v in enumerate(((self.prints >> shift) & mask).tolist()):
-                table.setdefault(v, []).append(i)
+        self.halves: list[Halves] | None = None
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Indices of n-grams that some item has."""
@@ -84,19 +120,28 @@ class Index:
         pos = np.minimum(np.searchsorted(self.weighted, grams), len(self.weighted) - 1)
         return np.where(self.weighted[pos] == grams, self.gram_weight[pos], whole(self.rare))
 
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, item) that some block of the multi-index lets through, in order and once."""
+        per = BLOCK // HALF
+        if self.halves is None:  # made where it is used: it is larger than what it is made from
+            values = self.prints.view(np.uint16)
+            self.halves = [Halves(values[:, h], self.radius // (BITS // BLOCK) // per) for h in range(BITS // HALF)]
+        asked, own, other = prints.view(np.uint16), prints.view(np.uint32), self.prints.view(np.uint32)
+        found = []
+        for h, half in enumerate(self.halves):
+            w, i = half.near(asked[:, h])
+            close = np.bitwise_count(own[w, h // per] ^ other[i, h // per]) <= self.radius // (BITS // BLOCK)
+            found.append(w[close] * len(other) + i[close])
+        return np.divmod(np.unique(np.concatenate(found)), len(other))
+
     def near(self, prints: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """For each fingerprint the items within the radius, with their distances."""
         found: dict[int, list[tuple[int, int]]] = {}
-        for k, p in enumerate(prints):
-            probe: set[int] = set()
-            for (shift, mask), table in zip(self.blocks, self.by_block, strict=True):
-                probe.update(table.get(int((p >> shift) & mask), ()))
-            if probe:
-                cand = np.fromiter(probe, np.int64, len(probe))
-                d = np.bitwise_count(self.prints[cand] ^ p)
-                close = d <= self.radius
-                if close.any():
-                    found[k] = list(zip(cand[close].tolist(), d[close].tolist(), strict=True))
+        w, i = self.candidates(prints)
+        d = np.bitwise_count(prints[w] ^ self.prints[i]).sum(1, dtype=np.int64)
+        close = d <= self.radius
+        for k, item, far in zip(w[close].tolist(), i[close].tolist(), d[close].tolist(), strict=True):
+            found.setdefault(k, []).append((item, far))
         return found
 
     def similarity(self, window: np.ndarray, item: int) -> float:
@@ -151,7 +196,7 @@ def build(items: list[tuple[int, str | None]], n: int, radius: int, every: dict[
         weight = {g: 1 + log(total / c) for g, c in df.items()}
         bags = [dict(Counter(grams.tolist())) for _, grams in own]
         totals = np.array([sum(c * weight[g] for g, c in bag.items()) for bag in bags])
-        prints = np.array([pack((signs(grams) * np.array([whole(weight[g]) for g in grams.tolist()])[:, None]).sum(0)[None])[0] for _, grams in own], np.uint64)
+        prints = np.concatenate([pack((signs(grams) * np.array([whole(weight[g]) for g in grams.tolist()])[:, None]).sum(0)[None]) for _, grams in own])
         out.append(Index(k, [i for i, _ in own], bags, np.array([len(g) for _, g in own]), totals, prints, weight, 1 + log(total), radius))
     return out
 
@@ -173,11 +218,11 @@ def matches(index: Index, grams: np.ndarray, hit: np.ndarray, least: float) -> l
         cut = np.flatnonzero(lo[1:] > np.maximum.accumulate(hi)[:-1] + 1) + 1
         for a, b in zip(np.append(0, cut), np.append(cut, len(pos)), strict=True):
             first, last = int(lo[a]), int(hi[a:b].max())
-            for part in range(first, last + 1, 4096):  # a long run of windows in parts
-                end = min(last, part + 4095)
+            for part in range(first, last + 1, WINDOWS):  # a long run of windows in parts
+                end = min(last, part + WINDOWS - 1)
                 g = grams[part : end + m]
-                sums = np.zeros((len(g) + 1, BITS), np.int64)
-                np.cumsum(signs(g) * index.weights(g)[:, None], axis=0, out=sums[1:])
+                sums = np.zeros((len(g) + 1, BITS), np.int32 if len(g) < 1 << 20 else np.int64)
+                np.cumsum(signs(g) * index.weights(g)[:, None].astype(sums.dtype), axis=0, out=sums[1:])
                 for k, cand in index.near(pack(sums[m:] - sums[:-m])).items():
                     for item, d in cand:
                         if min(int(index.sizes[item]), len(grams)) != m:
@@ -191,18 +236,17 @@ def matches(index: Index, grams: np.ndarray, hit: np.ndarray, least: float) -> l
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, n: int, radius: int) -> Iterator:
     """Broadcast indexes of the benchmark: one block, unless it is larger than what is broadcast."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null").distinct()
+    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
     last, full, every = None, True, None
     while full:
-        part = [(r.i, r.t) for r in (items if last is None else items.where(F.col("i") > F.lit(last))).orderBy("i", "t").limit(BLOCK_ITEMS).collect()]
+        after = items if last is None else items.where((F.col("i") > F.lit(last[0])) | (F.col("i") == F.lit(last[0])) & (F.col("t") > F.lit(last[1])))
+        part = [(r.i, r.t) for r in after.orderBy("i", "t").limit(BLOCK_ITEMS).collect()]
         full = len(part) == BLOCK_ITEMS
-        if full:  # texts of the last id stay together, in the next block
-            part = [x for x in part if x[0] < part[-1][0]] or part
         if full and every is None:  # weights are of the whole benchmark in every block
             every = frequencies(items, n)
         if part:
             yield spark.sparkContext.broadcast(build(part, n, radius, every))
-            last = part[-1][0]
+            last = part[-1]
 
 
 def _found(own: list[Index], texts: pa.Array, least: float) -> list[tuple]:
@@ -228,8 +272,9 @@ def _found(own: list[Index], texts: pa.Array, least: float) -> list[tuple]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", item_id: str = "item_id", item_text: str = "text", n: int = 5, least: float = 0.75, radius: int = RADIUS) -> DataFrame:
     """(id, item, start_word, n_words, distance, similarity): the best window of each document for each item it holds.
 
-    Words are runs of letters and digits, A-Z lower-cased. Null and empty texts and items match nothing; a document
-    shorter than an item is one window. Repeated documents give repeated rows; repeated items count once. Extra
+    Words are runs of letters and digits, A-Z lower-cased. Null and empty texts and items match nothing, items without id
+    are left out, and an item id on several texts is an item each; a document shorter than an item is one window. Documents
+    may have no id. Repeated documents give repeated rows; repeated items count once. Extra
     columns are ignored; without documents or items there are no rows. All windows of whole texts are covered.
     """
     spark = docs.sparkSession
