@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import Shelf
 from .textops import column_bytes, mix, prefix_hash, slices, small_batches, span_hash
 
 LENGTH, GRAM = 400, 100
@@ -102,32 +102,26 @@ def _context(data: np.ndarray, pos: int, length: int, k: int) -> bytes:
 
 
 def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """Rows of documents (id, n, h1, h2) and of anchors (id, pos, n, gram, context). Equal texts met in one task give their anchors once."""
+    """Rows of documents (id, n) and of anchors (id, pos, n, gram, context). Equal texts met in one task give their anchors once."""
     side = length - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "h1", "h2", "pos", "gram", "context"]
-        seen: set[tuple] = set()
+        names = ["id", "n", "pos", "gram", "context"]
+        seen: set[int] = set()
         for batch in batches:
             for b in slices(batch, "text", SLICE):
                 data, off = column_bytes(b.column(1))
                 h = prefix_hash(data)
-                h2 = prefix_hash(data ^ np.uint8(0x5A))
-                n = np.diff(off)
-                one, two = span_hash(h, off[:-1], off[1:]).view(np.int64), span_hash(h2, off[:-1], off[1:]).view(np.int64)
                 none = pa.nulls(b.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(one), pa.array(two), none, none, none], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), none, none, none], names)
                 ids = b.column(0).to_pylist()
                 got: list[tuple[np.ndarray, ...]] = []
                 for r, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                    if e - s < length:
-                        continue
-                    same = (e - s, int(one[r]), int(two[r]))
-                    if same in seen:
+                    if e - s < length or ids[r] in seen:
                         continue
                     if len(seen) > 200_000:
                         seen.clear()
-                    seen.add(same)
+                    seen.add(ids[r])
                     at = np.arange(s, e - k + 1)
                     grams = span_hash(h, at, at + k)
                     p = anchors(grams, side + 1)
@@ -136,21 +130,29 @@ def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
                     got.append((np.full(len(p), ids[r]), p, np.full(len(p), e - s), grams[p].view(np.int64), ctx.view(np.int64)))
                 if got:
                     i, p, size, g, c = (np.concatenate(v) for v in zip(*got, strict=True))
-                    none = pa.nulls(len(i), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(size), none, none, pa.array(p), pa.array(g), pa.array(c)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(size), pa.array(p), pa.array(g), pa.array(c)], names)
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, pos long, gram long, context long")
+    return docs.mapInArrow(run, "id long, n long, pos long, gram long, context long")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
-    """wanted (id, pos, gram, c) with the context's symbols; rank grows with its count c, then with the text it has."""
+    """wanted (id, pos, gram, c) with the context's symbols; rank grows with its count c, then with the text it has.
+
+    Of equal texts one is read a task, and one row of each context stays.
+    """
     by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("pos", "gram", "c")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for b in slices(batch, "text", 1 << 18):
                 ids, pos, gram, single, rank, out = [], [], [], [], [], []
                 for i, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    if i in seen:
+                        continue
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(i)
                     data = np.frombuffer(t.encode(), np.uint8)
                     for w in at:
                         ids.append(i)
@@ -166,7 +168,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(single, pa.bool_()), pa.array(rank, pa.int64()), pa.array(out, pa.binary())], ["gram", "id", "pos", "single", "rank", "symbols"])
 
     joined = docs.join(by_doc, "id").select("id", "text", "at")
-    return joined.mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, symbols binary")
+    return joined.mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, symbols binary").dropDuplicates(["gram", "id", "pos"])
 
 
 def _solve(parts: DataFrame, length: int, k: int) -> DataFrame:
@@ -210,7 +212,7 @@ def _solve(parts: DataFrame, length: int, k: int) -> DataFrame:
     return parts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "id long, a long, b long")
 
 
-def _split(big: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
+def _split(big: DataFrame, length: int, k: int, shelf: Shelf, turn: int) -> tuple[DataFrame, DataFrame]:
     """Compares the contexts of large groups with their leader: (spans found, the next groups).
 
     The leader is the most frequent context, as the others leave it where they are odd themselves, at many places; among
@@ -219,7 +221,7 @@ def _split(big: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
     """
     side = length - k
     lead = big.groupBy("gram").agg(F.min(F.struct(-F.col("rank"), "id", "pos", "symbols", "lo", "hi")).alias("lead"))
-    lead = written(lead.select("gram", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("id", "pos", "symbols", "lo", "hi"))), "leaders")
+    lead = shelf.write(lead.select("gram", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("id", "pos", "symbols", "lo", "hi"))), f"leaders {turn}")
     both = big.join(lead, "gram").where("id <> lead_id or pos <> lead_pos")
     cols = ["gram", "id", "pos", "single", "rank", "symbols", "lo", "hi", "lead_id", "lead_pos", "lead_symbols", "lead_lo", "lead_hi"]
 
@@ -251,77 +253,100 @@ def _split(big: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), *[pa.int64()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 13, kinds, strict=True)], names)
 
-    done = written(both.select(*cols).mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, symbols binary, lo int, hi int, a long, b long, lead_id long, lead_a long, lead_b long"), "split")
+    done = shelf.write(both.select(*cols).mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, symbols binary, lo int, hi int, a long, b long, lead_id long, lead_a long, lead_b long"), f"groups {turn + 1}")
     leaders = big.where("single").select("gram", F.col("id").alias("lead_id"), F.col("pos").alias("lead_pos")).join(lead.select("gram", "lead_id", "lead_pos"), ["gram", "lead_id", "lead_pos"]).select("lead_id").distinct()
     spans = done.where("a is not null").select("id", "a", "b").unionByName(done.where("lead_a is not null").join(leaders, "lead_id").select(F.col("lead_id").alias("id"), F.col("lead_a").alias("a"), F.col("lead_b").alias("b")).distinct())
     return spans, done.where("gram is not null").select("gram", "id", "pos", "single", "rank", "symbols", "lo", "hi")
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """Spans (id, a, b) of bytes whose union is what is removed. docs: id long, text string without nulls."""
+def repeated_spans(docs: DataFrame, shelf: Shelf, *, length: int = LENGTH, k: int = GRAM) -> DataFrame:
+    """Spans (id, a, b) of bytes whose union is what is removed. docs: id long, which names the text, and text without nulls."""
     side = length - k
-    scan = written(_scan(docs, length, k), "anchors")
-    texts = scan.where("pos is null").select("id", "n", "h1", "h2").where(F.col("n") >= length)
-    copies = written(texts.groupBy("h1", "h2", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "copies")
-    spans = [texts.join(copies, ["h1", "h2", "n"]).select("id", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).distinct()]
+    scan = shelf.write(_scan(docs, length, k), "scan")
+    copies = scan.where("pos is null").where(F.col("n") >= length).groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("b")).where("c > 1")
+    spans = [shelf.write(copies.select("id", F.lit(0).cast("long").alias("a"), "b"), "spans")]
     found = scan.where("pos is not null").select("gram", "context", "id", "pos", "n")
-    kinds = written(found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "pos")).alias("at")), "contexts")
-    per = kinds.groupBy("gram").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least")).where("all > 1")
-    per = written(per, "grams")
-    same = written(kinds.where("c > 1").select("gram", "context"), "same")
+    kinds = shelf.write(found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "pos")).alias("at")), "kinds")
+    per = kinds.groupBy("gram").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1").select("gram")
+    same = kinds.where("c > 1").select("gram", "context")
     start, stop = F.greatest(F.lit(0), F.col("pos") - side), F.least(F.col("pos"), F.col("n") - length)
-    spans.append(found.join(same, ["gram", "context"]).where(start <= stop).select("id", start.cast("long").alias("a"), (stop + length).cast("long").alias("b")))
-    wanted = kinds.join(per.where("kinds > 1 and least = 1"), "gram").select("gram", F.col("at.id").alias("id"), F.col("at.pos").alias("pos"), "c")
-    groups = _cut(docs, wanted, length, k).withColumns({"lo": F.lit(0), "hi": F.lit(side)})
-    rows = written(groups, "groups")
+    whole = found.join(same, ["gram", "context"]).where(start <= stop).select("id", start.cast("long").alias("a"), (stop + length).cast("long").alias("b"))
+    spans.append(shelf.write(whole, "spans"))
+    wanted = shelf.write(kinds.join(per, "gram").select("gram", F.col("at.id").alias("id"), F.col("at.pos").alias("pos"), "c"), "wanted")
+    shelf.drop("kinds", "scan")
+    rows = shelf.write(_cut(docs, wanted, length, k).withColumns({"lo": F.lit(0), "hi": F.lit(side)}), "groups 0")
+    shelf.drop("wanted")
+    turn = 0
     while True:
-        size = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
-        small = rows.join(size.where((F.col("m") > 1) & (F.col("m") <= PART)).select("gram"), "gram")
-        spans.append(written(_solve(small, length, k), "spans"))
-        large = written(size.where(F.col("m") > PART).select("gram"), "large")
+        size = shelf.write(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+        small = rows.join(size.where(F.col("m") <= PART).select("gram"), "gram")
+        spans.append(shelf.write(_solve(small, length, k), "spans"))
+        large = size.where(F.col("m") > PART).select("gram")
         if large.isEmpty():
             break
-        more, rows = _split(rows.join(large, "gram"), length, k)
-        spans.append(more)
+        more, rows = _split(rows.join(large, "gram"), length, k, shelf, turn)
+        spans.append(shelf.write(more, "spans"))
+        shelf.drop(f"groups {turn}", f"leaders {turn}", "sizes")
+        turn += 1
+    shelf.drop(f"groups {turn}", "sizes")
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
     return out
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; kept is the remaining bytes.
+def _merged(spans: DataFrame) -> DataFrame:
+    """(id, runs): each text's spans as maximal runs, start and end as 64-bit numbers, so that little travels with a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ab = batch.column(1), batch.column(1).flatten()
+            a, b = (ab.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            off = np.append(0, np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False)))
+            out = []
+            for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                order = np.argsort(a[s:e], kind="stable")
+                low, high = a[s:e][order], np.maximum.accumulate(b[s:e][order])
+                first = np.append(True, low[1:] > high[:-1])
+                last = np.append(first[1:], True)
+                out.append(np.column_stack([low[first], high[last]]).astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "runs"])
+
+    return spans.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("at")).mapInArrow(run, "id long, runs binary")
 
-    Texts count as UTF-8. Null, empty and shorter texts lose nothing. Repeated rows are occurrences of each other; ids are
-    whole numbers that name one text; a row without an id loses nothing and is nobody's occurrence. Extra columns are ignored; an empty table gives no rows. A document's spans are
-    as many as its anchors at most, so they fit where its text does.
+
+def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, k: int = GRAM, keep_bytes: bool = True) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; kept is the remaining bytes, left out without keep_bytes.
+
+    Texts count as UTF-8 and are known by a 64-bit hash of their bytes: ids play no part, may be of any type or missing, and
+    may stand on several texts. Null, empty and shorter texts lose nothing. Repeated rows are occurrences of each other.
+    Extra columns are ignored; an empty table gives no rows. A text's spans are as many as its anchors at most, so they fit
+    where the text does.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(rows.where(F.col("id").isNotNull()), length=length, k=k)
-    spans = spans.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    shelf = Shelf(spark, "repeats")
+    rows = docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
+    spans = repeated_spans(rows.select("id", "text"), shelf, length=length, k=k)
+    runs = shelf.write(_merged(spans), "runs")
+    shelf.drop("spans")
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         for batch in batches:
             for b in slices(batch, "text", SLICE):
+                data, off = column_bytes(b.column(1))
                 out = []
-                for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    raw = t.encode()
-                    runs: list[list[int]] = []
-                    for a, z in sorted((s["a"], s["b"]) for s in found or ()):
-                        if runs and a <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], z)
-                        else:
-                            runs.append([a, z])
-                    kept, at = [], 0
-                    for a, z in runs:
-                        kept.append(raw[at:a])
-                        at = z
-                    whole = b"".join([*kept, raw[at:]])
-                    out.append((len(raw), len(raw) - len(whole), len(runs), sha256(whole).hexdigest(), whole))
+                for r, found in enumerate(b.column(2)):
+                    raw = data[off[r] : off[r + 1]]
+                    gone = np.frombuffer(found.as_buffer(), np.int64).reshape(-1, 2) if found.is_valid else np.zeros((0, 2), np.int64)
+                    edge = np.concatenate([[0], gone.ravel(), [len(raw)]]).tolist()
+                    whole = b"".join(raw[p:q].tobytes() for p, q in zip(edge[::2], edge[1::2], strict=True))
+                    out.append((len(raw), len(raw) - len(whole), len(gone), sha256(whole).hexdigest(), *([whole] if keep_bytes else [])))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds))], names)  # noqa: B905
 
-    joined = rows.join(spans, "id", "left").select("id", "text", "spans")
-    return joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+    kind = dict(rows.dtypes)["row_id"]
+    joined = rows.join(runs, "id", "left").select("row_id", "text", "runs")
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
+    return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)

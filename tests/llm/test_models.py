@@ -56,6 +56,32 @@ def test_toxicity(spark):
     assert toxicity.fit(empty(spark), lab.limit(0)).entries == {}
 
 
+def test_nothing_learned_means_clean(spark):
+    """Too few labels for evidence, labels that tell nothing, or toxic rows only: no document is called toxic."""
+    rows = [(i, f"{prose(30, random.Random(i))} zlurgh" if i % 5 == 0 else prose(30, random.Random(i))) for i in range(90)]
+    some = [i for i, _ in rows if __import__("zlib").crc32(str(i).encode()) % 3 != 1]
+    for label in (lambda i: int(i % 29 == 0), lambda i: int(i == some[0]), lambda i: 1, lambda i: 0):
+        lab = spark.createDataFrame([(i, label(i)) for i in some], "doc_id long, toxic int")
+        model = toxicity.fit(frame(spark, rows), lab)
+        assert toxicity.keep_clean(frame(spark, rows + ODD), model).count() == len(rows) + len(ODD)
+    assert toxicity.fit_scale([(1.0, 0.0, 0.0)] * 10, [1] * 3 + [0] * 7) == toxicity.NOTHING
+    null = spark.createDataFrame([(None, "x"), (3, "x")], "doc_id long, text string").select(toxicity.held_out(__import__("pyspark").sql.functions.col("doc_id")).alias("h"))
+    assert all(r.h is not None for r in null.collect())
+
+
+def test_matcher_against_brute_force():
+    r = random.Random(6)
+    bits = ["ab", "ba", "abb", "a", "b", "bab", "aab"]
+    entries = {f" {x}{e}": float(k + 1) for k, (x, e) in enumerate((x, e) for x in ("ab", "bab", "aa") for e in ("", " "))}
+    m = toxicity.Matcher(entries, ("ab bab", "a aab"))
+    for _ in range(300):
+        t = toxicity.fold(" ".join(r.choice(bits) for _ in range(r.randint(0, 12))))
+        harmless = [(k, k + len(p)) for p in (" ab bab ", " a aab ") for k in range(len(t)) if t.startswith(p, k)]
+        hits = [(w, k, k + len(p)) for p, w in entries.items() for k in range(len(t)) if t.startswith(p, k)]
+        left = [w for w, a, z in hits if not any(x <= a and z <= y for x, y in harmless)]
+        assert m.weigh(t) == (sum(left), len(left))
+
+
 def test_exception_phrases():
     m = toxicity.Matcher({" trash ": 2.0, " idio": 1.0}, toxicity.EXCEPTIONS)
     assert m.weigh(toxicity.fold("the TRASH can"))[1] == 0 and m.weigh(toxicity.fold("trash, idiots!")) == (3.0, 2)
@@ -104,7 +130,7 @@ def test_decontamination(spark):
         got[r.doc_id, r.item_id] = (round(r.similarity, 9), r.start_word)
     want = {(i, k): v for i, t in rows + ODD for k, v in brute_matches(items, t, 0.75).items()}
     assert planted <= set(want) and set(got) <= set(want)
-    assert len(got) >= 0.97 * len(want) and planted <= set(got)
+    assert len(got) >= 0.99 * len(want) and planted <= set(got)
     assert all(got[k] == want[k] for k in planted)
     clean = decontaminate.keep_clean(frame(spark, rows), bench)
     assert clean.count() == len(rows) - len({i for i, _ in got}) and "bits" in clean.columns
@@ -142,15 +168,37 @@ def test_item_blocks_change_no_result(spark, monkeypatch):
     assert found() == whole
 
 
-def test_multi_index_misses_no_print_within_the_radius():
+def flipped(prints, r, most):
+    """Each print with up to `most` of its bits turned."""
+    out = prints.copy()
+    for row in out:
+        for b in r.choice(decontaminate.BITS, r.randint(0, most + 1), replace=False):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return out
+
+
+@pytest.mark.parametrize("radius", [6, 40, decontaminate.RADIUS])
+def test_multi_index_misses_no_print_within_the_radius(radius):
     items, _, _ = leaks()
-    (x,) = [x for x in decontaminate.build(items, 5, 6) if x.n == 5]
-    r = np.random.RandomState(0)
-    prints = np.array([p ^ np.uint64(sum(1 << int(b) for b in r.choice(64, r.randint(0, 12), replace=False))) for p in x.prints], np.uint64)
+    (x,) = [x for x in decontaminate.build(items, 5, radius) if x.n == 5]
+    prints = flipped(np.tile(x.prints, (4, 1)), np.random.RandomState(0), 2 * radius)
     found = x.near(prints)
     for k, p in enumerate(prints):
-        want = {(i, int(np.bitwise_count(q ^ p))) for i, q in enumerate(x.prints) if np.bitwise_count(q ^ p) <= 6}
-        assert {(i, int(d)) for i, d in found.get(k, ())} == want
+        far = np.bitwise_count(x.prints ^ p).sum(1).tolist()
+        assert {(i, d) for i, d in enumerate(far) if d <= radius} == set(found.get(k, ()))
+
+
+def test_multi_index_prunes():
+    """Of unrelated items few are compared as a whole, whichever way halves are gone through."""
+    r = np.random.RandomState(1)
+    draw = lambda n: r.randint(0, 1 << 63, (n, decontaminate.BITS // 64), dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    x = decontaminate.Index(5, list(range(3000)), [], np.zeros(0), np.zeros(0), draw(3000), {1: 1.0}, 1.0, decontaminate.RADIUS)
+    asked = draw(50)
+    w, i = x.candidates(asked)
+    assert len(w) < 0.05 * 50 * 3000
+    half = decontaminate.Halves(x.prints.view(np.uint16)[:, 3], 3)
+    one, two = (set(zip(*(v.tolist() for v in half.near(asked.view(np.uint16)[:, 3], look)), strict=True)) for look in (True, False))
+    assert one == two and one
 
 
 # --- op3
@@ -243,6 +291,7 @@ def repeats(seed=4):
 def test_suffix_dedup(spark, monkeypatch, part):
     monkeypatch.setattr(suffix_dedup, "PART", part)
     rows = repeats() + [x for x in ODD if len(x[1] or "") < 1000]
+    assert part > 100 or len(rows) > part
     out = suffix_dedup.remove_repeats(frame(spark, rows), length=40, k=10).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_removed(rows, 40)
 
@@ -258,6 +307,21 @@ def test_suffix_dedup_production_length(spark):
     assert len(twice) == 6 and all(r.n_removed == (r.n_bytes if r.n_bytes >= 400 else 0) for r in twice)
 
 
+def test_suffix_dedup_ids_do_not_matter(spark):
+    """Rows without id, one id on several texts, ids that are no numbers: bytes go by what the texts say."""
+    r = random.Random(8)
+    same, own = prose(40, r), prose(40, r)
+    rows = [(1, same), (1, own), (None, f"{prose(5, r)} {same} end"), (None, None), (2, prose(50, r)), (2, "short"), (None, own[3:-3])]
+    want = brute_removed(list(enumerate(t for _, t in rows)), 60)
+    got = suffix_dedup.remove_repeats(frame(spark, rows), length=60, k=10).collect()
+    tell = lambda i, v: (str(i), *v)
+    assert sorted(tell(x.doc_id, (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)) for x in got) == sorted(tell(rows[k][0], v) for k, v in want.items())
+    assert all(sha256(x.kept).hexdigest() == x.kept_sha256 for x in got)
+    named = spark.createDataFrame([(f"n{k}", t) for k, (_, t) in enumerate(rows)], "doc_id string, text string")
+    some = {x.doc_id: x.n_removed for x in suffix_dedup.remove_repeats(named, length=60, k=10, keep_bytes=False).collect()}
+    assert some == {f"n{k}": v[1] for k, v in want.items()}
+
+
 def test_suffix_columns():
     r = np.random.RandomState(3)
     x = r.randint(0, 2, (40, 18)).astype(np.uint16)
