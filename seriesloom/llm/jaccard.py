@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Shelf
+from .tables import Shelf, needed
 from .textops import mix, slices, small_batches, windows_hash, word_hashes
 
 #: Cells of the order sketch: the most that is sent to the driver and broadcast is twice as many bytes.
@@ -48,8 +48,6 @@ FANOUT, BLOCK = 16, 2048
 MEMBERS = 64
 #: The most members and n-grams of a block whose pairs are decided, and n-grams whose places are held as a dense table at a time.
 LINK_BLOCK, LINK_GRAMS, DENSE = 1024, 1 << 20, 4096
-#: Most bits of the filter that keeps documents without candidates from being shipped; 16 for each wanted text, up to these.
-FILTER = 1 << 27
 #: Members of one component in a group that are taken out of it.
 PIECE = 8
 #: Rows of small groups that are compared at a time.
@@ -759,59 +757,6 @@ def _decided(members: DataFrame, texts: DataFrame, n: int, percent: int, count:
     return dealt.mapInArrow(run, "node long, k long, a long, b long")
 
 
-def _needed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (t1, t2, text) without most of those that are not wanted (t1), by a Bloom filter; a text once a task."""
-    spark, span = rows.sparkSession, 1 << 14
-    width = span * 8
-    while width < min(FILTER, 16 * wanted.count()):
-        width *= 2
-
-    def blocks(bits: np.ndarray) -> pa.RecordBatch:
-        parts = [(i, bits[i * span : (i + 1) * span]) for i in range(len(bits) // span)]
-        parts = [(i, x.tobytes()) for i, x in parts if x.any()]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["block", "bits"])
-
-    def places(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        h = mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        return (h & np.uint64(width - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(width, bool)
-        for b in batches:
-            for at in places(b):
-                bits[at] = True
-        yield blocks(np.packbits(bits))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(width // 8, np.uint8)
-        for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                bits[i * span : (i + 1) * span] |= np.frombuffer(raw, np.uint8)
-        yield blocks(bits)
-
-    schema = "block int, bits binary"
-    whole = np.zeros(width // 8, np.uint8)
-    for r in wanted.select("t1").coalesce(64).mapInArrow(mark, schema).repartition("block").mapInArrow(join, schema).collect():  # FILTER bits at most
-        whole[r.block * span : (r.block + 1) * span] |= np.frombuffer(r.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(whole.tobytes())
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(shared.value, np.uint8), set()
-        for b in batches:
-            one, two = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 for at in places(b))
-            found = np.flatnonzero(one & two)
-            first = []
-            for k, text in zip(found.tolist(), zip(*(b.column(i).take(pa.array(found)).to_pylist() for i in (0, 1)), strict=True), strict=True):
-                if text not in seen:
-                    seen.add(text)
-                    first.append(k)
-            if len(seen) > 200_000:
-                seen.clear()
-            yield b.take(pa.array(first, pa.int64()))
-
-    return rows.select("t1", "t2", "text").mapInArrow(keep, "t1 long, t2 long, text string")
-
-
 def _hashed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """(id, t1, t2, text): t1 and t2 are 128 bits of the text."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -844,7 +789,7 @@ def _joined(rows: DataFrame, n: int, percent: int, count: bool, shelf: Shelf) ->
     wanted = pieces.join(classes.select("node", "size", "t.t1", "t.t2"), "node").select("node", F.col("component").alias("piece"), "size", "t1", "t2")
     wanted = shelf.write(wanted, "wanted")
     shelf.drop("components", "classes")
-    texts = _needed(rows, wanted).join(wanted.select("node", "t1", "t2"), ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+    texts = needed(rows.select("t1", "t2", "text"), wanted, ["t1", "t2"]).join(wanted.select("node", "t1", "t2"), ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
     texts = shelf.write(texts, "texts")
     members = wanted.select("node", "size", "piece", F.col("node").alias("comp"))
     if count:

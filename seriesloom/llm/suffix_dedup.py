@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Shelf
+from .tables import Shelf, needed
 from .textops import column_bytes, mix, prefix_hash, slices, small_batches, span_hash
 
 LENGTH, GRAM = 400, 100
@@ -92,28 +92,33 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
 
 
-def _context(data: np.ndarray, pos: int, length: int, k: int) -> bytes:
-    """Bytes length - k before the anchor to length after it, as 16-bit symbols with END outside the text."""
-    side = length - k
-    out = np.full(2 * side + k, END, np.uint16)
-    a, b = max(0, pos - side), min(len(data), pos + k + side)
-    out[a - pos + side : b - pos + side] = data[a:b]
-    return out.tobytes()
+def _symbols(raw: bytes, lead: int, width: int) -> np.ndarray:
+    """A context's columns: `lead` times END, the bytes, and END up to the width."""
+    out = np.full(width, END, np.uint16)
+    out[lead : lead + len(raw)] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def _spans(pos: np.ndarray, n: np.ndarray, length: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """What goes where a whole context stands twice: all strings of the length around the anchor."""
+    return np.maximum(0, pos - side), np.minimum(pos, n - length) + length
 
 
 def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """Rows of documents (id, n) and of anchors (id, pos, n, gram, context). Equal texts met in one task give their anchors once."""
+    """Anchors (gram, context, id, pos, n, c), and spans (id, pos to n) with a null gram.
+
+    Equal texts met in one task are read once. A context that some texts read together have twice is one row, with c = 2,
+    and spans: that is a combine before the shuffle, which also takes what is periodic within a text.
+    """
     side = length - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "pos", "gram", "context"]
+        names = ["gram", "context", "id", "pos", "n", "c"]
         seen: set[int] = set()
         for batch in batches:
             for b in slices(batch, "text", SLICE):
                 data, off = column_bytes(b.column(1))
                 h = prefix_hash(data)
-                none = pa.nulls(b.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), none, none, none], names)
                 ids = b.column(0).to_pylist()
                 got: list[tuple[np.ndarray, ...]] = []
                 for r, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
@@ -130,49 +135,92 @@ def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
                     got.append((np.full(len(p), ids[r]), p, np.full(len(p), e - s), grams[p].view(np.int64), ctx.view(np.int64)))
                 if got:
                     i, p, size, g, c = (np.concatenate(v) for v in zip(*got, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(size), pa.array(p), pa.array(g), pa.array(c)], names)
+                    order = np.lexsort((c, g))
+                    new = np.append(True, (g[order][1:] != g[order][:-1]) | (c[order][1:] != c[order][:-1]))
+                    first = order[new]
+                    count = np.diff(np.append(np.flatnonzero(new), len(order)))
+                    twice = order[np.repeat(count > 1, count)]
+                    x, y = _spans(p[twice], size[twice], length, side)
+                    some = x < y
+                    none = pa.nulls(int(some.sum()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(c[first]), pa.array(i[first]), pa.array(p[first]), pa.array(size[first]), pa.array(np.minimum(count, 2))], names)
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(i[twice][some]), pa.array(x[some]), pa.array(y[some]), none], names)
+
+    return docs.mapInArrow(run, "gram long, context long, id long, pos long, n long, c long")
+
+
+def _contexts(found: DataFrame, length: int, k: int) -> DataFrame:
+    """One row of each different context (gram, id, pos, c; c is 2 where it stands twice or more), and spans (id, a, b) of
+    all places of those that stand twice. A context's places are read as a stream."""
+    side = length - k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["gram", "id", "pos", "c", "a", "b"]
+        held: tuple | None = None  # the last context's gram, context, id, pos, n and count so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, x, i, p, n, c = (batch.column(q).to_numpy() for q in range(6))
+            if held:  # the held place stands before the batch, with its count
+                g, x, i, p, n, c = (np.append(v, w) for v, w in zip(held, (g, x, i, p, n, c), strict=True))
+            new = np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]))
+            start = np.flatnonzero(new)
+            total = np.minimum(np.add.reduceat(c, start), 2)
+            at = np.repeat(total > 1, np.diff(np.append(start, len(g))))
+            a, b = _spans(p[at], n[at], length, side)
+            some = a < b
+            done = start[:-1]  # the last context may go on
+            none = pa.nulls(len(done), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(g[done]), pa.array(i[done]), pa.array(p[done]), pa.array(total[:-1]), none, none], names)
+            none = pa.nulls(int(some.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(i[at][some]), none, none, pa.array(a[some]), pa.array(b[some])], names)
+            last = start[-1]
+            held = (g[last], x[last], i[last], p[last], n[last], total[-1])
+        if held:
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[2]]), pa.array([held[3]]), pa.array([held[5]]), none, none], names)
 
-    return docs.mapInArrow(run, "id long, n long, pos long, gram long, context long")
+    dealt = found.repartition("gram", "context").sortWithinPartitions("gram", "context", "id", "pos")
+    return dealt.mapInArrow(run, "gram long, id long, pos long, c long, a long, b long")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
-    """wanted (id, pos, gram, c) with the context's symbols; rank grows with its count c, then with the text it has.
-
-    Of equal texts one is read a task, and one row of each context stays.
-    """
+    """wanted (id, pos, gram, c) with the context: its bytes, `lead` columns from the left; rank grows with its count c,
+    then with the text it has. A context may come several times where copies of its text are read in several tasks."""
+    side = length - k
     by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("pos", "gram", "c")).alias("at"))
+    names = ["gram", "id", "pos", "single", "rank", "lead", "raw"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        out: list[tuple] = []
         for batch in batches:
             for b in slices(batch, "text", 1 << 18):
-                ids, pos, gram, single, rank, out = [], [], [], [], [], []
                 for i, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     if i in seen:
                         continue
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(i)
-                    data = np.frombuffer(t.encode(), np.uint8)
+                    data = t.encode()
                     for w in at:
-                        ids.append(i)
-                        pos.append(w["pos"])
-                        gram.append(w["gram"])
-                        single.append(w["c"] == 1)
-                        rank.append(2 * length * w["c"] + min(length - k, w["pos"]) + min(length - k, len(data) - k - w["pos"]))
-                        out.append(_context(data, w["pos"], length, k))
-                        if len(out) == 500:
-                            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(single, pa.bool_()), pa.array(rank, pa.int64()), pa.array(out, pa.binary())], ["gram", "id", "pos", "single", "rank", "symbols"])
-                            ids, pos, gram, single, rank, out = [], [], [], [], [], []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(single, pa.bool_()), pa.array(rank, pa.int64()), pa.array(out, pa.binary())], ["gram", "id", "pos", "single", "rank", "symbols"])
-
-    joined = docs.join(by_doc, "id").select("id", "text", "at")
-    return joined.mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, symbols binary").dropDuplicates(["gram", "id", "pos"])
+                        p = w["pos"]
+                        lead, z = max(0, side - p), min(len(data), p + k + side)
+                        rank = 2 * length * w["c"] + min(side, p) + min(side, len(data) - k - p)
+                        out.append((w["gram"], i, p, w["c"] == 1, rank, lead, data[p - side + lead : z]))
+                        if len(out) == 1000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                            out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    joined = needed(docs.select("id", "text"), by_doc.select("id"), ["id"]).join(by_doc, "id").select("id", "text", "at")
+    return joined.mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, lead int, raw binary")
 
 
 def _solve(parts: DataFrame, length: int, k: int) -> DataFrame:
-    """Removed spans (id, a, b) of single contexts. parts: gram, id, pos, single, symbols, lo, hi (starts looked at)."""
+    """Removed spans (id, a, b) of single contexts. parts: gram, id, pos, single, lead, raw, lo, hi (starts looked at)."""
     side = length - k
     width = 2 * side + k
 
@@ -182,7 +230,11 @@ def _solve(parts: DataFrame, length: int, k: int) -> DataFrame:
 
         def solve() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            x = np.frombuffer(b"".join(t.column("symbols").to_pylist()), np.uint16).reshape(-1, width).copy()
+            gram, i, pos = (t.column(c).to_numpy() for c in ("gram", "id", "pos"))
+            once = np.append(True, (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (pos[1:] != pos[:-1]))
+            if not once.all():  # copies of a text read in several tasks are one
+                t = t.filter(pa.array(once))
+            x = np.stack([_symbols(raw, lead, width) for raw, lead in zip(t.column("raw").to_pylist(), t.column("lead").to_pylist(), strict=True)])
             # one symbol of the anchor, which every string looked at covers, becomes the group's own: groups do not mix
             x[:, side] = END + 1 + np.unique(t.column("gram").to_numpy(), return_inverse=True)[1]
             found = suffix_columns(x, length, side + 1)
@@ -209,7 +261,8 @@ def _solve(parts: DataFrame, length: int, k: int) -> DataFrame:
         if held:
             yield solve()
 
-    return parts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "id long, a long, b long")
+    cols = ["gram", "id", "pos", "single", "lead", "raw", "lo", "hi"]
+    return parts.select(*cols).repartition("gram").sortWithinPartitions("gram", "id", "pos").mapInArrow(run, "id long, a long, b long")
 
 
 def _split(big: DataFrame, length: int, k: int, shelf: Shelf, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -220,17 +273,18 @@ def _split(big: DataFrame, length: int, k: int, shelf: Shelf, turn: int) -> tupl
     the groups of those that leave the leader on the left, or on the right only, at the same column by the same symbol.
     """
     side = length - k
-    lead = big.groupBy("gram").agg(F.min(F.struct(-F.col("rank"), "id", "pos", "symbols", "lo", "hi")).alias("lead"))
-    lead = shelf.write(lead.select("gram", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("id", "pos", "symbols", "lo", "hi"))), f"leaders {turn}")
+    lead = big.groupBy("gram").agg(F.min(F.struct(-F.col("rank"), "id", "pos", "lead", "raw", "lo", "hi")).alias("lead"))
+    lead = shelf.write(lead.select("gram", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("id", "pos", "lead", "raw", "lo", "hi"))), f"leaders {turn}")
     both = big.join(lead, "gram").where("id <> lead_id or pos <> lead_pos")
-    cols = ["gram", "id", "pos", "single", "rank", "symbols", "lo", "hi", "lead_id", "lead_pos", "lead_symbols", "lead_lo", "lead_hi"]
+    cols = ["gram", "id", "pos", "single", "rank", "lead", "raw", "lo", "hi", "lead_id", "lead_pos", "lead_lead", "lead_raw", "lead_lo", "lead_hi"]
+    width = 2 * side + k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "id", "pos", "single", "rank", "symbols", "lo", "hi", "a", "b", "lead_id", "lead_a", "lead_b"]
+        names = ["gram", "id", "pos", "single", "rank", "lead", "raw", "lo", "hi", "a", "b", "lead_id", "lead_a", "lead_b"]
         for batch in batches:
             out: list[tuple] = []
-            for gram, i, pos, single, rank, sym, lo, hi, li, lp, lsym, llo, lhi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(sym, np.uint16), np.frombuffer(lsym, np.uint16)
+            for gram, i, pos, single, rank, lead, raw, lo, hi, li, lp, llead, lraw, llo, lhi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = _symbols(raw, lead, width), _symbols(lraw, llead, width)
                 differ = (x != y) | (x == END)
                 if differ[side : side + k].any():
                     continue  # anchors of equal hash that are not equal
@@ -243,52 +297,51 @@ def _split(big: DataFrame, length: int, k: int, shelf: Shelf, turn: int) -> tupl
                 own = (pos - side + shared[0], pos - side + shared[1] + length) if shared and shared[0] <= shared[1] else (None, None)
                 theirs = (lp - side + max(a, llo), lp - side + min(z, lhi) + length) if max(a, llo) <= min(z, lhi) else (None, None)
                 if own[0] is not None or theirs[0] is not None:
-                    out.append((None, i, *[None] * 6, *own, li, *theirs))
+                    out.append((None, i, *[None] * 7, *own, li, *theirs))
                 key = lambda tag, at: int(mix(np.array([gram & (1 << 64) - 1], np.uint64) ^ mix(np.array([(tag << 40) + (at << 16) + int(x[at])], np.uint64)))[0])  # noqa: B023, E731
                 signed = lambda v: v - (1 << 64) if v >> 63 else v
                 if first > 0 and x[first - 1] != END and lo <= min(first - 1, hi):
-                    out.append((signed(key(1, first - 1)), i, pos, single, rank, sym, lo, min(first - 1, hi), None, None, None, None, None))
+                    out.append((signed(key(1, first - 1)), i, pos, single, rank, lead, raw, lo, min(first - 1, hi), None, None, None, None, None))
                 if after < len(x) and x[after] != END and max(first, z + 1, lo) <= hi:
-                    out.append((signed(key(2, after)), i, pos, single, rank, sym, max(first, z + 1, lo), hi, None, None, None, None, None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), *[pa.int64()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 13, kinds, strict=True)], names)
+                    out.append((signed(key(2, after)), i, pos, single, rank, lead, raw, max(first, z + 1, lo), hi, None, None, None, None, None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 14, kinds, strict=True)], names)
 
-    done = shelf.write(both.select(*cols).mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, symbols binary, lo int, hi int, a long, b long, lead_id long, lead_a long, lead_b long"), f"groups {turn + 1}")
+    done = shelf.write(both.select(*cols).mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, lead int, raw binary, lo int, hi int, a long, b long, lead_id long, lead_a long, lead_b long"), f"groups {turn + 1}")
     leaders = big.where("single").select("gram", F.col("id").alias("lead_id"), F.col("pos").alias("lead_pos")).join(lead.select("gram", "lead_id", "lead_pos"), ["gram", "lead_id", "lead_pos"]).select("lead_id").distinct()
     spans = done.where("a is not null").select("id", "a", "b").unionByName(done.where("lead_a is not null").join(leaders, "lead_id").select(F.col("lead_id").alias("id"), F.col("lead_a").alias("a"), F.col("lead_b").alias("b")).distinct())
-    return spans, done.where("gram is not null").select("gram", "id", "pos", "single", "rank", "symbols", "lo", "hi")
+    return spans, done.where("gram is not null").select("gram", "id", "pos", "single", "rank", "lead", "raw", "lo", "hi")
 
 
 def repeated_spans(docs: DataFrame, shelf: Shelf, *, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """Spans (id, a, b) of bytes whose union is what is removed. docs: id long, which names the text, and text without nulls."""
     side = length - k
-    scan = shelf.write(_scan(docs, length, k), "scan")
-    copies = scan.where("pos is null").where(F.col("n") >= length).groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("b")).where("c > 1")
+    copies = docs.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max(F.octet_length("text")).cast("long").alias("b")).where((F.col("c") > 1) & (F.col("b") >= length))
     spans = [shelf.write(copies.select("id", F.lit(0).cast("long").alias("a"), "b"), "spans")]
-    found = scan.where("pos is not null").select("gram", "context", "id", "pos", "n")
-    kinds = shelf.write(found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "pos")).alias("at")), "kinds")
-    per = kinds.groupBy("gram").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1").select("gram")
-    same = kinds.where("c > 1").select("gram", "context")
-    start, stop = F.greatest(F.lit(0), F.col("pos") - side), F.least(F.col("pos"), F.col("n") - length)
-    whole = found.join(same, ["gram", "context"]).where(start <= stop).select("id", start.cast("long").alias("a"), (stop + length).cast("long").alias("b"))
-    spans.append(shelf.write(whole, "spans"))
-    wanted = shelf.write(kinds.join(per, "gram").select("gram", F.col("at.id").alias("id"), F.col("at.pos").alias("pos"), "c"), "wanted")
-    shelf.drop("kinds", "scan")
-    rows = shelf.write(_cut(docs, wanted, length, k).withColumns({"lo": F.lit(0), "hi": F.lit(side)}), "groups 0")
+    scan = shelf.write(_scan(docs, length, k), "scan")
+    spans.append(shelf.write(scan.where("gram is null").select("id", F.col("pos").alias("a"), F.col("n").alias("b")), "spans"))
+    found = shelf.write(_contexts(scan.where("gram is not null"), length, k), "contexts")
+    shelf.drop("scan")
+    spans.append(shelf.write(found.where("gram is null").select("id", "a", "b"), "spans"))
+    found = found.where("gram is not null").select("gram", "id", "pos", "c")
+    per = found.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("gram", "m")
+    wanted = shelf.write(found.join(per, "gram"), "wanted")
+    shelf.drop("contexts")
+    ends = {"lo": F.lit(0), "hi": F.lit(side)}
+    spans.append(shelf.write(_solve(_cut(docs, wanted.where(F.col("m") <= PART), length, k).withColumns(ends), length, k), "spans"))
+    rows = shelf.write(_cut(docs, wanted.where(F.col("m") > PART), length, k).withColumns(ends), "groups 0")
     shelf.drop("wanted")
     turn = 0
-    while True:
-        size = shelf.write(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
-        small = rows.join(size.where(F.col("m") <= PART).select("gram"), "gram")
-        spans.append(shelf.write(_solve(small, length, k), "spans"))
-        large = size.where(F.col("m") > PART).select("gram")
+    while not rows.isEmpty():
+        large = shelf.write(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PART).select("gram"), "large")
+        spans.append(shelf.write(_solve(rows.join(large, "gram", "left_anti"), length, k), "spans"))
         if large.isEmpty():
             break
         more, rows = _split(rows.join(large, "gram"), length, k, shelf, turn)
         spans.append(shelf.write(more, "spans"))
-        shelf.drop(f"groups {turn}", f"leaders {turn}", "sizes")
+        shelf.drop(f"groups {turn}", f"leaders {turn}", "large")
         turn += 1
-    shelf.drop(f"groups {turn}", "sizes")
+    shelf.drop(f"groups {turn}", "large")
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .textops import mix
+
 #: With it, the shuffle files of a write are removed when the write ends, not when the driver's memory happens to be cleaned.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Most bits of the filter that keeps unwanted texts from being shipped; 16 for each wanted one, up to these.
+FILTER = 1 << 27
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,3 +66,58 @@ class Shelf:
         for path in [p for n in names for p in self.paths.pop(n, ())]:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def needed(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """Rows without most of those whose key (whole numbers, the first decides) is not wanted, by a Bloom filter of bounded
+    size; a key once a task, so that copies are not shipped. A join does the rest."""
+    spark, span = rows.sparkSession, 1 << 14
+    width = span * 8
+    while width < min(FILTER, 16 * wanted.count()):
+        width *= 2
+
+    def blocks(bits: np.ndarray) -> pa.RecordBatch:
+        parts = [(i, bits[i * span : (i + 1) * span]) for i in range(len(bits) // span)]
+        parts = [(i, x.tobytes()) for i, x in parts if x.any()]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["block", "bits"])
+
+    def places(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        return (h & np.uint64(width - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(width, bool)
+        for b in batches:
+            for at in places(b):
+                bits[at] = True
+        yield blocks(np.packbits(bits))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(width // 8, np.uint8)
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bits[i * span : (i + 1) * span] |= np.frombuffer(raw, np.uint8)
+        yield blocks(bits)
+
+    schema = "block int, bits binary"
+    whole = np.zeros(width // 8, np.uint8)
+    for r in wanted.select(key[0]).coalesce(64).mapInArrow(mark, schema).repartition("block").mapInArrow(join, schema).collect():  # FILTER bits at most
+        whole[r.block * span : (r.block + 1) * span] |= np.frombuffer(r.bits, np.uint8)
+    shared = spark.sparkContext.broadcast(whole.tobytes())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.frombuffer(shared.value, np.uint8), set()
+        for b in batches:
+            one, two = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 for at in places(b))
+            found = np.flatnonzero(one & two)
+            first = []
+            for k, own in zip(found.tolist(), zip(*(b.column(i).take(pa.array(found)).to_pylist() for i in range(len(key))), strict=True), strict=True):
+                if own not in seen:
+                    seen.add(own)
+                    first.append(k)
+            if len(seen) > 200_000:
+                seen.clear()
+            yield b.take(pa.array(first, pa.int64()))
+
+    ordered = rows.select(*key, *(c for c in rows.columns if c not in key))
+    return ordered.mapInArrow(keep, ordered.schema)
