@@ -107,8 +107,8 @@ def _spans(pos: np.ndarray, n: np.ndarray, length: int, side: int) -> tuple[np.n
 def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Anchors (gram, context, id, pos, n, c), and spans (id, pos to n) with a null gram.
 
-    Equal texts met in one task are read once. A context that some texts read together have twice is one row, with c = 2,
-    and spans: that is a combine before the shuffle, which also takes what is periodic within a text.
+    Equal texts met in one task are read once. A context that some texts read together have twice is one row with its count
+    c, and spans: that is a combine before the shuffle, which also takes what is periodic within a text.
     """
     side = length - k
 
@@ -143,15 +143,15 @@ def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
                     x, y = _spans(p[twice], size[twice], length, side)
                     some = x < y
                     none = pa.nulls(int(some.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(c[first]), pa.array(i[first]), pa.array(p[first]), pa.array(size[first]), pa.array(np.minimum(count, 2))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(c[first]), pa.array(i[first]), pa.array(p[first]), pa.array(size[first]), pa.array(count)], names)
                     yield pa.RecordBatch.from_arrays([none, none, pa.array(i[twice][some]), pa.array(x[some]), pa.array(y[some]), none], names)
 
     return docs.mapInArrow(run, "gram long, context long, id long, pos long, n long, c long")
 
 
 def _contexts(found: DataFrame, length: int, k: int) -> DataFrame:
-    """One row of each different context (gram, id, pos, c; c is 2 where it stands twice or more), and spans (id, a, b) of
-    all places of those that stand twice. A context's places are read as a stream."""
+    """One row of each different context (gram, id, pos and its count c), and spans (id, a, b) of all places of those that
+    stand twice. A context's places are read as a stream."""
     side = length - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def _contexts(found: DataFrame, length: int, k: int) -> DataFrame:
                 g, x, i, p, n, c = (np.append(v, w) for v, w in zip(held, (g, x, i, p, n, c), strict=True))
             new = np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]))
             start = np.flatnonzero(new)
-            total = np.minimum(np.add.reduceat(c, start), 2)
+            total = np.add.reduceat(c, start)
             at = np.repeat(total > 1, np.diff(np.append(start, len(g))))
             a, b = _spans(p[at], n[at], length, side)
             some = a < b
