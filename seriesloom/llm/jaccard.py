@@ -31,11 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import Shelf, needed
+from .tables import Shelf, needed, parted
 from .textops import mix, slices, small_batches, windows_hash, word_hashes
 
 #: Cells of the order sketch: the most that is sent to the driver and broadcast is twice as many bytes.
@@ -526,35 +525,26 @@ def _apart(members: DataFrame) -> DataFrame:
     return rows.where("not large").select("gram", "node", "size", "comp").unionByName(own).unionByName(met)
 
 
-def _cut(rows: DataFrame, group: str, most: int, heavy: int) -> DataFrame:
-    """rows (node, size, comp and a group) with a block: runs of one group, in order of component, size and node.
+def _cut(rows: DataFrame, group: str, most: int, heavy: int | None = None) -> DataFrame:
+    """rows (node, size, comp and a group) with a block: a stretch of one group in order of component and size.
 
-    Rows are dealt by ranges, so a group of any size is spread; a component's own name only matters where it has several
-    members (comp is not the node). A block has `most` rows and sizes of `heavy` together at most, or one row.
+    A block has about `most` rows and sizes of `heavy` together. Only groups of more than one block are gone through: the
+    running sum goes over their numbers by component and size, and rows of one such number are dealt by hash, so that no
+    task reads a group. Nodes that are their own component stand together, by size.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 40
-        now, pos, load = None, 0, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            g = b.column(b.schema.get_field_index(group)).to_numpy()
-            size = b.column(b.schema.get_field_index("size")).to_numpy().astype(np.int64)
-            new = np.append(now is None or g[0] != now, g[1:] != g[:-1])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
-            place = np.where(start < 0, pos + np.arange(len(g)), np.arange(len(g)) - start)
-            total = np.cumsum(size)
-            before = total - size
-            weight = np.where(start < 0, load + before, before - before[np.maximum(start, 0)])
-            full = np.append(False, (place[1:] // most != place[:-1] // most) | (weight[1:] // heavy != weight[:-1] // heavy))
-            full[0] = not new[0] and (place[0] % most == 0 or weight[0] // heavy != (weight[0] - last) // heavy)
-            ids = block + np.cumsum(new | full)
-            block, now, pos, load, last = int(ids[-1]), g[-1], int(place[-1]) + 1, int(weight[-1] + size[-1]), int(size[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids)], [*b.schema.names, "block"])
-
-    order = [F.col(group), F.when(F.col("comp") == F.col("node"), F.lit(0)).otherwise(F.col("comp")), F.col("size"), F.col("node")]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", block long")
+    cap = heavy or most
+    load = F.greatest(F.lit(-(-cap // most)), F.col("size")) if heavy else F.lit(1)
+    rows = rows.withColumn("_load", load.cast("long")).withColumn("_key", F.when(F.col("comp") == F.col("node"), F.lit(0)).otherwise(F.col("comp")))
+    large = rows.groupBy(group).agg(F.sum("_load").alias("whole")).where(F.col("whole") > cap).select(group)
+    few = rows.join(large, group, "left_anti").withColumn("block", F.xxhash64(group, F.lit(0).cast("long")))
+    many = rows.join(large, group)
+    cells = many.groupBy(group, "_key", "size").agg(F.sum("_load").alias("all"), F.count(F.lit(1)).alias("m"))
+    before = F.sum("all").over(Window.partitionBy(group).orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumn("before", F.coalesce(before, F.lit(0)))
+    place = F.col("before") + F.pmod(F.xxhash64("node"), F.col("m")) * F.col("_load")
+    many = many.join(cells, [group, "_key", "size"]).withColumn("block", F.xxhash64(group, F.floor(place / cap).cast("long")))
+    cols = [c for c in rows.columns if c not in ("_load", "_key")] + ["block"]
+    return few.select(*cols).unionByName(many.select(*cols))
 
 
 def _block_pairs(cut: DataFrame, group: str, percent: int, within: bool) -> DataFrame:
@@ -722,7 +712,7 @@ def _decided(members: DataFrame, texts: DataFrame, n: int, percent: int, count:
     blocks, to which texts are shipped; without count, pairs within a component (comp) may be left out. The work grows with
     the square of a piece where counts are wanted, as every pair of near copies is a link of its own.
     """
-    cut = shelf.write(_cut(members, "piece", LINK_BLOCK, LINK_GRAMS), "link-blocks")
+    cut = shelf.write(_cut(shelf.write(members, "link-members"), "piece", LINK_BLOCK, LINK_GRAMS), "link-blocks")
     rows = cut.join(_block_pairs(cut, "piece", percent, count), "block").join(texts, "node").select("i", "j", "block", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -778,7 +768,7 @@ def _joined(rows: DataFrame, n: int, percent: int, count: bool, shelf: Shelf) ->
     members = members.join(pieces, "node", "left").select("gram", "node", "size", F.coalesce("component", "node").alias("comp"))
     members = shelf.write(members, "members")
     shelf.drop("routed")
-    cut = shelf.write(_cut(shelf.write(_apart(members), "apart"), "gram", BLOCK, 1 << 62), "blocks")
+    cut = shelf.write(_cut(shelf.write(_apart(members), "apart"), "gram", BLOCK), "blocks")
     shelf.drop("members", "apart")
     more = shelf.write(_tree_candidates(cut, classes, percent).distinct(), "candidates")
     shelf.drop("blocks")
@@ -803,7 +793,7 @@ def _joined(rows: DataFrame, n: int, percent: int, count: bool, shelf: Shelf) ->
         apart = members.groupBy("piece").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("piece")
         more = shelf.write(_decided(members.join(apart, "piece"), texts, n, percent, False, shelf).select("a", "b"), "found")
         comp = more_components(true, more, shelf)
-    shelf.drop("near", "candidates", "wanted", "texts", "pairs", "link-blocks", "found", "verified")
+    shelf.drop("near", "candidates", "wanted", "texts", "pairs", "link-members", "link-blocks", "found", "verified")
     return sets, comp, linked
 
 
@@ -852,6 +842,9 @@ def one_of_each(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     gone, twice = touched.where("not _stays or m > 1"), touched.where("_stays and m > 1")
     shelf.drop("rows")
     text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of) == F.col("_1")) & (F.xxhash64(F.lit(7), text_of) == F.col("_2"))
-    one = docs.join(twice, same).groupBy("_id", "_1", "_2").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return docs.join(gone, same, "left_anti").unionByName(one.select("_row.*"))
+    rows = docs.select(F.xxhash64(text_of).alias("_t"), *docs.columns)
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_1")) & (F.xxhash64(F.lit(7), text_of) == F.col("_2"))
+    apart, maybe = parted(rows, gone.select(F.col("_1").alias("_t")), "_t")  # most rows are neither dropped nor repeated, and are not shuffled
+    one = maybe.join(twice, same).groupBy("_id", "_1", "_2").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    kept = maybe.join(gone, same, "left_anti").select(*docs.columns).unionByName(one.select("_row.*"))
+    return apart.select(*docs.columns).unionByName(kept)

@@ -68,10 +68,9 @@ class Shelf:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def needed(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
-    """Rows without most of those whose key (whole numbers, the first decides) is not wanted, by a Bloom filter of bounded
-    size; a key once a task, so that copies are not shipped. A join does the rest."""
-    spark, span = rows.sparkSession, 1 << 14
+def _filter(wanted: DataFrame, key: str):
+    """A Bloom filter of the wanted keys, of bounded size, as a function from keys to flags for use in tasks."""
+    spark, span = wanted.sparkSession, 1 << 14
     width = span * 8
     while width < min(FILTER, 16 * wanted.count()):
         width *= 2
@@ -81,14 +80,14 @@ def needed(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
         parts = [(i, x.tobytes()) for i, x in parts if x.any()]
         return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["block", "bits"])
 
-    def places(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        h = mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    def places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         return (h & np.uint64(width - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(width, bool)
         for b in batches:
-            for at in places(b):
+            for at in places(b.column(0)):
                 bits[at] = True
         yield blocks(np.packbits(bits))
 
@@ -101,15 +100,28 @@ def needed(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
 
     schema = "block int, bits binary"
     whole = np.zeros(width // 8, np.uint8)
-    for r in wanted.select(key[0]).coalesce(64).mapInArrow(mark, schema).repartition("block").mapInArrow(join, schema).collect():  # FILTER bits at most
+    for r in wanted.select(key).coalesce(64).mapInArrow(mark, schema).repartition("block").mapInArrow(join, schema).collect():  # FILTER bits at most
         whole[r.block * span : (r.block + 1) * span] |= np.frombuffer(r.bits, np.uint8)
     shared = spark.sparkContext.broadcast(whole.tobytes())
 
+    def test(column: pa.Array) -> np.ndarray:
+        bits = np.frombuffer(shared.value, np.uint8)
+        one, two = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 for at in places(column))
+        return (one & two).astype(bool)
+
+    return test
+
+
+def needed(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """Rows without most of those whose key (whole numbers, the first decides) is not wanted, by a Bloom filter of bounded
+    size; a key once a task, so that copies are not shipped. A join does the rest."""
+    test = _filter(wanted, key[0])
+    ordered = rows.select(*key, *(c for c in rows.columns if c not in key))
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(shared.value, np.uint8), set()
+        seen: set[tuple] = set()
         for b in batches:
-            one, two = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 for at in places(b))
-            found = np.flatnonzero(one & two)
+            found = np.flatnonzero(test(b.column(0)))
             first = []
             for k, own in zip(found.tolist(), zip(*(b.column(i).take(pa.array(found)).to_pylist() for i in range(len(key))), strict=True), strict=True):
                 if own not in seen:
@@ -119,5 +131,18 @@ def needed(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
                 seen.clear()
             yield b.take(pa.array(first, pa.int64()))
 
-    ordered = rows.select(*key, *(c for c in rows.columns if c not in key))
     return ordered.mapInArrow(keep, ordered.schema)
+
+
+def parted(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key (a whole number, the first column) is surely not wanted, and all others; both read the rows."""
+    test = _filter(wanted, key)
+
+    def side(flag: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(test(b.column(0)) == flag))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return side(False), side(True)
