@@ -32,7 +32,7 @@ END = np.zeros(256, bool)
 END[[ord(c) for c in ".!?:;\"')"]] = True
 
 FEATURES = ("bias", "words<=2", "words 3-5", "words 6-12", "words 13-30", "symbols>0.05/word", "symbols>0.5/word", "upper>0.5", "repeat of an earlier line", "repeated words>0.3", "repeated words>0.7", "no end mark", "digits>0.2", "short words", "long words", "shouts>0.3/word")
-#: The sample the CRF is fitted on: at most this many labelled documents, each of at most so many lines.
+#: The sample the CRF is fitted on: at most this many labelled documents, and of each a run of at most so many lines.
 MOST_DOCS, MOST_LINES = 3000, 200
 
 
@@ -167,10 +167,11 @@ def train(chains: list[np.ndarray], target: list[np.ndarray], steps: int = 120,
     return w, move
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", label: str = "quality", most: int = MOST_DOCS) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", label: str = "quality", most: int = MOST_DOCS, most_lines: int = MOST_LINES) -> tuple[np.ndarray, np.ndarray]:
     """The CRF of a bounded sample: the `most` labelled documents with the smallest hash of their id.
 
-    Only line features come to the driver, MOST_LINES lines a document at most. Without labelled rows all weights are 0.
+    Of a document with more than most_lines lines a run of so many takes part, at a place that its number of lines gives.
+    Only line features come to the driver. Without labelled rows all weights are 0.
     """
     small_batches(docs.sparkSession)
     lab = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
@@ -181,7 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str =
         for batch in batches:
             for b in slices(batch, "text"):
                 m = measure(b.column(0))
-                out = [(y, np.packbits(m["features"][a:z], axis=None).tobytes(), z - a) for y, a, z in zip(b.column(1).to_pylist(), m["lines"][:-1], m["lines"][1:], strict=True) if 0 < z - a <= MOST_LINES]
+                out = []
+                for y, a, z in zip(b.column(1).to_pylist(), m["lines"][:-1].tolist(), m["lines"][1:].tolist(), strict=True):
+                    if z - a > most_lines:
+                        a += (z - a) * 2654435761 % (z - a - most_lines + 1)
+                        z = a + most_lines
+                    if z > a:
+                        out.append((y, np.packbits(m["features"][a:z], axis=None).tobytes(), z - a))
                 if out:
                     ys, bits, n = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(bits, pa.binary()), pa.array([int(k) for k in n], pa.int32())], ["y", "bits", "n"])
