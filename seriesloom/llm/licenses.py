@@ -21,11 +21,38 @@ from .textops import LOWER, NOT_ALNUM, column_bytes, prefix_hash, slices, small_
 #: Base phrases and their labels. Fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Templates of public licenses and notices. Fixed values.
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAMES = "[[3]] neither the name of {{holder:12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_AS_IS = "this software is provided by {{holder:12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_GNU = "under the terms of the gnu {{family}}general public license as published by the free software foundation [[either]] version {{version}} [[of the license]] [[or at your option any later version]]"
+
+#: Templates of public license texts, of the notices that the licenses ask for, and of short notices. Fixed values.
 TEMPLATES = {
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of {{this:1}} software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software [[the software is provided as is without warranty of any kind]]",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3 neither the name of {{holder:12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]]",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of {{this:1}} software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software [[" + _AS_IS + "]]",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies [[the software is provided as is and the author disclaims all warranties with regard to this software]]",
+    "0bsd-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties with regard to this software",
+    "bsd-2-clause-text": _BSD + " " + _BSD_AS_IS,
+    "bsd-3-clause-text": _BSD + " " + _BSD_NAMES + " [[" + _BSD_AS_IS + "]]",
+    "bsd-text": _BSD + " [[" + _BSD_NAMES + "]]",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsl-1.0-text": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "wtfpl-text": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed do what the fuck you want to public license",
+    "apache-2.0-text": "apache license version 2 0 january 2004 [[http www apache org licenses]] terms and conditions for use reproduction and distribution",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http www apache org licenses license 2 0]] [[https www apache org licenses license 2 0]] [[unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied]]",
+    "gpl-3.0-text": "gnu general public license version 3 29 june 2007 [[copyright [[c]] {{year:1}} free software foundation inc {{at?:4}}]] everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "gpl-2.0-text": "gnu general public license version 2 june 1991 [[copyright [[c]] {{year:1}} [[{{year:1}}]] free software foundation inc {{at?:16}}]] everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "lgpl-3.0-text": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl-2.1-text": "gnu lesser general public license version 2 1 february 1999",
+    "agpl-3.0-text": "gnu affero general public license version 3 19 november 2007",
+    **{f"{name}-{version}-notice": _GNU.replace("{{family}}", family).replace("{{version}}", said) for name, family in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero ")) for version, said in (("2.0", "2"), ("2.1", "2 1"), ("3.0", "3")) if (name, version) not in (("gpl", "2.1"), ("agpl", "2.0"), ("agpl", "2.1"))},
+    "mpl-2.0-notice": "this source code [[form]] is subject to the terms of the mozilla public license v 2 0 [[if a copy of the mpl was not distributed with this file you can obtain one at {{place:8}}]]",
+    "epl-2.0-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license [[v]] 2 0",
+    "cc0-1.0-text": "[[to the extent possible under law]] {{person:12}} has waived all copyright and related or neighboring rights to {{work:20}}",
+    "cc-by-4.0-text": "this work is licensed under [[a]] [[the]] creative commons attribution 4 0 international [[license]]",
+    "cc-by-sa-4.0-text": "this work is licensed under [[a]] [[the]] creative commons attribution sharealike 4 0 international [[license]]",
+    "cc-by-nc-4.0-text": "this work is licensed under [[a]] [[the]] creative commons attribution noncommercial 4 0 international [[license]]",
     "apache-2.0": "licensed under the apache license version 2 0 [[the license]]",
     "gpl-3.0": "[[this work is]] licensed under the gnu general public license [[as published by the free software foundation]] [[either]] version 3 [[of the license]] [[or at your option any later version]]",
     "gpl-2.0": "[[this work is]] licensed under the gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[of the license]] [[or at your option any later version]]",
@@ -106,16 +133,16 @@ def compile_template(label: str, markup: str) -> Automaton:
     return Automaton(label, flat, frozenset({0}), frozenset(s for s in range(len(step)) if at in close[s]), mandatory, longest)
 
 
-def run_automaton(a: Automaton, words: list[str], start: int) -> int:
-    """The end of the longest run of words from `start` that the automaton accepts, or -1."""
+def run_automaton(a: Automaton, words: list[str], start: int) -> tuple[int, int]:
+    """The end of the longest run of words from `start` that the automaton accepts, or -1, and how many words it read."""
     now, end, at = set(a.start), -1, start
     while now and at < len(words):
         w = words[at]
         now = {t for s in now for want, t in a.step[s] if want is None or want == w}
-        at += 1
+        at += bool(now)
         if now & a.accept:
             end = at
-    return end
+    return end, at - start
 
 
 class Scanner:
@@ -165,6 +192,7 @@ class Scanner:
         rows = len(off) - 1
         base: dict[int, list[tuple[int, str]]] = {}
         found: dict[int, list[tuple[int, int, str]]] = {}
+        part: dict[int, float] = {}
         row_of = lambda at: np.searchsorted(wo, at, "right") - 1
         for words, label in self.phrases:
             n = len(ids) - len(words) + 1
@@ -183,7 +211,8 @@ class Scanner:
             hit = self.starts(a, ids)
             for at, k in zip(hit.tolist(), row_of(hit).tolist(), strict=True):
                 to = min(int(wo[k + 1]), at + a.longest)
-                end = run_automaton(a, [text[i] if i >= 0 else "" for i in ids[at:to].tolist()], 0)
+                end, read = run_automaton(a, [text[i] if i >= 0 else "" for i in ids[at:to].tolist()], 0)
+                part[k] = max(part.get(k, 0.0), min(1.0, read / a.n_mandatory))
                 if end > 0:
                     found.setdefault(k, []).append((at - int(wo[k]), at - int(wo[k]) + end, a.label))
         out = []
@@ -193,15 +222,16 @@ class Scanner:
             both = own | {x[2] for x in f} if f else own
             place = [x[0] for x in b] if b else []
             spans = ",".join(f"{label}:{x}:{y}" for x, y, label in sorted(f)) if f else ""
-            out.append((int(wo[k + 1] - wo[k]), len(place), min(place, default=None), max(place, default=None), ",".join(sorted(own)), ",".join(sorted(both)), 1.0 if f else 0.5 if b else 0.0, spans))
+            out.append((int(wo[k + 1] - wo[k]), len(place), min(place, default=None), max(place, default=None), ",".join(sorted(own)), ",".join(sorted(both)), 1.0 if f else (0.5 if b else 0.0) + 0.4 * part.get(k, 0.0), spans))
         return out
 
 
 def license_scan(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) per row.
 
-    score: 1 where a template is accepted, 0.5 where only phrases stand, else 0. spans: label:start:end of the accepted
-    runs in words, the longest from each start. Null and empty texts have no words, empty labels, null places and score
+    score: 1 where a template is accepted; else 0.5 where phrases stand, and up to 0.4 more for the part of a template's
+    mandatory words that was read before the wording differs. spans: label:start:end of the accepted runs in words, the
+    longest from each start. Null and empty texts have no words, empty labels, null places and score
     0. Repeated rows give repeated results; extra columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
