@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Shelf, needed
+from .tables import Shelf, needed, parted
 from .textops import column_bytes, mix, prefix_hash, slices, small_batches, span_hash
 
 LENGTH, GRAM = 400, 100
@@ -215,7 +215,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    joined = needed(docs.select("id", "text"), by_doc.select("id"), ["id"]).join(by_doc, "id").select("id", "text", "at")
+    joined = needed(docs.select("id", "text"), by_doc.select("id"), ["id"]).join(by_doc.hint("merge"), "id").select("id", "text", "at")  # copies of a text meet in one task
     return joined.mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, lead int, raw binary")
 
 
@@ -400,6 +400,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds))], names)  # noqa: B905
 
     kind = dict(rows.dtypes)["row_id"]
-    joined = rows.join(runs, "id", "left").select("row_id", "text", "runs")
+    apart, maybe = parted(rows.select("id", "row_id", "text"), runs, "id")  # texts without runs stay where they are
+    joined = maybe.join(runs.hint("merge"), "id", "left").select("row_id", "text", "runs")
+    joined = joined.unionByName(apart.select("row_id", "text", F.lit(None).cast("binary").alias("runs")))
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
