@@ -13,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The largest side of a Gram matrix that is held on the driver (as doubles: 800 MB).
-LARGEST = 10_000
+#: Bytes of a Gram matrix that the driver holds: a side of 8,192.
+MOST_BYTES = 1 << 29
+#: Rows of a Gram matrix that travel together.
+ROWS = 64
+#: Blocks of rows, and of columns, of a product of factors.
+DEALT = 16
 
 
 def columns(cells: DataFrame, rows: int, row: str = "row", col: str = "c", value: str = "value") -> DataFrame:
@@ -31,8 +35,12 @@ def _block(b: pa.RecordBatch, width: int) -> np.ndarray:
 
 
 def gram(cols: DataFrame, side: int) -> np.ndarray:
-    """Sum over columns of x x': A A' of the matrix with these columns."""
-    if side > LARGEST:
+    """Sum over columns of x x': A A' of the matrix with these columns.
+
+    Each task sums its own and sends the upper triangle as packed rows; rows are added up on the executors, so that one
+    triangle comes to the driver, whatever the number of tasks.
+    """
+    if 8 * side * side > MOST_BYTES:
         raise ValueError(f"a Gram matrix of side {side} does not fit the driver; lay the matrix out by its shorter side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,14 +48,28 @@ def gram(cols: DataFrame, side: int) -> np.ndarray:
         for b in batches:
             x = _block(b, side)
             g += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(side)), pa.array(list(g), pa.list_(pa.float64()))], ["i", "g"])
+        for a in range(0, side, ROWS):
+            at = range(a, min(a + ROWS, side))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([g[i, i:].tobytes() for i in at], pa.binary())], ["i", "g"])
 
-    parts = cols.select("c", "x").mapInArrow(run, "i long, g array<double>")
-    rows = parts.select("i", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                row = np.frombuffer(raw.as_buffer())
+                if i != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()], pa.binary())], ["i", "g"])
+                    now, total = i, np.zeros(len(row))
+                total += row
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()], pa.binary())], ["i", "g"])
+
+    parts = cols.select("c", "x").mapInArrow(run, "i long, g binary").repartition("i").sortWithinPartitions("i")
     out = np.zeros((side, side))
-    for r in rows:
-        out[r.i, r.j] = r.v
-    return (out + out.T) / 2
+    for r in parts.mapInArrow(add, "i long, g binary").collect():  # MOST_BYTES / 2 at most
+        out[r.i, r.i :] = out[r.i :, r.i] = np.frombuffer(r.g)
+    return out
 
 
 def gram_rows(cells: DataFrame) -> DataFrame:
@@ -124,12 +146,13 @@ def rank_k_update(u: np.ndarray, s: np.ndarray, d: np.ndarray) -> tuple[np.ndarr
     return np.hstack([u, q]) @ a[:, :k], b[:k], c[:k]
 
 
-def als(cells: DataFrame, rank: int, lam: float = 0.0, iterations: int = 1000, tol: float = 1e-6, seed: int = 0, start: np.ndarray | None = None) -> tuple[DataFrame, DataFrame, float, int]:
+def als(cells: DataFrame, rank: int, lam: float = 0.0, iterations: int = 1000, tol: float = 1e-6, seed: int = 0, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float, int]:
     """Masked alternating least squares of (row, c, value) cells, missing ones NULL or absent: (U (row, f), V (c, f), error, rounds).
 
     Both factors stay tables: a round sends each factor once to the cells by a join and sums k x k normal equations where
     they are, so neither side has to fit a task. lam is not scaled by counts. The error is over all cells, as the stop
-    rule needs. V starts from `start` (columns x rank), or from the mid-range times fixed pseudo-random numbers.
+    rule needs, and follows from the normal equations without another join. V starts from `start` (c, f), or from the
+    mid-range times fixed pseudo-random numbers. Of the rounds' factors only the last stay cached.
     """
     spark = cells.sparkSession
     obs = cells.where(F.col("value").isNotNull()).select(F.col("row").cast("long").alias("row"), F.col("c").cast("long").alias("c"), F.col("value").cast("double").alias("value")).persist()
@@ -139,12 +162,12 @@ def als(cells: DataFrame, rank: int, lam: float = 0.0, iterations: int = 1000, t
         h = lambda f: F.pmod(F.xxhash64("c", F.lit(seed), F.lit(f)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         v = obs.select("c").distinct().select("c", F.array(*[h(f) * F.lit(float(mid)) for f in range(rank)]).alias("f"))
     else:
-        v = spark.createDataFrame([(i, [float(q) for q in x]) for i, x in enumerate(start)], "c long, f array<double>")
+        v = start.select("c", "f")
 
     def solve(joined: DataFrame, key: str) -> DataFrame:
         pairs = [(i, j) for i in range(rank) for j in range(i, rank)]
         at = lambda i: F.col("f")[i]
-        sums = joined.groupBy(key).agg(F.array(*[F.sum(at(i) * at(j)) for i, j in pairs]).alias("a"), F.array(*[F.sum(at(i) * F.col("value")) for i in range(rank)]).alias("b"))
+        sums = joined.groupBy(key).agg(F.array(*[F.sum(at(i) * at(j)) for i, j in pairs]).alias("a"), F.array(*[F.sum(at(i) * F.col("value")) for i in range(rank)]).alias("b"), F.sum(F.col("value") * F.col("value")).alias("s"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -155,28 +178,40 @@ def als(cells: DataFrame, rank: int, lam: float = 0.0, iterations: int = 1000, t
                     a[:, i, j] = a[:, j, i] = upper[:, q]
                 right = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, rank)
                 f = np.einsum("nij,nj->ni", np.linalg.pinv(a + lam * np.eye(rank), hermitian=True), right)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(f), pa.list_(pa.float64()))], [key, "f"])
+                e = b.column(3).to_numpy(zero_copy_only=False) - 2 * (f * right).sum(1) + np.einsum("ni,nij,nj->n", f, a, f)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(f), pa.list_(pa.float64())), pa.array(np.maximum(e, 0))], [key, "f", "e"])
 
-        return sums.mapInArrow(run, f"{key} long, f array<double>")
+        return sums.mapInArrow(run, f"{key} long, f array<double>, e double")
 
     def kept(df: DataFrame) -> DataFrame:
         return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
-    error, done = float("inf"), 0
+    error, done, held = float("inf"), 0, []
     for done in range(1, iterations + 1):
-        u = solve(obs.join(v, "c"), "row")
-        v = kept(solve(obs.join(u, "row"), "c"))
-        u = kept(u)
-        dot = F.aggregate(F.zip_with(F.col("f"), F.col("g"), lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-        now = (obs.join(u, "row").join(v.withColumnRenamed("f", "g"), "c").agg(F.sum(F.pow(F.col("value") - dot, F.lit(2.0))).alias("e")).first().e or 0.0) / size
+        u = kept(solve(obs.join(v.select("c", "f"), "c"), "row"))
+        v = kept(solve(obs.join(u.select("row", "f"), "row"), "c"))
+        now = (v.agg(F.sum("e").alias("e")).first().e or 0.0) / size
+        for x in held:
+            x.unpersist()
+        held = [u, v]
         stop, error = abs(error - now) < tol, now
         if stop:
             break
-    return u, v, error, done
+    obs.unpersist()
+    return u.select("row", "f"), v.select("c", "f"), error, done
 
 
 def reconstruct(u: DataFrame, v: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """(row, c, value) of U V', for the given cells or for all."""
+    """(row, c, value) of U V', for the given cells or for all.
+
+    For all cells the rows and columns are dealt to blocks, as in a product of matrices by blocks: each block of the result
+    meets the factors of its rows and columns only, and neither factor has to fit anywhere as a whole.
+    """
     g = v.withColumnRenamed("f", "g")
-    both = cells.select("row", "c").join(u, "row").join(g, "c") if cells is not None else u.crossJoin(F.broadcast(g))
+    if cells is not None:
+        both = cells.select("row", "c").join(u, "row").join(g, "c")
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))
+        deal = lambda key: F.pmod(F.xxhash64(key), F.lit(DEALT)).cast("int")
+        both = u.withColumn("a", deal("row")).withColumn("b", every).join(g.withColumn("b", deal("c")).withColumn("a", every), ["a", "b"])
     return both.select("row", "c", F.aggregate(F.zip_with("f", "g", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y).alias("value"))

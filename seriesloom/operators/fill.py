@@ -59,17 +59,20 @@ def hide_runs(series: DataFrame, observed: float, longest: int, gap: int, unifor
     """Every gap points, with probability 1 - observed, a run of `longest` is hidden at a place within the gap.
 
     Runs are cut at their gap's end and at the end of the series; hiding stops once (1 - observed) of the points are
-    hidden. Runs are planned on one row a gap; the running sum goes over these rows only.
+    hidden. Runs are planned on one row a gap that has points; the running sum goes over blocks of gaps, and over the
+    blocks, so that no task reads all gaps of a series.
     """
     if longest > gap:
         raise ValueError("a run must fit into its gap")
     n = series.groupBy("series_key").agg((F.max("t") + 1).alias("n"))
-    plan = n.select("series_key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / gap).cast("long"))).alias("g"))
+    plan = series.where("t >= 0").select("series_key", F.floor(F.col("t") / gap).cast("long").alias("g")).distinct().join(n, "series_key")
     u, w = uniform(F.col("g") * gap), uniform(F.col("g") * gap + 1)
     plan = plan.withColumn("a", F.when(u > observed, (F.col("g") * gap + F.floor(w * (gap - longest))).cast("long")))
     plan = plan.withColumn("z", F.least(F.col("a") + longest, (F.col("g") + 1) * gap, F.col("n")))
-    before = F.sum(F.coalesce(F.col("z") - F.col("a"), F.lit(0))).over(Window.partitionBy("series_key").orderBy("g").rowsBetween(Window.unboundedPreceding, -1))
-    plan = plan.withColumn("done", F.coalesce(before, F.lit(0)))
+    plan = plan.withColumns({"h": F.coalesce(F.col("z") - F.col("a"), F.lit(0)), "b": F.floor(F.col("g") / BLOCK).cast("long")})
+    up = lambda part, by: Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = plan.groupBy("series_key", "b").agg(F.sum("h").alias("all")).select("series_key", "b", F.coalesce(F.sum("all").over(up(["series_key"], "b")), F.lit(0)).alias("from"))
+    plan = plan.join(blocks, ["series_key", "b"]).withColumn("done", F.coalesce(F.sum("h").over(up(["series_key", "b"], "g")), F.lit(0)) + F.col("from"))
     plan = plan.where(F.col("a").isNotNull() & (F.col("done") < F.floor((1 - observed) * F.col("n")))).select("series_key", "g", "a", "z")
     s = series.withColumn("g", F.floor(F.col("t") / gap).cast("long")).join(plan, ["series_key", "g"], "left")
     return s.select("series_key", "t", F.when(F.coalesce((F.col("t") < F.col("a")) | (F.col("t") >= F.col("z")), F.lit(True)), F.col("value")).alias("value"))

@@ -5,7 +5,6 @@ Floats are rounded alike on both sides. Series: events by event_id, days by even
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -38,6 +37,12 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
 
 
+def shared(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster names in spark.checkpoint.dir, or in the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/seriesloom-shared"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     return S.series(S.table(spark, d, "events"), None, "event_id", "value")
 
@@ -54,9 +59,9 @@ def daily(spark: SparkSession, d: str, agg: str = "avg") -> DataFrame:
     return day.crossJoin(F.broadcast(first)).select(F.col("event_type").alias("series_key"), (F.col("day") - F.col("d0")).cast("long").alias("t"), "value")
 
 
-def embedding(spark: SparkSession, d: str, dims: int | None = 5) -> DataFrame:
-    """The vectors' first values as a matrix, or all values without dims."""
-    e = S.table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, dims) if dims else F.col("embedding")).alias("j", "v"))
+def embedding(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors as a matrix."""
+    e = S.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "v"))
     return e.select(F.col("vec_id").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
 
 
@@ -68,10 +73,9 @@ def labels_by_vector(spark: SparkSession, d: str) -> DataFrame:
 LCG = "((({0}) * 1103515245 + 12345) % 2147483648) / 2147483648.0"
 EV = "ev AS (SELECT event_id AS t, value AS x FROM events)"
 MASK = f"{EV}, mk AS (SELECT t, x AS truth, CASE WHEN {LCG.format('t')} <= 0.7 THEN x END AS x FROM ev)"
-EMB = "em AS (SELECT vec_id AS i, CAST(u.k - 1 AS BIGINT) AS j, CAST(embedding[u.k] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 6)) AS k) u)"
 #: Vectors have 64 values.
 WIDTH = 64
-EMB_ALL = EMB.replace("range(1, 6)", f"range(1, {WIDTH + 1})")
+EMB = f"em AS (SELECT vec_id AS i, CAST(u.k - 1 AS BIGINT) AS j, CAST(embedding[u.k] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, {WIDTH + 1})) AS k) u)"
 LAB = "lb AS (SELECT vec_id AS i, CAST(label AS BIGINT) AS j, 1.0::DOUBLE AS v FROM embeddings)"
 DAY = "dd AS (SELECT event_type AS k, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, {0} AS x FROM events GROUP BY 1, 2), dy AS (SELECT k, day - (SELECT min(day) FROM dd) AS t, x FROM dd)"
 
@@ -140,13 +144,8 @@ def midrange_fill(spark, d):
     return fill.midrange_fill(masked(spark, d)).select("t", r6("value").alias("value"))
 
 
-@query(f"WITH {MASK} SELECT t, round(coalesce(x, (SELECT coalesce((min(x) + max(x)) / 2, 0) FROM mk WHERE t < 200)), 6) + 0.0 AS value FROM mk WHERE t < 200")
-def batch_fill(spark, d):
-    return fill.midrange_fill(masked(spark, d).where("t < 200"), 0.0).select("t", r6("value").alias("value"))
-
-
 @query(f"WITH {MASK} SELECT t, round(coalesce(x, (min(x) OVER b + max(x) OVER b) / 2, 0), 6) + 0.0 AS value FROM mk WINDOW b AS (PARTITION BY t // 200)")
-def batch_fill_all(spark, d):
+def batch_fill(spark, d):
     """Every batch of 200 points by its own range."""
     return fill.batch_fill(masked(spark, d), 200).select("t", r6("value").alias("value"))
 
@@ -220,8 +219,7 @@ def extent(spark, d):
 @query(f"WITH {DAY.format('avg(value)')} SELECT a.k AS series_key, round(sqrt(avg(power(a.x - b.x, 2))), 6) + 0.0 AS rmse FROM dy a JOIN dy b ON b.k = 'view' AND a.t = b.t GROUP BY 1")
 def series_rmse(spark, d):
     day = daily(spark, d)
-    keys = day.select("series_key").distinct()
-    view = day.where("series_key = 'view'").drop("series_key").join(keys)
+    view = day.select("series_key", "t").join(day.where("series_key = 'view'").select("t", "value"), "t")
     return metrics.series_rmse(day, view).select("series_key", r6("rmse").alias("rmse"))
 
 
@@ -256,6 +254,17 @@ def harmonics(spark, d):
     return generate.harmonics(spark, [-2, 3], [26, 30], [-2.5], [16], 2000, 20).select("t", r6("value").alias("value"))
 
 
+@query("SELECT event_id AS t, TIMESTAMP '2017-09-02 00:00:00' + event_id * INTERVAL 1 MINUTE AS ts, value FROM events")
+def minute_index(spark, d):
+    """A series by the minute, as generated ones are."""
+    return S.date_index(events(spark, d), "2017-09-02 00:00:00").select("t", "ts", "value")
+
+
+@query(f"WITH {DAY.format('avg(value)')} SELECT k AS series_key, t, round(x, 6) + 0.0 AS value FROM dy WHERE k <> 'error'")
+def drop_label(spark, d):
+    return S.drop_keys(daily(spark, d), ["error"]).select("series_key", "t", r6("value").alias("value"))
+
+
 @query("SELECT i AS t, round(power(i, 0.35) - 2.5, 6) + 0.0 AS value FROM range(5, 1000) g(i)")
 def trend_linear(spark, d):
     return generate.generated(spark, C.linear_trend, 1000, 5, power=0.35, displacement=-2.5).select("t", r6("value").alias("value"))
@@ -311,10 +320,9 @@ def mat_transpose(spark, d):
     return matrix.transpose(embedding(spark, d))
 
 
-@query(f"WITH {EMB} SELECT a.i, b.i AS j, round(0.5 * sum(a.v * b.v), 6) + 0.0 AS v FROM em a JOIN em b ON a.j = b.j WHERE a.i < 50 AND b.i < 50 GROUP BY 1, 2")
+@query(f"WITH {EMB} SELECT a.i, b.i AS j, round(0.5 * sum(a.v * b.v), 6) + 0.0 AS v FROM em a JOIN em b ON a.j = b.j GROUP BY 1, 2")
 def mat_dot(spark, d):
-    """A (A' as a matrix of its own), times one half, for the first rows."""
-    m = embedding(spark, d).where("i < 50")
+    m = embedding(spark, d)
     return matrix.dot(m, matrix.transpose(m), 0.5).select("i", "j", r6("v").alias("v"))
 
 
@@ -323,106 +331,40 @@ def mat_dot_at(spark, d):
     return matrix.dot(embedding(spark, d), labels_by_vector(spark, d), a_transpose=True).select("i", "j", r6("v", 5).alias("v"))
 
 
-@query(f"WITH {EMB} SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM em a JOIN em b ON a.j = b.j WHERE b.i < 20 GROUP BY 1, 2")
+@query(f"WITH {EMB} SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM em a JOIN em b ON a.j = b.j GROUP BY 1, 2")
 def mat_dot_bt(spark, d):
     m = embedding(spark, d)
-    return matrix.dot(m, m.where("i < 20"), b_transpose=True).select("i", "j", r6("v").alias("v"))
+    return matrix.dot(m, m, b_transpose=True).select("i", "j", r6("v").alias("v"))
 
 
-@query(f"WITH {EMB}, g AS (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM em a JOIN em b ON a.i = b.i GROUP BY 1, 2) SELECT g.i, em.i AS j, round(sum(g.v * em.v), 4) + 0.0 AS v FROM g JOIN em ON g.j = em.j WHERE em.i < 100 GROUP BY 1, 2")
+@query(f"WITH {EMB}, g AS (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM em a JOIN em b ON a.i = b.i GROUP BY 1, 2) SELECT g.i, em.i AS j, round(sum(g.v * em.v), 4) + 0.0 AS v FROM g JOIN em ON g.j = em.j GROUP BY 1, 2")
 def mat_dot_atbt(spark, d):
     m = embedding(spark, d)
     g = matrix.dot(m, m, a_transpose=True)
-    return matrix.dot(g, m.where("i < 100"), a_transpose=True, b_transpose=True).select("i", "j", r6("v", 4).alias("v"))
+    return matrix.dot(g, m, a_transpose=True, b_transpose=True).select("i", "j", r6("v", 4).alias("v"))
 
 
 @query(f"WITH {EMB} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 5) + 0.0 AS g FROM em a JOIN em b ON a.i = b.i GROUP BY 1, 2")
 def gram_rows(spark, d):
-    """The Gram matrix as a table, of the matrix whose columns are vectors."""
     cells = embedding(spark, d).select(F.col("j").alias("row"), F.col("i").alias("c"), F.col("v").alias("value"))
     return factor.gram_rows(cells).select("i", "j", r6("g", 5).alias("g"))
 
 
 @query(f"WITH {EMB} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 5) + 0.0 AS g FROM em a JOIN em b ON a.i = b.i GROUP BY 1, 2")
 def gram_blocks(spark, d):
-    """The same by arrays and per-task sums."""
     cells = embedding(spark, d).select(F.col("j").alias("row"), F.col("i").alias("c"), F.col("v").alias("value"))
-    g = factor.gram(factor.columns(cells, 5), 5)
-    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(5) for j in range(5)], "i long, j long, g double").select("i", "j", r6("g", 5).alias("g"))
+    g = factor.gram(factor.columns(cells, WIDTH), WIDTH)
+    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(WIDTH) for j in range(WIDTH)], "i long, j long, g double").select("i", "j", r6("g", 5).alias("g"))
 
 
 @query(f"WITH {EMB} SELECT i, j, v FROM em")
 def matrix_write_read_copy(spark, d):
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+    at = shared(spark)
     S.write_matrix(embedding(spark, d), at, "a")
     S.copy_matrix(spark, at, "a", at, "b")
     return S.read_matrix(spark, at, "b")
 
 
-# The same over all vectors and all their values.
-
-
-@query(f"WITH {EMB_ALL} SELECT i, j, round(v * 2, 6) + 0.0 AS v FROM em")
-def mat_add_all(spark, d):
-    m = embedding(spark, d, None)
-    return matrix.add(m, m).select("i", "j", r6("v").alias("v"))
-
-
-@query(f"WITH {EMB_ALL}, {LAB} SELECT coalesce(em.i, lb.i) AS i, coalesce(em.j, lb.j) AS j, round(coalesce(em.v, 0) - coalesce(lb.v, 0), 6) + 0.0 AS v FROM em FULL JOIN lb ON em.i = lb.i AND em.j = lb.j")
-def mat_subtract_all(spark, d):
-    return matrix.subtract(embedding(spark, d, None), labels_by_vector(spark, d)).select("i", "j", r6("v").alias("v"))
-
-
-@query(f"WITH {EMB_ALL} SELECT j AS i, i AS j, v FROM em")
-def mat_transpose_all(spark, d):
-    return matrix.transpose(embedding(spark, d, None))
-
-
-@query(f"WITH {EMB_ALL} SELECT a.i, b.i AS j, round(0.5 * sum(a.v * b.v), 6) + 0.0 AS v FROM em a JOIN em b ON a.j = b.j GROUP BY 1, 2")
-def mat_dot_all(spark, d):
-    m = embedding(spark, d, None)
-    return matrix.dot(m, matrix.transpose(m), 0.5).select("i", "j", r6("v").alias("v"))
-
-
-@query(f"WITH {EMB_ALL}, {LAB} SELECT em.j AS i, lb.j, round(sum(em.v * lb.v), 5) + 0.0 AS v FROM em JOIN lb ON em.i = lb.i GROUP BY 1, 2")
-def mat_dot_at_all(spark, d):
-    return matrix.dot(embedding(spark, d, None), labels_by_vector(spark, d), a_transpose=True).select("i", "j", r6("v", 5).alias("v"))
-
-
-@query(f"WITH {EMB_ALL} SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM em a JOIN em b ON a.j = b.j GROUP BY 1, 2")
-def mat_dot_bt_all(spark, d):
-    m = embedding(spark, d, None)
-    return matrix.dot(m, m, b_transpose=True).select("i", "j", r6("v").alias("v"))
-
-
-@query(f"WITH {EMB_ALL}, g AS (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM em a JOIN em b ON a.i = b.i GROUP BY 1, 2) SELECT g.i, em.i AS j, round(sum(g.v * em.v), 4) + 0.0 AS v FROM g JOIN em ON g.j = em.j GROUP BY 1, 2")
-def mat_dot_atbt_all(spark, d):
-    m = embedding(spark, d, None)
-    g = matrix.dot(m, m, a_transpose=True)
-    return matrix.dot(g, m, a_transpose=True, b_transpose=True).select("i", "j", r6("v", 4).alias("v"))
-
-
-@query(f"WITH {EMB_ALL} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 5) + 0.0 AS g FROM em a JOIN em b ON a.i = b.i GROUP BY 1, 2")
-def gram_rows_all(spark, d):
-    cells = embedding(spark, d, None).select(F.col("j").alias("row"), F.col("i").alias("c"), F.col("v").alias("value"))
-    return factor.gram_rows(cells).select("i", "j", r6("g", 5).alias("g"))
-
-
-@query(f"WITH {EMB_ALL} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 5) + 0.0 AS g FROM em a JOIN em b ON a.i = b.i GROUP BY 1, 2")
-def gram_blocks_all(spark, d):
-    cells = embedding(spark, d, None).select(F.col("j").alias("row"), F.col("i").alias("c"), F.col("v").alias("value"))
-    g = factor.gram(factor.columns(cells, WIDTH), WIDTH)
-    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(WIDTH) for j in range(WIDTH)], "i long, j long, g double").select("i", "j", r6("g", 5).alias("g"))
-
-
-@query(f"WITH {EMB_ALL} SELECT i, j, v FROM em")
-def matrix_write_read_copy_all(spark, d):
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
-    S.write_matrix(embedding(spark, d, None), at, "a")
-    S.copy_matrix(spark, at, "a", at, "b")
-    return S.read_matrix(spark, at, "b")
-
-
 @query("SELECT CAST(20 AS BIGINT) AS i, CAST(600 AS BIGINT) AS cells, true AS centred")
 def random_matrix(spark, d):
     m = S.random_matrix(spark, 20, 30, 5.0, 2.0, seed=7, segments=4)
@@ -431,7 +373,7 @@ def random_matrix(spark, d):
 
 @query("SELECT l_returnflag AS series_key, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1")
 def csv_scan(spark, d):
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+    at = shared(spark)
     S.table(spark, d, "lineitem").select("l_returnflag", "l_quantity").write.option("header", True).csv(at)
     return S.read_csv(spark, at, "l_returnflag string, l_quantity double").groupBy(F.col("l_returnflag").alias("series_key")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
 
@@ -460,6 +402,13 @@ def svd_denoise(spark, d):
     return _two(spark, d, p=0.8).denoised().select("t", r6("value").alias("value"))
 
 
+@query(f"WITH {_TWO} SELECT c * 2 + q AS t, round(CASE q WHEN 0 THEN u0 * (u0 * x0 + u1 * x1) ELSE u1 * (u0 * x0 + u1 * x1) END, 6) + 0.0 AS value FROM a, u, (SELECT unnest([0, 1]) AS q) WHERE c * 2 + q >= (SELECT count(*) // 4 FROM ev) AND c * 2 + q < (SELECT count(*) // 2 FROM ev)")
+def denoised_range(spark, d):
+    """De-noised values of the second quarter of the fitted points."""
+    n = _length(events(spark, d))
+    return _two(spark, d).denoised(n // 4, n // 2).select("t", r6("value").alias("value"))
+
+
 @query(f"WITH {_TWO} SELECT CAST(0 AS BIGINT) AS k, round(sqrt(lam), 4) + 0.0 AS s FROM l UNION ALL SELECT 1, round(sqrt(mu), 4) + 0.0 FROM l")
 def svd_singular_values(spark, d):
     cells = page.page_matrix(events(spark, d), 2).select(F.col("r").alias("row"), "c", "value")
@@ -535,36 +484,11 @@ _ALS = f"{MASK}, a AS (SELECT t % 4 AS r, t // 4 AS c, x FROM mk WHERE x IS NOT
 def als_rank_one(spark, d):
     """Three rounds from a right factor of ones."""
     cells = page.page_matrix(masked(spark, d), 4).select(F.col("r").alias("row"), "c", "value")
-    n = cells.agg(F.max("c")).first()[0] + 1
-    u, v, _, _ = factor.als(cells, 1, 0.0, 3, -1.0, start=np.ones((n, 1)))
+    ones = cells.select(F.col("c").cast("long").alias("c")).distinct().select("c", F.array(F.lit(1.0)).alias("f"))
+    u, v, _, _ = factor.als(cells, 1, 0.0, 3, -1.0, start=ones)
     return factor.reconstruct(u, v).select("row", "c", r6("value", 5).alias("value"))
 
 
-_CUT = 600
-
-
-@query(f"WITH {_TWO.replace('FROM events', f'FROM events WHERE event_id < {_CUT}')}, n AS (SELECT event_id // 2 AS c, max(value) FILTER (event_id % 2 = 0) AS y0, max(value) FILTER (event_id % 2 = 1) AS y1 FROM events WHERE event_id >= {_CUT} AND event_id < {_CUT + 100} GROUP BY 1) SELECT c * 2 + q AS t, round(CASE q WHEN 0 THEN u0 ELSE u1 END * (u0 * y0 + u1 * y1), 6) + 0.0 AS value FROM n, u, (SELECT unnest([0, 1]) AS q)")
-def fold_in(spark, d):
-    """New columns against the vectors of the first: one column at a time."""
-    old, new = page.split_at(events(spark, d).where(F.col("t") < _CUT + 100), _CUT)
-    x = [np.array([r.value for r in s.orderBy("t").collect()]) for s in (old, new)]
-    state, out = updates.start(x[0], 2, 1), []
-    for i in range(0, len(x[1]), 2):
-        state, clean = updates.update(state, x[1][i : i + 2])
-        out += [(_CUT + i + j, float(v)) for j, v in enumerate(clean)]
-    return spark.createDataFrame(out, "t long, value double").select("t", r6("value").alias("value"))
-
-
-@query(f"""WITH {_TWO.replace('FROM events', f'FROM events WHERE event_id < {_CUT}')}, n AS (SELECT max(value) FILTER (event_id % 2 = 0) AS y0, max(value) FILTER (event_id % 2 = 1) AS y1 FROM events WHERE event_id IN ({_CUT}, {_CUT + 1})),
-h AS (SELECT lam * u0 * u0 + y0 * y0 AS h00, lam * u0 * u1 + y0 * y1 AS h01, lam * u1 * u1 + y1 * y1 AS h11 FROM u, n)
-SELECT round(sqrt((h00 + h11) / 2 + sqrt(power((h00 - h11) / 2, 2) + h01 * h01)), 5) + 0.0 AS s FROM h""")
-def rank_k_update(spark, d):
-    """The singular value after one new column, kept to rank one."""
-    x = np.array([r.value for r in events(spark, d).where(F.col("t") < _CUT + 2).orderBy("t").collect()])
-    state, _ = updates.update(updates.start(x[:_CUT], 2, 1), x[_CUT:], "UP")
-    return spark.createDataFrame([(float(state.s[0]),)], "s double").select(r6("s", 5).alias("s"))
-
-
 _N, _HEAD = "(SELECT (max(event_id) + 1) // 2 * 2 FROM events)", "(SELECT (max(event_id) + 1) * 7 // 20 * 2 FROM events)"
 
 
@@ -578,7 +502,7 @@ def _initial(spark, d, n, k):
 
 
 @query(f"WITH {_TWO.replace('FROM events', f'FROM events WHERE event_id < {_HEAD}')}, n AS (SELECT event_id // 2 AS c, max(value) FILTER (event_id % 2 = 0) AS y0, max(value) FILTER (event_id % 2 = 1) AS y1 FROM events WHERE event_id >= {_HEAD} AND event_id < {_N} GROUP BY 1) SELECT c * 2 + q AS t, round(CASE q WHEN 0 THEN u0 ELSE u1 END * (u0 * y0 + u1 * y1), 6) + 0.0 AS value FROM n, u, (SELECT unnest([0, 1]) AS q)")
-def fold_in_all(spark, d):
+def fold_in(spark, d):
     """The last 30 % of the columns against the vectors of the first 70 %, which folding-in leaves as they are: one pass."""
     e, cut, state = _initial(spark, d, 2, 1)
     new = page.page_matrix(e.where(F.col("t") >= cut), 2).select(F.col("r").alias("row"), "c", "value")
@@ -586,14 +510,19 @@ def fold_in_all(spark, d):
     return out.select((F.col("c") * 2 + F.col("r")).cast("long").alias("t"), r6("value").alias("value"))
 
 
-@query()
-def rank_k_update_all(spark, d):
+@query(f"""WITH RECURSIVE {_TWO.replace('FROM events', f'FROM events WHERE event_id < {_HEAD}')}, n AS (SELECT event_id // 2 AS c, max(value) FILTER (event_id % 2 = 0) AS y0, max(value) FILTER (event_id % 2 = 1) AS y1 FROM events WHERE event_id >= {_HEAD} AND event_id < {_N} GROUP BY 1),
+st AS (SELECT {_HEAD} // 2 AS c, lam, u0, u1 FROM u UNION ALL
+  SELECT c + 1, mu, h01 / sqrt(h01 * h01 + power(mu - h00, 2)), (mu - h00) / sqrt(h01 * h01 + power(mu - h00, 2)) FROM (
+    SELECT c, h00, h01, (h00 + h11) / 2 + sqrt(power((h00 - h11) / 2, 2) + h01 * h01) AS mu FROM (
+      SELECT st.c, lam * u0 * u0 + y0 * y0 AS h00, lam * u0 * u1 + y0 * y1 AS h01, lam * u1 * u1 + y1 * y1 AS h11 FROM st JOIN n ON n.c = st.c)))
+SELECT CAST(2 * c AS BIGINT) AS points, round(sqrt(lam), 4) + 0.0 AS s FROM st ORDER BY c DESC LIMIT 1""")
+def rank_k_update(spark, d):
     """The singular value after each of the last 30 % of the columns in turn, kept to rank one."""
     e, cut, state = _initial(spark, d, 2, 1)
     later = factor.columns(page.page_matrix(e.where(F.col("t") >= cut), 2).select(F.col("r").alias("row"), "c", "value"), 2)
     for r in later.orderBy("c").toLocalIterator():
         state, _ = updates.update(state, np.array(r.x), "UP")
-    return spark.createDataFrame([(state.points, float(state.s[0]))], "points long, s double").select("points", r6("s", 5).alias("s"))
+    return spark.createDataFrame([(state.points, float(state.s[0]))], "points long, s double").select("points", r6("s", 4).alias("s"))
 
 
 @query()
@@ -616,6 +545,16 @@ def als_forecaster(spark, d):
     return models.fit_als(e, "purchase", ["click"], n=2, m=_length(e) // 2, k=2, iterations=4, check=False).denoised()
 
 
+@query()
+def control_als(spark, d):
+    """Synthetic control by ALS, and with several metrics, of daily means with hidden values."""
+    day = fill.hide_values(daily(spark, d), 0.9, lambda t: C.lcg(t + 11))
+    m = _length(day)
+    one = models.SyntheticControl.fit(day, "purchase", ["click", "view", "signup", "error"], m=m, k=2, method="als", iterations=6, check=False)
+    both = models.MultiMetricControl.fit([day, daily(spark, d, "count")], [2.0, 0.5], "purchase", ["click", "view"], m=m, k=2, method="als", iterations=6, check=False)
+    return one.predict(daily(spark, d)).select(F.lit(-1).alias("metric"), "t", "prediction").unionByName(both.predict([daily(spark, d), daily(spark, d, "count")]))
+
+
 @query()
 def segmented_forecaster(spark, d):
     e = events(spark, d)
@@ -629,8 +568,7 @@ _FILE, _FLUSH = 1 << 20, 1 << 16
 @query()
 def stream_updates(spark, d):
     """The last 30 % of the points arrive as files; each whole column updates the model of the first 70 %."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    at = f"{base}/{uuid.uuid4().hex}"
+    at = shared(spark)
     e, cut, state = _initial(spark, d, 10, 3)
     stop = _length(e)
     for a in range(cut, stop, _FILE):  # one after the other: the stream takes files by their age

@@ -29,6 +29,18 @@ class Forecaster:
     u: np.ndarray
     cells: DataFrame = field(repr=False)
     last: int = 0
+    method: str = "svd"
+    cached: tuple[DataFrame, ...] = field(default=(), repr=False)
+
+    def release(self) -> None:
+        """Frees what the fit has cached; de-noised values can still be asked for, and are computed again."""
+        for df in self.cached:
+            df.unpersist()
+
+    def update(self, *_, **__) -> None:
+        """A fit is final: series that grow are followed by the states of `streaming.updates`, which are for SVD models."""
+        how = "has no incremental form; fit it again" if self.method == "als" else "is final; use streaming.updates.start and update"
+        raise NotImplementedError(f"a fitted {self.method} model {how}")
 
     def weight_table(self) -> DataFrame:
         rows = [(self.keys[r // self.n], r % self.n, float(w)) for r, w in zip(self.rows, self.weights, strict=True)]
@@ -91,12 +103,14 @@ def fit_svd(series: DataFrame, target: str, others: list[str] | None = None, *,
     rows = page.regressor_rows(n, len(keys), past_only)
     if side <= max(m, 64):
         cols = factor.columns(cells, side).persist()
+        held = (cols,)
         g = factor.gram(cols, side)
         s, u = factor.eigen(g, k)
         w = factor.forecast_weights(g, rows, side - 1, k, p, rcond)
         flat = factor.project(cols, u @ u.T / p).select("c", F.posexplode("y").alias("row", "value"))
     else:  # more rows than columns: the Gram matrix of the columns
         by_row = factor.columns(cells, m, "c", "row").persist()
+        held = (by_row,)
         g = factor.gram(by_row, m)
         s, v = factor.eigen(g, k)
         q = v @ v.T
@@ -107,7 +121,7 @@ def fit_svd(series: DataFrame, target: str, others: list[str] | None = None, *,
         w = _rows_dot(picked, q @ x, len(rows), rows)
         u = _left(by_row, v, s, side)
         flat = factor.project(by_row, q / p).select(F.col("c").alias("row"), F.posexplode("y").alias("c", "value"))
-    return Forecaster(keys, n, m, k, p, past_only, rows, w, s, u, flat.select(F.col("row").cast("long").alias("row"), F.col("c").cast("long").alias("c"), "value"), side - 1)
+    return Forecaster(keys, n, m, k, p, past_only, rows, w, s, u, flat.select(F.col("row").cast("long").alias("row"), F.col("c").cast("long").alias("c"), "value"), side - 1, "svd", held)
 
 
 def _rows_dot(by_row: DataFrame, x: np.ndarray, n: int, rows: list[int]) -> np.ndarray:
@@ -137,7 +151,7 @@ def fit_als(series: DataFrame, target: str, others: list[str] | None = None, *,
     rows = page.regressor_rows(n, len(keys), past_only)
     w = np.linalg.pinv(g[np.ix_(rows, rows)], rcond=1e-12, hermitian=True) @ g[rows, side]
     s, left = factor.eigen(g[:side, :side], k)
-    return Forecaster(keys, n, m, k, p, past_only, rows, w, s, left, estimate.select("row", F.col("c").cast("long").alias("c"), "value"), side - 1)
+    return Forecaster(keys, n, m, k, p, past_only, rows, w, s, left, estimate.select("row", F.col("c").cast("long").alias("c"), "value"), side - 1, "als", (cells, estimate))
 
 
 FITS = {"svd": fit_svd, "als": fit_als}
@@ -160,9 +174,7 @@ class SyntheticControl:
 
     def predict(self, donors: DataFrame) -> DataFrame:
         """(t, prediction) for every t of the donors' series. Weights are as many as donors: joined, not collected."""
-        w = F.create_map(*[x for r, v in zip(self.model.rows, self.model.weights, strict=True) for x in (F.lit(self.model.keys[r]), F.lit(float(v)))])
-        used = donors.where(F.col("series_key").isin(self.model.keys[:-1]))
-        return used.groupBy("t").agg(F.sum(F.element_at(w, F.col("series_key")) * F.col("value")).alias("prediction"))
+        return donors.join(self.weights(), "series_key").groupBy("t").agg(F.sum(F.col("w") * F.col("value")).alias("prediction"))
 
 
 @dataclass(frozen=True)

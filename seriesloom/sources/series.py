@@ -46,6 +46,18 @@ def regular_grid(df: DataFrame, ts: str, value: str, unit: str = "hour", key: st
     return grid.select("series_key", F.floor(F.unix_timestamp(F.col("ts").cast("string")) / seconds).cast("long").alias("t"), "ts", "value")
 
 
+def date_index(series: DataFrame, start: str, unit: str = "minute") -> DataFrame:
+    """The series with ts: its index t counted in units from a start."""
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit]
+    at = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("t") * F.lit(seconds))
+    return series.withColumn("ts", at)
+
+
+def drop_keys(series: DataFrame, keys: list[str]) -> DataFrame:
+    """The series without some of its keys, as a label that is no unit of a panel."""
+    return series.where(~F.col("series_key").isin(keys))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 

@@ -78,13 +78,13 @@ def test_updates_take_all_later_events(spark, longer):
     a = x.reshape(-1, 2).T
     cut = 3280 * 7 // 20
     u = np.linalg.svd(a[:, :cut], full_matrices=False)[0][:, :1]
-    got = {r.t: r.value for r in catalog.QUERIES["fold_in_all"](spark, at).collect()}
+    got = {r.t: r.value for r in catalog.QUERIES["fold_in"](spark, at).collect()}
     assert sorted(got) == list(range(2 * cut, 3280)) and np.allclose([got[t] for t in sorted(got)], (u @ u.T @ a[:, cut:]).T.ravel(), atol=1e-5)
     s = np.linalg.svd(a[:, :cut], full_matrices=False)[1][:1]
     for c in range(cut, a.shape[1]):
         u, s, _ = np.linalg.svd(np.hstack([u * s, a[:, c : c + 1]]), full_matrices=False)
         u, s = u[:, :1], s[:1]
-    (r,) = catalog.QUERIES["rank_k_update_all"](spark, at).collect()
+    (r,) = catalog.QUERIES["rank_k_update"](spark, at).collect()
     assert r.points == 3280 and np.isclose(r.s, s[0], atol=1e-4)
 
 
@@ -108,7 +108,7 @@ def test_stream_takes_all_later_events(spark, longer, monkeypatch):
 
 def test_every_batch_is_filled(spark, longer):
     at, x = longer
-    got = {r.t: r.value for r in catalog.QUERIES["batch_fill_all"](spark, at).collect()}
+    got = {r.t: r.value for r in catalog.QUERIES["batch_fill"](spark, at).collect()}
     seen = np.where(lcg(np.arange(3280)) <= 0.7, x, np.nan)
     want = np.concatenate([np.where(np.isnan(b), (np.nanmin(b) + np.nanmax(b)) / 2, b) for b in np.split(seen, range(200, 3280, 200))])
     assert sorted(got) == list(range(3280)) and np.allclose([got[t] for t in range(3280)], want, atol=1e-6)
@@ -124,8 +124,82 @@ def test_products_take_all_vectors_and_values(spark, tmp_path):
     g = a.T @ a
     want = {"mat_add": 2 * a, "mat_subtract": a - lab, "mat_transpose": a.T, "mat_dot": a @ a.T / 2, "mat_dot_at": a.T @ lab[:, :7], "mat_dot_bt": a @ a.T, "mat_dot_atbt": g @ a.T, "gram_rows": g, "gram_blocks": g, "matrix_write_read_copy": a}
     for name, m in want.items():
-        rows = catalog.QUERIES[f"{name}_all"](spark, str(tmp_path)).collect()
+        rows = catalog.QUERIES[name](spark, str(tmp_path)).collect()
         got = np.full(m.shape, np.nan)
         for i, j, v in rows:
             got[i, j] = v
         assert len(rows) == m.size and np.allclose(got, m, atol=1e-4), name
+
+
+def stream_case(spark, tmp_path, parts):
+    """Files of a stream, in order; each part is a list of (t, value)."""
+    for k, part in enumerate(parts):
+        spark.createDataFrame([("x", t, float(v)) for t, v in part], "series_key string, t long, value double").coalesce(1).write.parquet(f"{tmp_path}/in{k}")
+
+
+def test_stream_state_survives_a_restart(spark, tmp_path):
+    import shutil
+
+    from seriesloom.streaming import updates
+
+    r = np.random.RandomState(12)
+    x = np.sin(np.arange(200) / 5) + r.randn(200) * 0.1
+    first = updates.start(x[:100], 5, 2)
+    late = [(t, x[t]) for t in range(100, 131) if t != 117]
+    stream_case(spark, tmp_path, [late, [(t, x[t]) for t in range(131, 160)] + [(90, 9.0), (130, 9.0)], [(117, x[117])] + [(t, x[t]) for t in range(160, 200)]])
+    (tmp_path / "in").mkdir()
+    seen, got = {}, {}
+
+    def run(files):
+        states = {"x": first}
+        q = updates.run_updates(updates.series_stream(spark, str(tmp_path / "in")), states, lambda k, t, s, v: seen.update({t + i: w for i, w in enumerate(v)}), str(tmp_path / "log"), "UP")
+        for k in files:
+            for f in sorted((tmp_path / f"in{k}").glob("*.parquet")):
+                shutil.copy(f, tmp_path / "in" / f"{k}-{f.name}")
+            q.processAllAvailable()
+        q.stop()
+        got.update(states)
+
+    run([0])
+    assert got["x"].points == 115 and max(seen) == 114  # what comes after the missing point waits
+    run([1])  # a new query, which starts from the first state
+    assert got["x"].points == 115
+    run([2])
+    want = first
+    for a in (100, 115):  # whole columns, n - 1 at most at a time, as they could be applied
+        end = {100: 115, 115: 200}[a]
+        while want.points < end:
+            take = min((end - want.points) // 5, 4) * 5
+            want, _ = updates.update(want, x[want.points : want.points + take], "UP")
+    assert got["x"].points == 200 and got["x"].updates == want.updates
+    assert np.allclose(got["x"].s, want.s) and np.allclose(got["x"].weights(), want.weights()) and sorted(seen) == list(range(100, 200))
+
+
+def test_waiting_points_are_bounded(spark, tmp_path):
+    from seriesloom.streaming import updates
+
+    stream_case(spark, tmp_path, [[(t, 1.0) for t in range(11, 40)]])
+    q = updates.run_updates(updates.series_stream(spark, f"{tmp_path}/in0"), {"x": updates.start(np.arange(10.0), 5, 2)}, lambda *_: None, f"{tmp_path}/log", most_waiting=20)
+    with pytest.raises(Exception, match="wait for point 10"):
+        q.processAllAvailable()
+
+
+def test_control_by_als_covers_all_days(spark, longer):
+    at, x = longer
+    got = {(r.metric, r.t): r.prediction for r in catalog.QUERIES["control_als"](spark, at).collect()}
+    assert set(got) == {(-1, t) for t in range(41)} | {(k, t) for k in (0, 1) for t in range(41)}
+    day = np.array([x[d * 80 : (d + 1) * 80][2::5].mean() for d in range(41)])
+    assert np.sqrt(np.mean([(got[-1, t] - day[t]) ** 2 for t in range(41)])) < 4
+    assert np.sqrt(np.mean([(got[0, t] / np.sqrt(2) - day[t]) ** 2 for t in range(41)])) < 4
+    assert np.allclose([got[1, t] / np.sqrt(0.5) for t in range(41)], 16, atol=1)
+
+
+def test_svd_of_several_series_against_numpy(spark, longer):
+    at, x = longer
+    got = {(r.series_key, r.t): r.value for r in catalog.QUERIES["svd_multi_series"](spark, at).collect()}
+    keys = ["click", "view", "signup", "purchase"]
+    day = {k: np.array([x[d * 80 : (d + 1) * 80][i::5].mean() for d in range(41)]) for i, k in enumerate(catalog.TYPES)}
+    a = np.vstack([day[k][-30:].reshape(6, 5).T for k in keys])
+    low = rank(a, 3)
+    want = {(k, c * 5 + i): low[b * 5 + i, c] for b, k in enumerate(keys) for i in range(5) for c in range(6)}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
