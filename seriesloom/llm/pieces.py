@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .textops import mix, segments, slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Chunks, and characters of chunks, whose best paths are remembered from batch to batch; beyond, all are forgotten.
+MOST_CHUNKS, MOST_CHARS = 200_000, 1 << 22
 #: Longer chunks go through the lattice one by one.
 LONGEST = 48
 #: Scores are whole multiples of this, so that sums are exact and equal paths have equal scores.
@@ -83,8 +85,30 @@ class Lattice:
         inner = "".join(map(re.escape, solo))
         self.chunk = re.compile(f"[{inner}]| *[^ {inner}]+| +" if inner else " *[^ ]+| +", re.S)
         self.long: list[tuple[str, int]] = []  # remembered for one batch only
+        self.forget(0)
         self.memo: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
 
+    def forget(self, k: int) -> None:
+        """Remembers no chunk; from now on the k best paths are asked for."""
+        self.code: dict[str, int] = {}
+        self.chunks: list[str] = []
+        self.shown: list[bytes] = []  # a chunk's ids, each with a comma after it
+        self.k, self.chars = k, 0
+        self.best, self.gap, self.flat, self.offs = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.width = np.zeros(0, np.int64)
+
+    def learn(self, chunks: list[str], k: int) -> None:
+        """Best paths of new chunks, which follow those known."""
+        best, gap, flat, offs = self.best_two(chunks, k)
+        text = list(map(str, flat.tolist()))
+        shown = [(",".join(text[a:b]) + ",").encode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        self.best, self.gap, self.flat = np.concatenate([self.best, best]), np.concatenate([self.gap, gap]), np.concatenate([self.flat, flat])
+        self.offs = np.concatenate([self.offs, offs[1:] + self.offs[-1]])
+        self.width = np.concatenate([self.width, np.array(list(map(len, shown)), np.int64)])
+        self.chunks += chunks
+        self.shown += shown
+        self.chars += sum(map(len, chunks))
+
     @staticmethod
     def _key(piece: str) -> int:
         h = 0
@@ -212,23 +236,33 @@ class Lattice:
         text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
-    def encode_batch(self, texts: list[str], k: int) -> list[tuple[np.ndarray, list[tuple[float, list[tuple[int, list[int]]]]], np.ndarray]]:
-        """Per text: ids of the best path; the k best as (score, changed chunks with their ids); offsets of the chunks' ids."""
+    def encode_batch(self, texts: list[str], k: int) -> list[tuple[np.ndarray, list[tuple[float, list[tuple[int, list[int]]]]], np.ndarray, list[str]]]:
+        """Per text: ids of the best path; the k best as (score, changed chunks with their ids); offsets of the chunks' ids;
+        SHA-256 of the comma-joined ids of each of the k best."""
         for key in self.long:
             self.memo.pop(key, None)
         self.long.clear()
-        code: dict[str, int] = {}
+        if k != self.k or len(self.chunks) > MOST_CHUNKS or self.chars > MOST_CHARS:
+            self.forget(k)
+        code, new = self.code, []
         codes, owner = [], [0]
         for t in texts:
             if t:
-                for c in self.chunk.findall(" " + t):
-                    i = code.get(c)
-                    if i is None:
-                        i = code[c] = len(code)
-                    codes.append(i)
+                found = self.chunk.findall(" " + t)
+                own = list(map(code.get, found))
+                if None in own:
+                    for at, i in enumerate(own):
+                        if i is None:
+                            c = found[at]
+                            own[at] = code.get(c)
+                            if own[at] is None:
+                                own[at] = code[c] = len(code)
+                                new.append(c)
+                codes += own
             owner.append(len(codes))
-        chunks = list(code)
-        best, gap, flat, offs = self.best_two(chunks, k)
+        if new:
+            self.learn(new, k)
+        chunks, best, gap, flat, offs = self.chunks, self.best, self.gap, self.flat, self.offs
         codes, owner = np.array(codes, np.int64), np.array(owner)
         count = np.diff(offs)
         out = []
@@ -247,7 +281,9 @@ class Lattice:
                 alt = self.alternatives(chunks[own[at]], max(2, k))
                 arcs[node] = [(node - 1, v - alt[0][0], (at, i)) for i, (v, _) in enumerate(alt)]
             ways = k_best(len(pick), arcs, [0.0] * (len(pick) + 1), k)
-            out.append((ids, [(total + d, [(at, self.alternatives(chunks[own[at]], max(2, k))[i][1]) for at, i in labels if i]) for d, labels in ways], np.concatenate([[0], np.cumsum(n)])))
+            changed = [(total + d, [(at, self.alternatives(chunks[own[at]], max(2, k))[i][1]) for at, i in labels if i]) for d, labels in ways]
+            joined = b"".join(map(self.shown.__getitem__, own.tolist()))
+            out.append((ids, changed, np.concatenate([[0], np.cumsum(n)]), digests(joined, np.concatenate([[0], np.cumsum(self.width[own])]), changed)))
         return out
 
     @staticmethod
@@ -292,18 +328,17 @@ def spelled(ids: np.ndarray, offs: np.ndarray, changes: list[tuple[int, list[int
     return out + ids[done:].tolist()
 
 
-def digests(ids: np.ndarray, offs: np.ndarray, ways: list[tuple[float, list]]) -> list[str]:
-    """SHA-256 of the comma-joined ids of each path; what a path shares with the best one, ids, is copied as bytes."""
-    best, out = ",".join(map(str, ids.tolist())).encode() + b"," * bool(len(ids)), []
-    width = np.full(len(ids), 2)
-    for limit in (10, 100, 1000, 10_000, 100_000, 1_000_000):
-        width += ids >= limit
-    at_byte = np.concatenate([[0], np.cumsum(width)])
+def digests(best: bytes, at_byte: np.ndarray, ways: list[tuple[float, list]]) -> list[str]:
+    """SHA-256 of the comma-joined ids of each path; what a path shares with the best one is copied as bytes.
+
+    best: the ids of the best path, each with a comma after it. at_byte: where its chunks begin, and its end.
+    """
+    out = []
     for _, changes in ways:
         path, done = [], 0
         for at, alt in sorted(changes):
-            path += [best[done : at_byte[offs[at]]], *(b"%d," % v for v in alt)]
-            done = int(at_byte[offs[at + 1]])
+            path += [best[done : at_byte[at]], *(b"%d," % v for v in alt)]
+            done = int(at_byte[at + 1])
         out.append(sha256(b"".join([*path, best[done:]])[:-1]).hexdigest())
     return out
 
@@ -327,15 +362,15 @@ def encode(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", n_bes
             for b in slices(batch, "text", 1 << 20):
                 texts = b.column(1).to_pylist()
                 n, flat, trip, scores, sizes, digest, paths, every = [], [], [], [], [], [], [], []
-                for t, (ids, ways, offs) in zip(texts, lattice.encode_batch(texts, n_best), strict=True):
+                for t, (ids, ways, offs, shas) in zip(texts, lattice.encode_batch(texts, n_best), strict=True):
                     own = ids.tolist()
                     n.append(len(own))
                     flat.append(ids.astype(np.int32))
                     trip.append(lattice.decode(own) == t)
                     scores.append([v for v, _ in ways])
                     sizes.append([len(own) + sum(len(alt) - int(offs[at + 1] - offs[at]) for at, alt in c) for _, c in ways])
-                    paths.append(digests(ids, offs, ways))
-                    digest.append(paths[-1][0])
+                    paths.append(shas)
+                    digest.append(shas[0])
                     every.append([spelled(ids, offs, c) for _, c in ways] if all_ids else None)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(flat)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), ids, pa.array(trip), pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, ints), pa.array(digest), pa.array(paths, pa.list_(pa.string())), pa.array(every, more)], names)

@@ -221,7 +221,7 @@ def all_paths(lattice, chunk):
 def test_n_best_against_enumeration(text):
     lattice = pieces.load()
     want = sorted(all_paths(lattice, " " + text), key=lambda x: -x[0])
-    ((ids, ways, offs),) = lattice.encode_batch([text], 6)
+    ((ids, ways, offs, _),) = lattice.encode_batch([text], 6)
     assert np.allclose([v for v, _ in ways], [v for v, _ in want[:6]])
     paths = [tuple(pieces.spelled(ids, offs, c)) for _, c in ways]
     assert len(set(paths)) == len(paths) and all(p in {q for _, q in want} for p in paths) and paths[0] == tuple(ids.tolist())
@@ -229,6 +229,17 @@ def test_n_best_against_enumeration(text):
     assert all(lattice.decode(list(p)) == text for p in paths)
 
 
+def test_what_is_remembered_changes_nothing(monkeypatch):
+    texts = [t for _, t in documents(60) if t] + ["", "x" * 500, "日本 \x00 é" * 30]
+    lattice = pieces.load()
+    tell = lambda r: (r[0].tolist(), r[1], r[2].tolist(), r[3])
+    lattice.forget(4)
+    whole = [tell(r) for r in lattice.encode_batch(texts, 4)]
+    assert [tell(r) for r in lattice.encode_batch(texts, 4)] == whole
+    monkeypatch.setattr(pieces, "MOST_CHUNKS", 5)
+    assert [tell(lattice.encode_batch([t], 4)[0]) for t in texts] == whole
+
+
 def test_every_segmentation_is_digested(spark):
     rows = documents(40) + ODD[:6]
     query = {r.doc_id: r for r in pieces.encode(frame(spark, rows)).drop("ids", "nbest_ids").collect()}
