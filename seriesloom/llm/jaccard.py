@@ -93,7 +93,7 @@ def _digests(rows: DataFrame, n: int) -> DataFrame:
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        counts = np.zeros(CELLS, np.uint32)
         names = ["id", "t1", "t2", "node", "size", "bits", "block"]
         held: list[np.ndarray] = []
         seen: set[int] = set()
@@ -101,7 +101,8 @@ def _digests(rows: DataFrame, n: int) -> DataFrame:
 
         def count() -> None:
             if held:
-                counts[:] += np.bincount(_cells(np.concatenate(held)), minlength=CELLS)
+                cells, times = np.unique(_cells(np.concatenate(held)).astype(np.int32), return_counts=True)
+                counts[cells] += times.astype(np.uint32)
                 held.clear()
 
         for batch in batches:
@@ -109,7 +110,7 @@ def _digests(rows: DataFrame, n: int) -> DataFrame:
             for b in slices(batch, "text"):
                 sets = shingle_sets(b.column(3), n)
                 held += sets
-                if sum(map(len, held)) > 1 << 21:
+                if sum(map(len, held)) > 1 << 20:
                     count()
                 nodes = [node_of(s) for s in sets]
                 bits: list[bytes | None] = []
