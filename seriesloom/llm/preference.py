@@ -38,7 +38,7 @@ def _mask(turns: Column, trained: str) -> Column:
     return F.array_join(step["spans"], ",")
 
 
-def preference_pairs(turns: DataFrame, *, pair: str = "pair_id", side: str = "side", turn: str = "turn", role: str = "role", text: str = "text", trained: str = "assistant") -> DataFrame:
+def preference_pairs(turns: DataFrame, *, pair: str = "pair_id", side: str = "side", turn: str = "turn", role: str = "role", text: str = "text", trained: str = "assistant", escape: bool = False) -> DataFrame:
     """One row per pair that has both sides: prompt, chosen and rejected completions and their masks.
 
     side: 0 chosen, 1 rejected. Turns are ordered by turn number, then role, then text, so repeated numbers have one
@@ -46,10 +46,14 @@ def preference_pairs(turns: DataFrame, *, pair: str = "pair_id", side: str = "si
     completions; if one side is a prefix of the other its completion is empty. Rows with a null pair, side or turn are
     left out, pairs with one side only too, and an empty table gives no rows. One conversation is one output value, so
     a task holds single conversations, never a group of them: a text shared by many pairs is no common key.
+
+    Turn marks that stand in a role or text are left as they are, so that what is rendered is what was said; where texts
+    are not trusted, escape puts a space into them, as a text could otherwise pass for turns of its own.
     """
+    said_as = lambda c: F.regexp_replace(c, r"<\|im_(start|end)\|>", "<| im_$1 |>") if escape else c
     t = turns.select(
         F.col(pair).cast("long").alias("pair_id"), F.col(side).cast("int").alias("side"),
-        F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
+        F.struct(F.col(turn).cast("long").alias("turn"), said_as(F.coalesce(F.col(role), F.lit(""))).alias("role"), said_as(F.coalesce(F.col(text), F.lit(""))).alias("text")).alias("t"),
     ).where(F.col("pair_id").isNotNull() & F.col("side").isin(0, 1) & F.col("t.turn").isNotNull())
     said = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("t"))))
     both = t.groupBy("pair_id").agg(said(0).alias("c"), said(1).alias("r")).where((F.size("c") > 0) & (F.size("r") > 0))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import written
-from .textops import small_batches
+from .textops import slices, small_batches
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-splitting pattern published with this vocabulary. Fixed value.
@@ -39,9 +39,10 @@ def document_lengths(docs: DataFrame, *, text: str = "text", id_col: str = "doc_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
-        for b in batches:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["id", "n_tokens"])
+        for batch in batches:
+            for b in slices(batch, "text"):
+                n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["id", "n_tokens"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(encode, f"id {kind}, n_tokens long").withColumnRenamed("id", id_col)
@@ -79,13 +80,19 @@ def length_histogram(lengths: DataFrame, *, length: str = "n_tokens", block: int
 
 
 def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents over it, and the tokens kept when every document is truncated to it."""
-    part = histogram.select(F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("context_limit"), "n_tokens", "n_docs")
-    over = F.col("n_tokens") > F.col("context_limit")
-    return part.groupBy("context_limit").agg(
-        F.sum("n_docs").alias("n_docs"), F.sum(F.when(over, F.col("n_docs")).otherwise(0)).alias("n_over"),
-        F.sum(F.col("n_docs") * F.least("n_tokens", "context_limit")).alias("kept_tokens"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("all_tokens"),
-    )
+    """For each context limit: documents over it, and the tokens kept when every document is truncated to it.
+
+    The suffix sums of the first length above a limit answer it, whether the limit is a length that occurs or not; one pass
+    finds them for all limits. An empty histogram gives no rows.
+    """
+    first = [F.min(F.when(F.col("n_tokens") > c, F.struct("n_tokens", "docs_at_least", "tokens_at_least"))).alias(f"above{k}") for k, c in enumerate(limits)]
+    found = histogram.agg(F.max("docs_at_least").alias("docs"), F.max("tokens_at_least").alias("tokens"), *first).where("docs is not null")
+    each = F.explode(F.array(*[F.struct(F.lit(int(c)).cast("long").alias("context_limit"), F.col(f"above{k}").alias("above")) for k, c in enumerate(limits)]))
+    over, longer = F.coalesce("at.above.docs_at_least", F.lit(0)), F.coalesce("at.above.tokens_at_least", F.lit(0))
+    return found.select("docs", "tokens", each.alias("at")).select(
+        "at.context_limit", F.col("docs").alias("n_docs"), over.cast("long").alias("n_over"),
+        (F.col("tokens") - longer + over * F.col("at.context_limit")).cast("long").alias("kept_tokens"), F.col("tokens").alias("all_tokens"),
+    )
 
 
 def quantile(histogram: DataFrame, qs: list[float]) -> DataFrame:
