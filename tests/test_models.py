@@ -93,6 +93,24 @@ def test_als(spark):
     assert np.isclose(error, sum((left[i] @ right[j] - x[i, j]) ** 2 for i in range(6) for j in range(40) if not hidden[i, j]) / 240)
 
 
+def test_arma_in_blocks_is_the_recurrence(spark):
+    r = np.random.RandomState(11)
+    e = {"a": r.randn(101), "b": r.randn(23), "c": r.randn(3)}
+    for ar, ma, start, compat in (([0.4, 0.3, 0.2], [0.5, 0.1], None, True), ([0.5, -0.3], [0.2, 0.1, 0.3], [1.0, 2.0, 3.0], False), ([], [0.7], None, False), ([0.9], [], None, False)):
+        got = {(x.series_key, x.t): x for x in generate.arma(frame(spark, e), ar, ma, start, compat, block=8).collect()}
+        lag = 0 if compat else 1
+        for key, err in e.items():
+            n, q = len(err), len(ma)
+            x, mean = np.zeros(n), np.zeros(n)
+            if start:
+                x[: min(q, n)] = start[: min(q, n)]
+            for i in range(q, n - q if compat else n):
+                mean[i] = sum(c * x[i - j - lag] for j, c in enumerate(ar) if i - j - lag >= 0 and j + lag > 0) + sum(c * err[i - j - lag] for j, c in enumerate(ma) if i - j - lag >= 0)
+                x[i] = mean[i] + err[i]
+            assert np.allclose([got[key, i].observation for i in range(n)], x) and np.allclose([got[key, i].mean for i in range(n)], mean)
+        assert len(got) == 127
+
+
 def test_gram_of_many_tasks(spark):
     a = np.random.RandomState(7).randn(130, 50)
     cols = spark.createDataFrame([(c, a[:, c].tolist()) for c in range(50)], "c long, x array<double>").repartition(7)
