@@ -75,6 +75,7 @@ class Automaton:
     accept: frozenset[int] = frozenset()
     n_mandatory: int = 0
     longest: int = 0
+    anchor: tuple[str, str, int, int] | None = None  # the first two mandatory words in a row, and how many words stand before, at least and at most
 
 
 def compile_template(label: str, markup: str) -> Automaton:
@@ -87,8 +88,17 @@ def compile_template(label: str, markup: str) -> Automaton:
         empty[len(step) - 1] = set()
         return len(step) - 1
 
-    at, opened, mandatory, longest = 0, [], 0, 0
+    at, opened, mandatory, longest, least = 0, [], 0, 0, 0
+    anchor, before = None, None  # before: the word just read, if it is mandatory, and what stood before it
     for mark, word in _PART.findall(markup.lower()):
+        if word and not opened:
+            if before and not anchor:
+                anchor = (before[0], word, before[1], before[2])
+            before = (word, least, longest)
+            least += 1
+        else:
+            before = None
+            least += bool(mark) and mark[0] == "{" and "?" not in mark and not opened
         if word:
             nxt = new()
             step[at].append((word, nxt))
@@ -130,7 +140,7 @@ def compile_template(label: str, markup: str) -> Automaton:
 
     close = [reach(s) for s in range(len(step))]
     flat = [sorted({(w, t) for q in close[s] for w, t in step[q]}, key=lambda x: (x[0] or "", x[1])) for s in range(len(step))]
-    return Automaton(label, flat, frozenset({0}), frozenset(s for s in range(len(step)) if at in close[s]), mandatory, longest)
+    return Automaton(label, flat, frozenset({0}), frozenset(s for s in range(len(step)) if at in close[s]), mandatory, longest, anchor)
 
 
 def run_automaton(a: Automaton, words: list[str], start: int) -> tuple[int, int]:
@@ -167,7 +177,10 @@ class Scanner:
         return np.where(self.keys[at] == hashes, at, -1)
 
     def starts(self, a: Automaton, ids: np.ndarray) -> np.ndarray:
-        """Where the template can begin: a head word stands there, and a second word it can go on with follows."""
+        """Where the template can begin: a head word stands there, and a second word it can go on with follows.
+
+        Where any two words can begin it, only places near its first two mandatory words in a row are left.
+        """
         nxt: dict[str | None, set[str | None]] = {}
         for s in a.start:
             for w, t in a.step[s]:
@@ -180,6 +193,13 @@ class Scanner:
             here = np.ones(len(ids), bool) if w is None else ids == self.id[w]
             if None not in follow:
                 here &= np.isin(after, [self.id[x] for x in follow])
+            if w is None and None in follow and a.anchor:
+                one, two, low, high = a.anchor
+                hit = np.flatnonzero((ids == self.id[one]) & (after == self.id[two]))
+                near = np.zeros(len(ids) + 1, np.int64)
+                np.add.at(near, np.maximum(hit - high, 0), 1)
+                np.add.at(near, np.maximum(hit - low + 1, 0), -1)
+                here &= np.cumsum(near)[:-1] > 0
             found |= here
         return np.flatnonzero(found)
 
