@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import count, islice
 from math import inf, log
 
 import numpy as np
@@ -31,6 +33,7 @@ LONGEST = 48
 GRAIN = 1 / 65536
 _B = np.uint64(0x9E3779B97F4A7C15)
 _NO = np.float64(-1e18)
+_LOW = (1 << 20) - 1
 
 
 def k_best(n: int, arcs_into: dict[int, list[tuple[int, float, tuple]]], forward: list[float], k: int) -> list[tuple[float, list]]:
@@ -71,13 +74,18 @@ class Lattice:
         self.longest = max(map(len, self.score), default=1)
         names = sorted(self.score)
         keys = np.array([self._key(p) for p in names], np.uint64)
-        order = np.argsort(keys)
+        low = self._low(keys)
+        order = np.argsort(low, kind="stable")
         self.keys = keys[order]
         self.key_id = np.array([self.ids[names[i]] for i in order], np.int64)
         self.key_score = np.array([self.score[names[i]] for i in order])
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        # keys with the same low bits stand together, from first[low bits] on; no row of them is longer than `most`
+        many = np.bincount(low, minlength=_LOW + 1)
+        self.maybe = many > 0
+        self.first = (np.cumsum(many) - many).astype(np.int32)
+        self.most = int(many.max())
         self.text = {i: p.encode() for p, i in self.ids.items()} | {b: bytes([k]) for k, b in enumerate(self.byte_ids)}
+        self.tag = {i: b"%d," % i for i in self.text}
         joined = {c for p in names if len(p) > 1 for c in p}
         if any(" " in p.lstrip(" ") for p in names):
             raise ValueError("a piece has a white-space mark after another character")
@@ -90,7 +98,7 @@ class Lattice:
 
     def forget(self, k: int) -> None:
         """Remembers no chunk; from now on the k best paths are asked for."""
-        self.code: dict[str, int] = {}
+        self.code: defaultdict[str, int] = defaultdict(count().__next__)  # chunks in the order of their numbers
         self.chunks: list[str] = []
         self.shown: list[bytes] = []  # a chunk's ids, each with a comma after it
         self.k, self.chars = k, 0
@@ -100,8 +108,8 @@ class Lattice:
     def learn(self, chunks: list[str], k: int) -> None:
         """Best paths of new chunks, which follow those known."""
         best, gap, flat, offs = self.best_two(chunks, k)
-        text = list(map(str, flat.tolist()))
-        shown = [(",".join(text[a:b]) + ",").encode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        tags, ends = list(map(self.tag.__getitem__, flat.tolist())), offs.tolist()
+        shown = [b"".join(tags[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         self.best, self.gap, self.flat = np.concatenate([self.best, best]), np.concatenate([self.gap, gap]), np.concatenate([self.flat, flat])
         self.offs = np.concatenate([self.offs, offs[1:] + self.offs[-1]])
         self.width = np.concatenate([self.width, np.array(list(map(len, shown)), np.int64)])
@@ -109,6 +117,23 @@ class Lattice:
         self.shown += shown
         self.chars += sum(map(len, chunks))
 
+    @staticmethod
+    def _low(keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(_LOW)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are pieces' (their places in `keys`, ascending), and which pieces."""
+        low = self._low(keys)
+        left = np.flatnonzero(self.maybe[low])
+        pos, own = self.first[low[left]], keys[left]
+        hit = np.full(len(left), -1, np.int64)
+        for r in range(self.most):
+            at = np.minimum(pos + r, len(self.keys) - 1)
+            same = self.keys[at] == own
+            hit[same] = at[same]
+        found = hit >= 0
+        return left[found], hit[found]
+
     @staticmethod
     def _key(piece: str) -> int:
         h = 0
@@ -181,28 +206,17 @@ class Lattice:
         for e in range(1, length + 1):
             lo = max(0, e - self.longest)
             hashes[lo:e] = hashes[lo:e] * _B + term[:, e - 1]
-            key = mix(hashes[lo:e])
-            where = np.flatnonzero(self.maybe[(key & np.uint64((1 << 20) - 1)).astype(np.int64)].ravel())
-            found = key.ravel()[where]
-            pos = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-            ok = self.keys[pos] == found
-            where, pos = where[ok], pos[ok]
-            ids = np.full((e - lo) * n, -1, np.int64)
-            score = np.full((e - lo) * n, _NO)
-            ids[where], score[where] = self.key_id[pos], self.key_score[pos]
-            ids, score = ids.reshape(e - lo, n), score.reshape(e - lo, n)
-            lone = ids[-1] < 0
-            score[-1][lone] = self.byte_score * n_bytes[lone, e - 1]
-            for s in range(lo, e):
-                v = score[s - lo]
-                if not (v > _NO).any():
-                    continue
-                a, b = f1[s] + v, f2[s] + v
-                better = a > f1[e]
-                f2[e] = np.maximum(np.where(better, np.maximum(f1[e], b), np.maximum(f2[e], a)), f2[e])
-                step[e] = np.where(better, e - s, step[e])
-                piece[e] = np.where(better, ids[s - lo], piece[e])
-                f1[e] = np.where(better, a, f1[e])
+            where, pos = self._find(mix(hashes[lo:e]).ravel())
+            # only chunks with a piece from s to e are touched: from each start its own run of `where`
+            ends = np.searchsorted(where, np.arange(1, e - lo + 1) * n).tolist()
+            for s, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True), lo):
+                if a < b:
+                    self._reach(f1, f2, step, piece, s, e, where[a:b] - (s - lo) * n, self.key_score[pos[a:b]], self.key_id[pos[a:b]])
+            lone = np.ones(n, bool)
+            lone[where[ends[-2] if len(ends) > 1 else 0 :] - (e - 1 - lo) * n] = False
+            lone = np.flatnonzero(lone)
+            if len(lone):
+                self._reach(f1, f2, step, piece, e - 1, e, lone, self.byte_score * n_bytes[lone, e - 1], np.int64(-1))
         best[rows] = f1[length]
         gap[rows] = np.where(f2[length] > _NO / 2, f1[length] - f2[length], np.inf)
         back = np.full((n, length), -2, np.int64)
@@ -231,6 +245,17 @@ class Lattice:
                         at += len(self.text[p].decode())
                 pieces[r] = np.array(out, np.int64)
 
+    @staticmethod
+    def _reach(f1: np.ndarray, f2: np.ndarray, step: np.ndarray, piece: np.ndarray, s: int, e: int, at: np.ndarray, v: np.ndarray, ids: np.ndarray) -> None:
+        """Arcs s..e of score v of the chunks `at`: best and second best scores of node e, and the best one's last arc."""
+        a, b = f1[s, at] + v, f2[s, at] + v
+        one = f1[e, at]
+        better = a > one
+        f2[e, at] = np.maximum(np.maximum(np.minimum(a, one), b), f2[e, at])
+        step[e, at] = np.where(better, e - s, step[e, at])
+        piece[e, at] = np.where(better, ids, piece[e, at])
+        f1[e, at] = np.where(better, a, one)
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the first space, which encoding puts before the text, goes."""
         text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
@@ -244,31 +269,20 @@ class Lattice:
         self.long.clear()
         if k != self.k or len(self.chunks) > MOST_CHUNKS or self.chars > MOST_CHARS:
             self.forget(k)
-        code, new = self.code, []
         codes, owner = [], [0]
         for t in texts:
             if t:
-                found = self.chunk.findall(" " + t)
-                own = list(map(code.get, found))
-                if None in own:
-                    for at, i in enumerate(own):
-                        if i is None:
-                            c = found[at]
-                            own[at] = code.get(c)
-                            if own[at] is None:
-                                own[at] = code[c] = len(code)
-                                new.append(c)
-                codes += own
+                codes += map(self.code.__getitem__, self.chunk.findall(" " + t))
             owner.append(len(codes))
-        if new:
-            self.learn(new, k)
+        if len(self.code) > len(self.chunks):
+            self.learn(list(islice(self.code, len(self.chunks), None)), k)
         chunks, best, gap, flat, offs = self.chunks, self.best, self.gap, self.flat, self.offs
         codes, owner = np.array(codes, np.int64), np.array(owner)
-        count = np.diff(offs)
+        many = np.diff(offs)
         out = []
         for a, b in zip(owner[:-1].tolist(), owner[1:].tolist(), strict=True):
             own = codes[a:b]
-            n = count[own]
+            n = many[own]
             ids = flat[np.repeat(offs[own], n) + segments(n)] if b > a else np.zeros(0, np.int64)
             total = float(best[own].sum())
             g = gap[own]
@@ -333,13 +347,16 @@ def digests(best: bytes, at_byte: np.ndarray, ways: list[tuple[float, list]]) ->
 
     best: the ids of the best path, each with a comma after it. at_byte: where its chunks begin, and its end.
     """
-    out = []
+    out, best = [], memoryview(best)
     for _, changes in ways:
-        path, done = [], 0
+        own, done = sha256(), 0
         for at, alt in sorted(changes):
-            path += [best[done : at_byte[at]], *(b"%d," % v for v in alt)]
+            own.update(best[done : at_byte[at]])
             done = int(at_byte[at + 1])
-        out.append(sha256(b"".join([*path, best[done:]])[:-1]).hexdigest())
+            # the last id has no comma after it
+            own.update(b"".join(b"%d," % v for v in alt)[: None if done < len(best) else -1])
+        own.update(best[done : max(done, len(best) - 1)])
+        out.append(own.hexdigest())
     return out
 
 
