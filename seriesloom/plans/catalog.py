@@ -561,6 +561,20 @@ def segmented_forecaster(spark, d):
     return models.Segmented.fit(e, "x", _length(e), rows=10, k=2, rect=4).denoised()
 
 
+@query("""WITH ev AS (SELECT event_id AS t, value AS x, event_id // 100 AS b FROM events WHERE event_id < (SELECT (max(event_id) + 1) // 100 * 100 FROM events)),
+a AS (SELECT b, t // 2 AS c, max(x) FILTER (t % 2 = 0) AS x0, max(x) FILTER (t % 2 = 1) AS x1 FROM ev GROUP BY 1, 2),
+g AS (SELECT b, sum(x0 * x0) AS g00, sum(x0 * x1) AS g01, sum(x1 * x1) AS g11 FROM a GROUP BY 1),
+l AS (SELECT *, (g00 + g11) / 2 + sqrt(power((g00 - g11) / 2, 2) + g01 * g01) AS lam FROM g),
+u AS (SELECT b, g01 / sqrt(g01 * g01 + power(lam - g00, 2)) AS u0, (lam - g00) / sqrt(g01 * g01 + power(lam - g00, 2)) AS u1 FROM l)
+SELECT c * 2 + q AS t, round(CASE q WHEN 0 THEN u0 * (u0 * x0 + u1 * x1) ELSE u1 * (u0 * x0 + u1 * x1) END, 6) + 0.0 AS value FROM a JOIN u USING (b), (SELECT unnest([0, 1]) AS q)""")
+def segmented_update(spark, d):
+    """Sub-models of 100 points over the first 70 % of the events, then over all of them; the earlier ones stay."""
+    e = events(spark, d)
+    n = _length(e)
+    seg = models.Segmented.begin("x", rows=2, k=1, rect=25, gamma=1.0).update(e.where(F.col("t") < n * 7 // 10), n * 7 // 10)
+    return seg.update(e, n).denoised().select("t", r6("value").alias("value"))
+
+
 #: Points of a file of the stream, and of a write of its results.
 _FILE, _FLUSH = 1 << 20, 1 << 16
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -246,38 +246,80 @@ class Segmented:
     (T0), the share of new points that lets a sub-model be built anew (gamma), rank (k) and columns per row (rect).
     """
 
+    target: str
     rows: int
-    models: list[Forecaster]
-    starts: list[int]
-    cells: DataFrame = field(repr=False)
+    k: int
+    rect: int
+    least: int
+    gamma: float
+    points: int = 0
+    built: int = 0
+    models: tuple[Forecaster, ...] = ()
+    starts: tuple[int, ...] = ()
+    cells: DataFrame | None = field(default=None, repr=False)
+    cached: tuple[DataFrame, ...] = field(default=(), repr=False)
+
+    @classmethod
+    def begin(cls, target: str, *, rows: int, k: int, rect: int, least: int = 0, gamma: float = 0.5) -> Segmented:
+        """Without any point so far; `update` takes them."""
+        return cls(target, rows, k, rect, least, gamma)
 
     @classmethod
     def fit(cls, series: DataFrame, target: str, points: int, *, rows: int, k: int, rect: int, least: int = 0, gamma: float = 0.5) -> Segmented:
         if points < least:
             raise ValueError(f"{least} points are needed")
-        size = rows * rows * rect
-        starts = list(range(0, max(points - size, 0) + 1, size)) or [0]
+        return cls.begin(target, rows=rows, k=k, rect=rect, least=least, gamma=gamma).update(series, points)
+
+    def update(self, series: DataFrame, points: int) -> Segmented:
+        """The model once the series has `points` points, of which only those of sub-models that are to be built are read.
+
+        Nothing is built before there are `least` points and one whole column, nor until gamma times a segment (of the first
+        sub-model, while it is shorter) have come since the last build. After a build all is as `fit` makes it of these points:
+        whole segments stay, the last, shorter or overlapping one is replaced. `built` counts all sub-models ever built.
+        """
+        if points < self.points:
+            raise ValueError(f"{self.points} points are fitted already")
+        size = self.rows * self.rows * self.rect
+        if points < max(self.least, self.rows) or self.models and points - self.points < self.gamma * min(size, self.points):
+            return self
+        starts = list(range(0, max(points - size, 0) + 1, size))
         rest = points - (starts[-1] + size)
-        if rest >= gamma * size and points > size:
+        if rest >= self.gamma * size and points > size:
             starts.append(points - size)
-        cut = [(a, min(size, points - a) // rows * rows) for a in starts]
-        fitted = _segments(_stretches(series, target, cut), cut, rows, k).persist()
-        rows_used = page.regressor_rows(rows, 1, True)
-        cells = fitted.select("b", F.posexplode("clean").alias("q", "value")).select("b", F.pmod("q", F.lit(rows)).cast("long").alias("row"), F.floor(F.col("q") / rows).cast("long").alias("c"), "value")
-        out = []
+        cut = [(a, min(size, points - a) // self.rows * self.rows) for a in starts]
+        kept = sum(m.m * self.rows == size and a % size == 0 for m, a in zip(self.models, self.starts, strict=True))
+        if kept == len(cut):  # no new point
+            return self
+        new = _stretches(series.where(F.col("t") >= cut[kept][0]), self.target, cut).where(F.col("b") >= kept)
+        fitted = _segments(new, cut, self.rows, self.k).persist()
+        used = page.regressor_rows(self.rows, 1, True)
+        cells = fitted.select("b", F.posexplode("clean").alias("q", "value")).select("b", F.pmod("q", F.lit(self.rows)).cast("long").alias("row"), F.floor(F.col("q") / self.rows).cast("long").alias("c"), "value")
+        out = list(self.models[:kept])
         for r in fitted.select("b", "w", "s", "u").orderBy("b").toLocalIterator():
             s = np.array(r.s)
-            out.append(Forecaster([target], rows, cut[r.b][1] // rows, k, 1.0, True, rows_used, np.array(r.w), s, np.array(r.u).reshape(rows, len(s)), cells.where(F.col("b") == r.b).drop("b"), rows - 1))
-        return cls(rows, out, starts, cells)
+            out.append(Forecaster([self.target], self.rows, cut[r.b][1] // self.rows, self.k, 1.0, True, used, np.array(r.w), s, np.array(r.u).reshape(self.rows, len(s)), cells.where(F.col("b") == r.b).drop("b"), self.rows - 1))
+        if kept:
+            cells = self.cells.where(F.col("b") < kept).unionByName(cells)
+        return replace(self, points=points, built=self.built + len(cut) - kept, models=tuple(out), starts=tuple(starts), cells=cells, cached=(*self.cached, fitted))
+
+    def release(self) -> None:
+        """Frees what the fits have cached; de-noised values can still be asked for, and are computed again."""
+        for df in self.cached:
+            df.unpersist()
 
     def denoised(self) -> DataFrame:
         """Where sub-models overlap, the later one's values."""
+        if not self.models:
+            raise ValueError("no sub-model is built yet")
         spark = self.cells.sparkSession
         stops = [*self.starts[1:], None]
         at = spark.createDataFrame(list(zip(range(len(self.starts)), self.starts, stops, strict=True)), "b long, start long, stop long")
         t = (F.col("start") + F.col("c") * self.rows + F.col("row")).cast("long")
         out = self.cells.join(F.broadcast(at), "b").withColumn("t", t).where(F.col("stop").isNull() | (F.col("t") < F.col("stop")))
-        return out.select(F.lit(self.models[0].keys[0]).alias("series_key"), "t", "value")
+        return out.select(F.lit(self.target).alias("series_key"), "t", "value")
 
     def predict(self, past: list[float], last: int = 1) -> float:
+        """The next value from the newest rows - 1 points, as the mean of the last sub-models'."""
+        if not self.models:
+            raise ValueError("no sub-model is built yet")
         return float(np.mean([m.predict({}, past) for m in self.models[-last:]]))

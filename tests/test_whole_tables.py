@@ -50,6 +50,39 @@ def test_segments_overlap_at_the_end(spark):
     assert np.allclose(seg.models[1].weights, single.weights) and np.allclose(seg.models[1].s, single.s)
 
 
+def test_segments_built_by_updates_are_those_of_one_fit(spark):
+    x = np.random.RandomState(2).randn(1003)
+    df = spark.createDataFrame([("x", t, float(v)) for t, v in enumerate(x)], "series_key string, t long, value double")
+    shape = dict(rows=10, k=2, rect=4, least=100)
+    seg = catalog.models.Segmented.begin("x", **shape)
+    assert seg.update(df.where("t < 99"), 99) is seg and not seg.models
+    with pytest.raises(ValueError):
+        seg.denoised()
+    counts = []
+    for points in (150, 160, 420, 640, 1003):
+        before, seg = seg, seg.update(df.where(f"t < {points}"), points)
+        counts.append((seg is before, seg.built, len(seg.models)))
+    # 160 is too little more; 420 gives a whole segment and a rest that waits; 640 an overlapping one, which goes at 1003
+    assert counts == [(False, 1, 1), (True, 1, 1), (False, 2, 1), (False, 3, 2), (False, 5, 3)]
+    whole = catalog.models.Segmented.fit(df, "x", 1003, **shape)
+    assert seg.starts == whole.starts == (0, 400, 603) and whole.built == 3
+    for a, b in zip(seg.models, whole.models, strict=True):
+        assert np.allclose(a.weights, b.weights) and np.allclose(a.s, b.s)
+    a, b = ({r.t: r.value for r in m.denoised().collect()} for m in (seg, whole))
+    assert sorted(a) == list(range(1003)) and np.allclose([a[t] for t in range(1003)], [b[t] for t in range(1003)])
+    assert np.isclose(seg.predict(list(x[-9:]), 3), whole.predict(list(x[-9:]), 3))
+    with pytest.raises(ValueError):
+        seg.update(df, 1000)
+    seg.release()
+
+
+def test_updates_read_new_stretches_only(spark):
+    df = spark.createDataFrame([("x", t, float(np.sin(t))) for t in range(800)], "series_key string, t long, value double")
+    seg = catalog.models.Segmented.fit(df, "x", 400, rows=10, k=2, rect=4)
+    later = seg.update(df.where("t >= 400"), 800)
+    assert later.models[0] is seg.models[0] and later.denoised().count() == 800
+
+
 def test_svd_page_50_covers_all_events(spark, longer):
     at, x = longer
     got = {r.t: r.value for r in catalog.QUERIES["svd_page_50"](spark, at).collect()}
