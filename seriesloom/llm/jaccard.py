@@ -825,11 +825,18 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", id_col: str = "do
     return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"), *links)
 
 
+def _free(name: str, taken: set[str]) -> str:
+    """The name, with underscores before it where a column has it already."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def one_of_each(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 75) -> DataFrame:
     """The rows, with all their columns, without all but one of each component.
 
     The row with the smallest id stays, rows without id after all others, and of several rows with this id and text one,
-    the smallest by all columns. Rows without words are linked with nothing and all stay. Ids may stand on several texts.
+    the smallest by all columns. Rows without words are linked with nothing and all stay. Ids may stand on several texts. Columns may have any names.
     """
     small_batches(docs.sparkSession)
     shelf = Shelf(docs.sparkSession, "one-of-each")
@@ -839,13 +846,15 @@ def one_of_each(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     shelf.drop("components", "digests")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("first"), F.sum("m").alias("of")).where("of > 1").select("component", "first")
     here = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
-    touched = shelf.write(rows.join(first, "component").select(F.col("id").alias("_id"), F.col("t1").alias("_1"), F.col("t2").alias("_2"), (here == F.col("first")).alias("_stays"), "m"), "touched")
-    gone, twice = touched.where("not _stays or m > 1"), touched.where("_stays and m > 1")
+    taken = {c.lower() for c in docs.columns}
+    i, a, b, stays, m, t = (_free(c, taken) for c in ("_id", "_1", "_2", "_stays", "_m", "_t"))
+    touched = shelf.write(rows.join(first, "component").select(F.col("id").alias(i), F.col("t1").alias(a), F.col("t2").alias(b), (here == F.col("first")).alias(stays), F.col("m").alias(m)), "touched")
+    gone, twice = touched.where(~F.col(stays) | (F.col(m) > 1)), touched.where(F.col(stays) & (F.col(m) > 1))
     shelf.drop("rows")
     text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(text_of).alias("_t"), *docs.columns)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_1")) & (F.xxhash64(F.lit(7), text_of) == F.col("_2"))
-    apart, maybe = parted(rows, gone.select(F.col("_1").alias("_t")), "_t")  # most rows are neither dropped nor repeated, and are not shuffled
-    one = maybe.join(twice, same).groupBy("_id", "_1", "_2").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    kept = maybe.join(gone, same, "left_anti").select(*docs.columns).unionByName(one.select("_row.*"))
+    rows = docs.select(F.xxhash64(text_of).alias(t), *docs.columns)
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.col(t) == F.col(a)) & (F.xxhash64(F.lit(7), text_of) == F.col(b))
+    apart, maybe = parted(rows, gone.select(F.col(a).alias(t)), t)  # most rows are neither dropped nor repeated, and are not shuffled
+    one = maybe.join(twice, same).groupBy(i, a, b).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    kept = maybe.join(gone, same, "left_anti").select(*docs.columns).unionByName(one)
     return apart.select(*docs.columns).unionByName(kept)

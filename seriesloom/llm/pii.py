@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textops import segments, slices, small_batches
 
@@ -408,7 +409,7 @@ def personal_data(docs: DataFrame, model: Model, *, text: str = "text", id_col:
 def masked(docs: DataFrame, model: Model, *, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The rows, with all their columns, their text without personal data and `length`, if it is a column, made anew.
 
-    Null texts stay null, empty ones empty; ids and repeated rows do not matter.
+    Null texts stay null, their length as well, empty ones empty; ids and repeated rows do not matter.
     """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text)
@@ -422,7 +423,8 @@ def masked(docs: DataFrame, model: Model, *, text: str = "text", length: str = "
                 cols = list(b.columns)
                 cols[at] = pa.array(new, b.column(at).type)
                 if n is not None:
-                    cols[n] = pa.array([None if t is None else len(t) for t in new], b.column(n).type)
-                yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+                    cols[n] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(b.column(n).type)
+                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType, f.nullable or f.name == length) for f in docs.schema])
+    return docs.mapInArrow(run, schema)
