@@ -38,7 +38,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False, passage=suffix_dedup.PASSAGE)
 
 
 def op8_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ found in two steps, both exact:
 Contexts that are equal throughout are counted, not compared. A group of more than PART contexts is split by comparing
 all with a leader: what goes beyond a common part with the leader can only be equal among contexts that leave the leader
 at the same place with the same symbol, and these form the next groups.
+
+The same search over words, each a 64-bit symbol, finds passages: runs of many words that also stand elsewhere, however few
+bytes they have.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Shelf, needed, parted
-from .textops import column_bytes, mix, prefix_hash, slices, small_batches, span_hash
+from .textops import SPACE, column_bytes, mix, prefix_hash, slices, small_batches, span_hash, tokens
 
 LENGTH, GRAM = 400, 100
+#: Words of a passage, and of its grams.
+PASSAGE, PASSAGE_GRAM = 51, 13
 #: The most contexts of one anchor that a task compares; larger groups are split first.
 PART = 2000
 #: Contexts whose columns are built together.
@@ -92,10 +97,20 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
 
 
-def _symbols(raw: bytes, lead: int, width: int) -> np.ndarray:
-    """A context's columns: `lead` times END, the bytes, and END up to the width."""
-    out = np.full(width, END, np.uint16)
-    out[lead : lead + len(raw)] = np.frombuffer(raw, np.uint8)
+def _units(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a string column, bytes or hashes of words, and the offsets of its rows in them."""
+    data, off = column_bytes(column)
+    if not words:
+        return data, off
+    s, e, wo = tokens(data, off, SPACE)
+    return span_hash(prefix_hash(data), s, e) | np.uint64(1 << 63), wo  # no word is END or a group's symbol
+
+
+def _symbols(raw: bytes, lead: int, width: int, words: bool) -> np.ndarray:
+    """A context's columns: `lead` times END, its symbols, and END up to the width."""
+    own = np.frombuffer(raw, np.uint64 if words else np.uint8)
+    out = np.full(width, END, np.uint64 if words else np.uint16)
+    out[lead : lead + len(own)] = own
     return out
 
 
@@ -104,11 +119,12 @@ def _spans(pos: np.ndarray, n: np.ndarray, length: int, side: int) -> tuple[np.n
     return np.maximum(0, pos - side), np.minimum(pos, n - length) + length
 
 
-def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
+def _scan(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
     """Anchors (gram, context, id, pos, n, c), and spans (id, pos to n) with a null gram.
 
-    Equal texts met in one task are read once. A context that some texts read together have twice is one row with its count
-    c, and spans: that is a combine before the shuffle, which also takes what is periodic within a text.
+    Equal texts met in one task are read once, and are a span as a whole. A context that some texts read together have twice
+    is one row with its count c, and spans: that is a combine before the shuffle, which also takes what is periodic within a
+    text.
     """
     side = length - k
 
@@ -117,12 +133,16 @@ def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for b in slices(batch, "text", SLICE):
-                data, off = column_bytes(b.column(1))
+                data, off = _units(b.column(1), words)
                 h = prefix_hash(data)
                 ids = b.column(0).to_pylist()
                 got: list[tuple[np.ndarray, ...]] = []
+                copies: dict[int, int] = {}
                 for r, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                    if e - s < length or ids[r] in seen:
+                    if e - s < length:
+                        continue
+                    if ids[r] in seen:
+                        copies[ids[r]] = e - s
                         continue
                     if len(seen) > 200_000:
                         seen.clear()
@@ -133,6 +153,10 @@ def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
                     a, z = np.maximum(p - side, 0), np.minimum(p + k + side, e - s)
                     ctx = span_hash(h, a + s, z + s) ^ mix(((p - a) * 1000 + (z - p)).astype(np.uint64))
                     got.append((np.full(len(p), ids[r]), p, np.full(len(p), e - s), grams[p].view(np.int64), ctx.view(np.int64)))
+                if copies:
+                    none = pa.nulls(len(copies), pa.int64())
+                    zero = pa.array(np.zeros(len(copies), np.int64))
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(list(copies), pa.int64()), zero, pa.array(list(copies.values()), pa.int64()), none], names)
                 if got:
                     i, p, size, g, c = (np.concatenate(v) for v in zip(*got, strict=True))
                     order = np.lexsort((c, g))
@@ -184,8 +208,8 @@ def _contexts(found: DataFrame, length: int, k: int) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, id long, pos long, c long, a long, b long")
 
 
-def _cut(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
-    """wanted (id, pos, gram, c) with the context: its bytes, `lead` columns from the left; rank grows with its count c,
+def _cut(docs: DataFrame, wanted: DataFrame, length: int, k: int, words: bool) -> DataFrame:
+    """wanted (id, pos, gram, c) with the context: its symbols, `lead` columns from the left; rank grows with its count c,
     then with the text it has. A context may come several times where copies of its text are read in several tasks."""
     side = length - k
     by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("pos", "gram", "c")).alias("at"))
@@ -197,18 +221,19 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
         out: list[tuple] = []
         for batch in batches:
             for b in slices(batch, "text", 1 << 18):
-                for i, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                symbols, off = _units(b.column(1), words)
+                for r, (i, at) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
                     if i in seen:
                         continue
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(i)
-                    data = t.encode()
+                    data = symbols[off[r] : off[r + 1]]
                     for w in at:
                         p = w["pos"]
                         lead, z = max(0, side - p), min(len(data), p + k + side)
                         rank = 2 * length * w["c"] + min(side, p) + min(side, len(data) - k - p)
-                        out.append((w["gram"], i, p, w["c"] == 1, rank, lead, data[p - side + lead : z]))
+                        out.append((w["gram"], i, p, w["c"] == 1, rank, lead, data[p - side + lead : z].tobytes()))
                         if len(out) == 1000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
                             out = []
@@ -219,7 +244,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
     return joined.mapInArrow(run, "gram long, id long, pos long, single boolean, rank long, lead int, raw binary")
 
 
-def _solve(parts: DataFrame, length: int, k: int) -> DataFrame:
+def _solve(parts: DataFrame, length: int, k: int, words: bool) -> DataFrame:
     """Removed spans (id, a, b) of single contexts. parts: gram, id, pos, single, lead, raw, lo, hi (starts looked at)."""
     side = length - k
     width = 2 * side + k
@@ -234,7 +259,7 @@ def _solve(parts: DataFrame, length: int, k: int) -> DataFrame:
             once = np.append(True, (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (pos[1:] != pos[:-1]))
             if not once.all():  # copies of a text read in several tasks are one
                 t = t.filter(pa.array(once))
-            x = np.stack([_symbols(raw, lead, width) for raw, lead in zip(t.column("raw").to_pylist(), t.column("lead").to_pylist(), strict=True)])
+            x = np.stack([_symbols(raw, lead, width, words) for raw, lead in zip(t.column("raw").to_pylist(), t.column("lead").to_pylist(), strict=True)])
             # one symbol of the anchor, which every string looked at covers, becomes the group's own: groups do not mix
             x[:, side] = END + 1 + np.unique(t.column("gram").to_numpy(), return_inverse=True)[1]
             found = suffix_columns(x, length, side + 1)
@@ -265,7 +290,7 @@ def _solve(parts: DataFrame, length: int, k: int) -> DataFrame:
     return parts.select(*cols).repartition("gram").sortWithinPartitions("gram", "id", "pos").mapInArrow(run, "id long, a long, b long")
 
 
-def _split(big: DataFrame, length: int, k: int, shelf: Shelf, turn: int) -> tuple[DataFrame, DataFrame]:
+def _split(big: DataFrame, length: int, k: int, words: bool, shelf: Shelf, turn: int) -> tuple[DataFrame, DataFrame]:
     """Compares the contexts of large groups with their leader: (spans found, the next groups).
 
     The leader is the most frequent context, as the others leave it where they are odd themselves, at many places; among
@@ -284,7 +309,7 @@ def _split(big: DataFrame, length: int, k: int, shelf: Shelf, turn: int) -> tupl
         for batch in batches:
             out: list[tuple] = []
             for gram, i, pos, single, rank, lead, raw, lo, hi, li, lp, llead, lraw, llo, lhi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = _symbols(raw, lead, width), _symbols(lraw, llead, width)
+                x, y = _symbols(raw, lead, width, words), _symbols(lraw, llead, width, words)
                 differ = (x != y) | (x == END)
                 if differ[side : side + k].any():
                     continue  # anchors of equal hash that are not equal
@@ -298,7 +323,7 @@ def _split(big: DataFrame, length: int, k: int, shelf: Shelf, turn: int) -> tupl
                 theirs = (lp - side + max(a, llo), lp - side + min(z, lhi) + length) if max(a, llo) <= min(z, lhi) else (None, None)
                 if own[0] is not None or theirs[0] is not None:
                     out.append((None, i, *[None] * 7, *own, li, *theirs))
-                key = lambda tag, at: int(mix(np.array([gram & (1 << 64) - 1], np.uint64) ^ mix(np.array([(tag << 40) + (at << 16) + int(x[at])], np.uint64)))[0])  # noqa: B023, E731
+                key = lambda tag, at: int(mix(np.array([gram & (1 << 64) - 1], np.uint64) ^ mix(np.array([(tag << 40) + (at << 16) + int(x[at]) & (1 << 64) - 1], np.uint64)))[0])  # noqa: B023, E731
                 signed = lambda v: v - (1 << 64) if v >> 63 else v
                 if first > 0 and x[first - 1] != END and lo <= min(first - 1, hi):
                     out.append((signed(key(1, first - 1)), i, pos, single, rank, lead, raw, lo, min(first - 1, hi), None, None, None, None, None))
@@ -313,13 +338,12 @@ def _split(big: DataFrame, length: int, k: int, shelf: Shelf, turn: int) -> tupl
     return spans, done.where("gram is not null").select("gram", "id", "pos", "single", "rank", "lead", "raw", "lo", "hi")
 
 
-def repeated_spans(docs: DataFrame, shelf: Shelf, *, length: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """Spans (id, a, b) of bytes whose union is what is removed. docs: id long, which names the text, and text without nulls."""
+def repeated_spans(docs: DataFrame, shelf: Shelf, *, length: int = LENGTH, k: int = GRAM, words: bool = False) -> DataFrame:
+    """Spans (id, a, b) of bytes, or of words, whose union is what is removed, or stands elsewhere. docs: id long, which names
+    the text, and text without nulls. Copies read in one task are spans of the scan, others have equal contexts."""
     side = length - k
-    copies = docs.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max(F.octet_length("text")).cast("long").alias("b")).where((F.col("c") > 1) & (F.col("b") >= length))
-    spans = [shelf.write(copies.select("id", F.lit(0).cast("long").alias("a"), "b"), "spans")]
-    scan = shelf.write(_scan(docs, length, k), "scan")
-    spans.append(shelf.write(scan.where("gram is null").select("id", F.col("pos").alias("a"), F.col("n").alias("b")), "spans"))
+    scan = shelf.write(_scan(docs, length, k, words), "scan")
+    spans = [shelf.write(scan.where("gram is null").select("id", F.col("pos").alias("a"), F.col("n").alias("b")), "spans")]
     found = shelf.write(_contexts(scan.where("gram is not null"), length, k), "contexts")
     shelf.drop("scan")
     spans.append(shelf.write(found.where("gram is null").select("id", "a", "b"), "spans"))
@@ -328,16 +352,16 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, *, length: int = LENGTH, k: in
     wanted = shelf.write(found.join(per, "gram"), "wanted")
     shelf.drop("contexts")
     ends = {"lo": F.lit(0), "hi": F.lit(side)}
-    spans.append(shelf.write(_solve(_cut(docs, wanted.where(F.col("m") <= PART), length, k).withColumns(ends), length, k), "spans"))
-    rows = shelf.write(_cut(docs, wanted.where(F.col("m") > PART), length, k).withColumns(ends), "groups 0")
+    spans.append(shelf.write(_solve(_cut(docs, wanted.where(F.col("m") <= PART), length, k, words).withColumns(ends), length, k, words), "spans"))
+    rows = shelf.write(_cut(docs, wanted.where(F.col("m") > PART), length, k, words).withColumns(ends), "groups 0")
     shelf.drop("wanted")
     turn = 0
     while not rows.isEmpty():
         large = shelf.write(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PART).select("gram"), "large")
-        spans.append(shelf.write(_solve(rows.join(large, "gram", "left_anti"), length, k), "spans"))
+        spans.append(shelf.write(_solve(rows.join(large, "gram", "left_anti"), length, k, words), "spans"))
         if large.isEmpty():
             break
-        more, rows = _split(rows.join(large, "gram"), length, k, shelf, turn)
+        more, rows = _split(rows.join(large, "gram"), length, k, words, shelf, turn)
         spans.append(shelf.write(more, "spans"))
         shelf.drop(f"groups {turn}", f"leaders {turn}", "large")
         turn += 1
@@ -368,9 +392,12 @@ def _merged(spans: DataFrame) -> DataFrame:
     return spans.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("at")).mapInArrow(run, "id long, runs binary")
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, k: int = GRAM, keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, k: int = GRAM, keep_bytes: bool = True, passage: int = 0, passage_k: int = PASSAGE_GRAM) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; kept is the remaining bytes, left out without keep_bytes.
 
+    With passage, n_passage_words follows: the words that lie in runs of that many words which also start anywhere else, in
+    the same text or another, of whatever bytes. Nothing is removed for them. Words are what ASCII white space parts.
+
     Texts count as UTF-8 and are known by a 64-bit hash of their bytes: ids play no part, may be of any type or missing, and
     may stand on several texts. Null, empty and shorter texts lose nothing. Repeated rows are occurrences of each other.
     Extra columns are ignored; an empty table gives no rows. A text's spans are as many as its anchors at most, so they fit
@@ -380,10 +407,17 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
     small_batches(spark)
     shelf = Shelf(spark, "repeats")
     rows = docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
-    spans = repeated_spans(rows.select("id", "text"), shelf, length=length, k=k)
-    runs = shelf.write(_merged(spans), "runs")
+    if passage:
+        same = shelf.write(_merged(repeated_spans(rows.select("id", "text"), shelf, length=passage, k=passage_k, words=True)), "passages")
+        shelf.drop("spans")
+    runs = shelf.write(_merged(repeated_spans(rows.select("id", "text"), shelf, length=length, k=k)), "byte runs" if passage else "runs")
     shelf.drop("spans")
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])]
+    if passage:
+        runs = shelf.write(runs.hint("merge").join(same.withColumnRenamed("runs", "passages"), "id", "full"), "runs")
+        shelf.drop("passages", "byte runs")
+    more = [c for c in ("passages",) if passage]
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else []), *(["n_passage_words"] if passage else [])]
+    packed = lambda found: np.frombuffer(found.as_buffer(), np.int64).reshape(-1, 2) if found.is_valid else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,16 +426,16 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
                 out = []
                 for r, found in enumerate(b.column(2)):
                     raw = data[off[r] : off[r + 1]]
-                    gone = np.frombuffer(found.as_buffer(), np.int64).reshape(-1, 2) if found.is_valid else np.zeros((0, 2), np.int64)
+                    gone = packed(found)
                     edge = np.concatenate([[0], gone.ravel(), [len(raw)]]).tolist()
                     whole = b"".join(raw[p:q].tobytes() for p, q in zip(edge[::2], edge[1::2], strict=True))
-                    out.append((len(raw), len(raw) - len(whole), len(gone), sha256(whole).hexdigest(), *([whole] if keep_bytes else [])))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                    out.append((len(raw), len(raw) - len(whole), len(gone), sha256(whole).hexdigest(), *([whole] if keep_bytes else []), *([int(np.diff(packed(b.column(3)[r])).sum())] if passage else [])))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if keep_bytes else []), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds))], names)  # noqa: B905
 
     kind = dict(rows.dtypes)["row_id"]
     apart, maybe = parted(rows.select("id", "row_id", "text"), runs, "id")  # texts without runs stay where they are
-    joined = maybe.join(runs.hint("merge"), "id", "left").select("row_id", "text", "runs")
-    joined = joined.unionByName(apart.select("row_id", "text", F.lit(None).cast("binary").alias("runs")))
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
+    joined = maybe.join(runs.hint("merge"), "id", "left").select("row_id", "text", "runs", *more)
+    joined = joined.unionByName(apart.select("row_id", "text", *(F.lit(None).cast("binary").alias(c) for c in ("runs", *more))))
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "") + (", n_passage_words long" if passage else "")
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -94,9 +94,9 @@ def tokens(data: np.ndarray, off: np.ndarray, separator: np.ndarray) -> tuple[np
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with H[e] - H[s] = the polynomial of bytes s..e times a power that `span_hash` takes out."""
+    """H with H[e] - H[s] = the polynomial of bytes s..e, or of 64-bit hashes, times a power that `span_hash` takes out."""
     h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _pow(_P, len(data))[: len(data)], out=h[1:])
+    np.cumsum((_TABLE[data] if data.dtype == np.uint8 else data) * _pow(_P, len(data))[: len(data)], out=h[1:])
     return h
 
 

@@ -12,6 +12,7 @@ import pytest
 
 import corpus_pipeline
 from seriesloom.llm import decontaminate, pieces, preference, suffix_dedup, token_counts, toxicity
+from seriesloom.llm.queries import QUERIES
 from seriesloom.llm.textops import NOT_ALNUM, word_hashes, windows_hash
 
 from .fixtures import ODD, SF, documents, empty, frame
@@ -333,6 +334,37 @@ def test_suffix_dedup_ids_do_not_matter(spark):
     assert some == {f"n{k}": v[1] for k, v in want.items()}
 
 
+def brute_passages(rows, n):
+    """Words of each text that lie in runs of n words which start anywhere else too."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+    seen = Counter(tuple(w[k : k + n]) for w in words.values() for k in range(len(w) - n + 1))
+    return {i: len({k + j for k in range(len(w) - n + 1) if seen[tuple(w[k : k + n])] > 1 for j in range(n)}) for i, w in words.items()}
+
+
+def test_suffix_dedup_passages_in_few_bytes(spark, tmp_path):
+    """Passages of over 50 words that repeat across documents are told where their bytes are too few to go."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    some, short = [text(n) for n in (51, 60)], text(50)
+    rows = [(i, f"{text(r.randint(1, 40))} {p} {text(r.randint(1, 40))}") for i, p in enumerate([*some, *some, short, short])]
+    rows += [(10 + i, text(90)) for i in range(20)] + [(40, some[0].replace(" ", "\n")), (41, None), (42, "")]
+    assert all(len(p) < 400 for p in some)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in QUERIES["op7_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert {i: x.n_passage_words for i, x in got.items()} == brute_passages(rows, 51)
+    assert {i for i, x in got.items() if x.n_passage_words} == {0, 1, 2, 3, 40} and not any(x.n_removed for x in got.values())
+
+
+@pytest.mark.parametrize("part", [1000, 30])
+def test_suffix_dedup_passages(spark, monkeypatch, part):
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    rows = repeats() + [(500 + k, repeats()[k][1]) for k in (7, 7, 9)] + [(600, "a b " * 60), (601, "c " * 70)] + [(700 + x[0], x[1]) for x in ODD if len(x[1] or "") < 1000]
+    out = suffix_dedup.remove_repeats(frame(spark, rows), length=40, k=10, passage=9, passage_k=3).collect()
+    assert {x.doc_id: x.n_passage_words for x in out} == brute_passages(rows, 9)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in out} == brute_removed(rows, 40)
+
+
 def test_suffix_columns():
     r = np.random.RandomState(3)
     x = r.randint(0, 2, (40, 18)).astype(np.uint16)
