@@ -236,3 +236,28 @@ def test_svd_of_several_series_against_numpy(spark, longer):
     low = rank(a, 3)
     want = {(k, c * 5 + i): low[b * 5 + i, c] for b, k in enumerate(keys) for i in range(5) for c in range(6)}
     assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_products_by_blocks_are_those_of_the_join(spark, monkeypatch):
+    """Absent, NULL, infinite and repeated cells, a NULL key, names as keys, and more blocks than one on each side."""
+    from seriesloom.operators import matrix
+
+    monkeypatch.setattr(matrix, "LEAST", 8)
+    r = np.random.RandomState(3)
+    cells = [(i, int(k), float(r.randn())) for i in range(40) for k in range(6) if r.rand() < 0.5]
+    a = spark.createDataFrame([*cells, (1, 0, None), (2, 3, None), (2, 3, 4.0), (7, 5, float("inf")), (90, 1, None), (None, 2, 1.5)], "i long, j int, v double")
+    b = spark.createDataFrame([(k, f"n{j}", float(r.randn())) for j in range(30) for k in range(8) if (j + k) % 3], "i long, j string, v double")
+    canon = lambda df: {(q.i, q.j): None if q.v is None else round(q.v, 9) for q in df.collect()}
+    for left, right, how in ((a, b, {}), (a, a, {"b_transpose": True}), (b, b, {"a_transpose": True})):
+        want, got = (canon(matrix.dot(left, right, 0.5, **how, **more)) for more in ({}, {"inner": 8}))
+        assert got == want or {k for k in want if repr(got.get(k)) != repr(want[k])} | (got.keys() ^ want.keys()) == set()
+    rows = [(i, 0, float(v)) for i, v in enumerate([0.0000005, -0.0000005, -1e-9, 2.5e-6, 1234567.1234565])]
+    one = spark.createDataFrame([(0, 0, 1.0)], "i long, j long, v double")
+    got = {q.i: repr(q.v) for q in matrix.dot(spark.createDataFrame(rows, "i long, j long, v double"), one, inner=1, digits=6).collect()}
+    assert got == {0: "1e-06", 1: "-1e-06", 2: "0.0", 3: "3e-06", 4: "1234567.123457"}
+
+
+@pytest.mark.parametrize("name", ["mat_dot"])
+def test_no_row_is_made_for_a_product_of_cells(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
