@@ -257,7 +257,7 @@ def test_products_by_blocks_are_those_of_the_join(spark, monkeypatch):
     assert got == {0: "1e-06", 1: "-1e-06", 2: "0.0", 3: "3e-06", 4: "1234567.123457"}
 
 
-@pytest.mark.parametrize("name", ["mat_dot"])
+@pytest.mark.parametrize("name", ["mat_dot", "mat_dot_bt"])
 def test_no_row_is_made_for_a_product_of_cells(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
