@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -202,19 +203,45 @@ class MultiMetricControl:
         return out
 
 
-def _stretches(series: DataFrame, target: str, cut: list[tuple[int, int]]) -> DataFrame:
-    """(b, x): the points of each stretch (start, length) in order of t. Only the last stretch may overlap the one before."""
-    size, last = cut[0][1], len(cut) - 1
-    own = F.floor(F.col("t") / size).cast("long")
-    regular = last + 1 if cut[last][0] == last * size else last
-    at = F.array(F.when(own < regular, own), F.when((F.lit(regular) == last) & (F.col("t") >= cut[last][0]), F.lit(last).cast("long")))
-    used = series.where((F.col("series_key") == target) & (F.col("t") >= 0) & (F.col("t") < cut[last][0] + cut[last][1]))
+@dataclass(frozen=True)
+class Cut:
+    """Stretches of `points` points: `regular` ones side by side, and perhaps a last one that ends with the points and overlaps.
+
+    Starts and lengths are calculated, not listed: there may be very many."""
+
+    size: int
+    points: int
+    regular: int
+    overlaps: bool
+    rows: int
+
+    @classmethod
+    def of(cls, points: int, size: int, gamma: float, rows: int) -> Cut:
+        regular = max(points - size, 0) // size + 1
+        return cls(size, points, regular, 0 < points - regular * size >= gamma * size, rows)
+
+    def __len__(self) -> int:
+        return self.regular + self.overlaps
+
+    def start(self, b: int) -> int:
+        return b * self.size if b < self.regular else self.points - self.size
+
+    def length(self, b: int) -> int:
+        return min(self.size, self.points - self.start(b)) // self.rows * self.rows
+
+
+def _stretches(series: DataFrame, target: str, cut: Cut) -> DataFrame:
+    """(b, x): the points of each stretch in order of t. Only the last stretch may overlap the one before."""
+    last = len(cut) - 1
+    own = F.floor(F.col("t") / cut.size).cast("long")
+    at = F.array(F.when(own < cut.regular, own), F.when(F.lit(cut.overlaps) & (F.col("t") >= cut.start(last)), F.lit(last).cast("long")))
+    used = series.where((F.col("series_key") == target) & (F.col("t") >= 0) & (F.col("t") < cut.start(last) + cut.length(last)))
     dealt = used.withColumn("b", F.explode(F.filter(at, lambda v: v.isNotNull())))
     points = F.transform(F.array_sort(F.collect_list(F.struct("t", F.coalesce("value", F.lit(float("nan"))).alias("v")))), lambda v: v["v"])
     return dealt.groupBy("b").agg(points.alias("x"))
 
 
-def _segments(stretches: DataFrame, cut: list[tuple[int, int]], rows: int, k: int) -> DataFrame:
+def _segments(stretches: DataFrame, cut: Cut, rows: int, k: int) -> DataFrame:
     """(b, w, s, u, clean): each stretch's fit as `fit_svd` makes it, where its points are; one pass for all stretches."""
     used = page.regressor_rows(rows, 1, True)
 
@@ -223,8 +250,8 @@ def _segments(stretches: DataFrame, cut: list[tuple[int, int]], rows: int, k: in
             out = []
             for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = np.array(x)
-                if len(x) != cut[b][1]:
-                    raise ValueError(f"stretch {b} has {len(x)} points; {cut[b][1]} are needed")
+                if len(x) != cut.length(b):
+                    raise ValueError(f"stretch {b} has {len(x)} points; {cut.length(b)} are needed")
                 hole = np.isnan(x)
                 x[hole] = (np.nanmin(x) + np.nanmax(x)) / 2 if not hole.all() else np.nan
                 a = x.reshape(-1, rows).T
@@ -238,6 +265,60 @@ def _segments(stretches: DataFrame, cut: list[tuple[int, int]], rows: int, k: in
     return stretches.mapInArrow(run, "b long, w array<double>, s array<double>, u array<double>, clean array<double>")
 
 
+#: Sub-models that come to the driver at once, and that it remembers.
+FETCHED = 1024
+
+
+class Submodels(Sequence):
+    """The sub-models of a segmented model, which stay where they were fitted until one is asked for.
+
+    The first `kept` are those of the model before, the others rows of `fitted`."""
+
+    def __init__(self, target: str, rows: int, k: int, cut: Cut, kept: int, before: Sequence[Forecaster], fitted: DataFrame, cells: DataFrame):
+        self.target, self.rows, self.k, self.cut, self.kept, self.before, self.fitted, self.cells = target, rows, k, cut, kept, before, fitted, cells
+        self.seen: OrderedDict[int, Forecaster] = OrderedDict()
+
+    def __len__(self) -> int:
+        return len(self.cut)
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            at = range(len(self))[i]
+            return tuple(m for a in range(0, len(at), FETCHED) for m in self._take(at[a : a + FETCHED]))
+        return self._take([range(len(self))[i]])[0]
+
+    def __iter__(self) -> Iterator[Forecaster]:
+        for a in range(0, len(self), FETCHED):
+            yield from self._take(range(a, min(a + FETCHED, len(self))))
+
+    def _take(self, at: Sequence[int]) -> list[Forecaster]:
+        owners: dict[int, tuple[Submodels, list[int]]] = {}
+        for b in at:
+            m = self
+            while b < m.kept:
+                m = m.before
+            owners.setdefault(id(m), (m, []))[1].append(b)
+        out = {}
+        for m, own in owners.values():
+            out |= m._own(own)
+        return [out[b] for b in at]
+
+    def _own(self, at: list[int]) -> dict[int, Forecaster]:
+        out = {b: self.seen[b] for b in at if b in self.seen}
+        new = [b for b in at if b not in out]
+        if new:
+            used = page.regressor_rows(self.rows, 1, True)
+            for r in self.fitted.where(F.col("b").isin(new)).select("b", "w", "s", "u").collect():  # FETCHED rows at most
+                s = np.array(r.s)
+                out[r.b] = self.seen[r.b] = Forecaster([self.target], self.rows, self.cut.length(r.b) // self.rows, self.k, 1.0, True, used, np.array(r.w), s, np.array(r.u).reshape(self.rows, len(s)), self.cells.where(F.col("b") == r.b).drop("b"), self.rows - 1)
+            while len(self.seen) > FETCHED:
+                self.seen.popitem(last=False)
+        for b in new:
+            if b not in out:
+                raise ValueError(f"stretch {b} has no points; {self.cut.length(b)} are needed")
+        return out
+
+
 @dataclass(frozen=True)
 class Segmented:
     """Sub-models over consecutive stretches of one series; forecasts are averages of the last few sub-models'.
@@ -254,8 +335,8 @@ class Segmented:
     gamma: float
     points: int = 0
     built: int = 0
-    models: tuple[Forecaster, ...] = ()
-    starts: tuple[int, ...] = ()
+    models: Sequence[Forecaster] = ()
+    cut: Cut | None = None
     cells: DataFrame | None = field(default=None, repr=False)
     cached: tuple[DataFrame, ...] = field(default=(), repr=False)
 
@@ -282,25 +363,22 @@ class Segmented:
         size = self.rows * self.rows * self.rect
         if points < max(self.least, self.rows) or self.models and points - self.points < self.gamma * min(size, self.points):
             return self
-        starts = list(range(0, max(points - size, 0) + 1, size))
-        rest = points - (starts[-1] + size)
-        if rest >= self.gamma * size and points > size:
-            starts.append(points - size)
-        cut = [(a, min(size, points - a) // self.rows * self.rows) for a in starts]
-        kept = sum(m.m * self.rows == size and a % size == 0 for m, a in zip(self.models, self.starts, strict=True))
-        if kept == len(cut):  # no new point
+        cut = Cut.of(points, size, self.gamma, self.rows)
+        kept = self.cut.regular if self.cut is not None and self.cut.length(0) == size else 0
+        if self.cut is not None and kept == len(cut) == len(self.cut):  # no new point
             return self
-        new = _stretches(series.where(F.col("t") >= cut[kept][0]), self.target, cut).where(F.col("b") >= kept)
+        new = _stretches(series.where(F.col("t") >= cut.start(kept)), self.target, cut).where(F.col("b") >= kept)
         fitted = _segments(new, cut, self.rows, self.k).persist()
-        used = page.regressor_rows(self.rows, 1, True)
+        fitted.count()  # all are built now; none comes to the driver
         cells = fitted.select("b", F.posexplode("clean").alias("q", "value")).select("b", F.pmod("q", F.lit(self.rows)).cast("long").alias("row"), F.floor(F.col("q") / self.rows).cast("long").alias("c"), "value")
-        out = list(self.models[:kept])
-        for r in fitted.select("b", "w", "s", "u").orderBy("b").toLocalIterator():
-            s = np.array(r.s)
-            out.append(Forecaster([self.target], self.rows, cut[r.b][1] // self.rows, self.k, 1.0, True, used, np.array(r.w), s, np.array(r.u).reshape(self.rows, len(s)), cells.where(F.col("b") == r.b).drop("b"), self.rows - 1))
+        models = Submodels(self.target, self.rows, self.k, cut, kept, self.models, fitted, cells)
         if kept:
             cells = self.cells.where(F.col("b") < kept).unionByName(cells)
-        return replace(self, points=points, built=self.built + len(cut) - kept, models=tuple(out), starts=tuple(starts), cells=cells, cached=(*self.cached, fitted))
+        return replace(self, points=points, built=self.built + len(cut) - kept, models=models, cut=cut, cells=cells, cached=(*self.cached, fitted))
+
+    @property
+    def starts(self) -> tuple[int, ...]:
+        return tuple(self.cut.start(b) for b in range(len(self.cut))) if self.cut is not None else ()
 
     def release(self) -> None:
         """Frees what the fits have cached; de-noised values can still be asked for, and are computed again."""
@@ -311,11 +389,10 @@ class Segmented:
         """Where sub-models overlap, the later one's values."""
         if not self.models:
             raise ValueError("no sub-model is built yet")
-        spark = self.cells.sparkSession
-        stops = [*self.starts[1:], None]
-        at = spark.createDataFrame(list(zip(range(len(self.starts)), self.starts, stops, strict=True)), "b long, start long, stop long")
-        t = (F.col("start") + F.col("c") * self.rows + F.col("row")).cast("long")
-        out = self.cells.join(F.broadcast(at), "b").withColumn("t", t).where(F.col("stop").isNull() | (F.col("t") < F.col("stop")))
+        start = F.when(F.col("b") < self.cut.regular, F.col("b") * self.cut.size).otherwise(self.cut.start(self.cut.regular))
+        out = self.cells.withColumn("t", (start + F.col("c") * self.rows + F.col("row")).cast("long"))
+        if self.cut.overlaps:
+            out = out.where((F.col("b") >= self.cut.regular) | (F.col("t") < self.cut.start(self.cut.regular)))
         return out.select(F.lit(self.target).alias("series_key"), "t", "value")
 
     def predict(self, past: list[float], last: int = 1) -> float:

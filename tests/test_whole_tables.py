@@ -261,3 +261,31 @@ def test_products_by_blocks_are_those_of_the_join(spark, monkeypatch):
 def test_no_row_is_made_for_a_product_of_cells(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_sub_models_stay_on_the_executors(spark):
+    """The driver makes nothing for each sub-model until one is asked for, however many there are."""
+    made = []
+    real = catalog.models.Forecaster
+
+    class Counted(real):
+        def __init__(self, *args, **options):
+            made.append(1)
+            super().__init__(*args, **options)
+
+    x = np.random.RandomState(5).randn(1630)
+    df = spark.createDataFrame([("x", t, float(v)) for t, v in enumerate(x)], "series_key string, t long, value double")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(catalog.models, "Forecaster", Counted)
+        seg = catalog.models.Segmented.begin("x", rows=2, k=1, rect=2, gamma=0.5).update(df.where("t < 1000"), 1000).update(df, 1630)
+        got = {r.t: r.value for r in seg.denoised().collect()}
+        assert not made and len(seg.models) == seg.built == 204 and seg.starts[-2:] == (1616, 1622)
+        assert np.allclose(seg.models[-1].s, rank_s(x[1622:])) and np.allclose(seg.models[7].s, rank_s(x[56:64])) and len(made) == 2
+        assert [len(seg.models[-3:]), len(list(seg.models))] == [3, 204]
+    want = np.concatenate([*(rank(x[a : a + 8].reshape(-1, 2).T, 1).T.ravel() for a in range(0, 1624, 8))])
+    want = np.concatenate([want[:1622], rank(x[1622:].reshape(-1, 2).T, 1).T.ravel()])
+    assert sorted(got) == list(range(1630)) and np.allclose([got[t] for t in range(1630)], want)
+
+
+def rank_s(x):
+    return np.linalg.svd(x.reshape(-1, 2).T)[1][:1]
