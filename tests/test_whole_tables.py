@@ -289,3 +289,9 @@ def test_sub_models_stay_on_the_executors(spark):
 
 def rank_s(x):
     return np.linalg.svd(x.reshape(-1, 2).T)[1][:1]
+
+
+def test_segmented_forecaster_makes_no_sub_model_on_the_driver(spark, longer, monkeypatch):
+    at, x = longer
+    monkeypatch.setattr(catalog.models, "Forecaster", None)
+    assert catalog.QUERIES["segmented_forecaster"](spark, at).count() == 3200
