@@ -295,3 +295,27 @@ def test_segmented_forecaster_makes_no_sub_model_on_the_driver(spark, longer, mo
     at, x = longer
     monkeypatch.setattr(catalog.models, "Forecaster", None)
     assert catalog.QUERIES["segmented_forecaster"](spark, at).count() == 3200
+
+
+def test_columns_in_turn_are_updates_one_by_one(spark, longer, monkeypatch):
+    from seriesloom.streaming import updates
+
+    r = np.random.RandomState(4)
+    for n, k in ((2, 1), (5, 1), (5, 2)):
+        for new in (r.randn(300, n) * 9 + 5, r.randn(40, n), np.zeros((3, n)), np.where(r.rand(60, n) < 0.3, np.nan, 50 * r.randn(60, n))):
+            state = want = updates.start(r.randn(20 * n), n, k)
+            for x in new:
+                want, _ = updates.update(want, x, "UP")
+            got = updates.update_each(state, new)
+            assert np.allclose(got.s, want.s) and np.allclose(got.u @ got.u.T, want.u @ want.u.T) and np.allclose(got.sw, want.sw)
+            assert np.allclose(got.weights(), want.weights()) and (got.points, got.updates) == (want.points, want.updates)
+    at, x = longer
+    a, cut, calls = x.reshape(-1, 2).T, 3280 * 7 // 20, []
+    monkeypatch.setattr(catalog, "_TURN", 100)
+    monkeypatch.setattr(updates, "rank_k_update", lambda *_: calls.append(1))
+    (got,) = catalog.QUERIES["rank_k_update"](spark, at).collect()
+    s, u = np.linalg.svd(a[:, :cut])[1][:1], np.linalg.svd(a[:, :cut])[0][:, :1]
+    for c in range(cut, a.shape[1]):
+        u, s, _ = np.linalg.svd(np.hstack([u * s, a[:, c : c + 1]]), full_matrices=False)
+        u, s = u[:, :1], s[:1]
+    assert not calls and got.points == 3280 and np.isclose(got.s, s[0], atol=1e-4)
